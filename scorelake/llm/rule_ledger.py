@@ -35,7 +35,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 10"),
     ("repeat_words", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "100 * n_symbols > 20 * n_words"),
-    ("dup_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("dup_lines", "100 * n_dup_lines > 60 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 14 * n_words"),
 )
