@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, mixing, rule_ledger, token_cache, token_files
-from scorelake.llm.common import scratch_path, table
+from scorelake.llm import byte_bpe, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
+from scorelake.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = toxicity.score(docs, model).withColumn("held_out", held_out)
+    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "max_gain", "n_windows")
+
+
+@_query("op2_language_mixture")
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_mixture.fit(docs, ~held_out)
+    return language_mixture.infer(docs, profiles).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "proportions")
