@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.chunks import ChunkEncoder
-from scorelake.llm.common import column, ship, slices, texts
+from scorelake.llm.common import append_columns, column, ship, texts
 
 WORD = 256
 MERGES_KEPT = 1_000_000
@@ -153,23 +153,11 @@ def coder(path: str, pattern: str) -> tuple[RankBPE, ChunkEncoder]:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids``: the text's ids as binary, little-endian unsigned 32-bit integers. A map, no shuffle."""
-    ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != ids]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = coder(path, pattern)[1]
-        for batch in batches:
-            found = [t or b"" for t in texts(batch, text)]
-            for a, b in slices([len(t) for t in found], 8 << 20):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in rest), pa.array(encoder(found[a:b]), pa.binary())], [*rest, ids])
-
-    narrow = docs.select(*rest)
-    return narrow.mapInArrow(run, _schema(narrow, f"{ids} binary"))
 
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(coder(path, pattern)[1]([t or b"" for t in texts(batch, text)]), pa.binary())]
 
-def _schema(df: DataFrame, *more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+    return append_columns(docs, run, [(ids, "binary")])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

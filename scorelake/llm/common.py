@@ -6,13 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space between words, as a regular-expression class.
 SPACE = r"\x20\x09-\x0D"
@@ -87,6 +88,22 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def append_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, str]]) -> DataFrame:
+    """``df`` with columns that ``make`` computes from each batch; an input column of the same name is replaced."""
+    ship(df.sparkSession)
+    names = [n for n, _ in fields]
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in {n.lower() for n in names}]
+    schema = T.StructType([df.schema[i] for i in kept])
+    for n, kind in fields:
+        schema = schema.add(n, T.DataType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *make(batch)], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def bounded_rows(df: DataFrame, order: str, max_chars: int, text: str = "text") -> Iterator[dict]:
     """Rows of an already bounded sample in the order of ``order``, one partition in memory at a time, until
     ``max_chars`` of text have come. Whole texts only: the text that passes the bound is the last one."""

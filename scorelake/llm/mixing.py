@@ -105,14 +105,33 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return done.unionByName(step).select("source", "budget_id", F.col("start").alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, budget: float = 1.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken. A source's documents are taken target/source_size times: the whole
-    part for all of them, the rest for those below the source's threshold."""
-    rows = sized(docs)
+def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, budget: float = 1.0) -> DataFrame:
+    """A row per source: source_size, target, ``whole`` (how often all of its documents are taken) and ``threshold``
+    (documents with h below it are taken once more)."""
     goal = targets(rows, weights, most, budget)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = goal.withColumn("whole", whole.cast("bigint")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     ends = thresholds(rows, goal.withColumn("budget_id", F.lit(0)))
-    goal = goal.alias("g").join(ends.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", "threshold")
-    taken = F.col("size") * (F.col("whole") + F.when(F.col("h") < F.col("threshold"), F.lit(1)).otherwise(F.lit(0)))
-    return rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return goal.alias("g").join(ends.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.source", "source_size", "target", "whole", "threshold")
+
+
+def _times() -> Column:
+    return F.col("whole") + F.when(F.col("h") < F.col("threshold"), F.lit(1)).otherwise(F.lit(0))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, budget: float = 1.0) -> DataFrame:
+    """doc_id, size, source_size, target, taken. A source's documents are taken target/source_size times: the whole
+    part for all of them, the rest for those below the source's threshold."""
+    rows = sized(docs)
+    goal = plan(rows, weights, most, budget)
+    joined = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, budget: float = 1.0) -> DataFrame:
+    """The mix itself: each document's row as often as it is taken. Only the row per source meets the documents."""
+    goal = plan(sized(docs), weights, most, budget).select(F.col("source").alias("_source"), "whole", "threshold")
+    own = docs.withColumn("h", hash_of(F.col("doc_id").cast("bigint")))
+    joined = own.join(goal, own["source"].cast("string").eqNullSafe(goal["_source"]))
+    copies = F.explode(F.sequence(F.lit(1), _times().cast("int"))).alias("_copy")
+    return joined.where(_times() > 0).select(*(own[c] for c in docs.columns), copies).drop("_copy")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
+from scorelake.llm import byte_bpe, cotraining, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
 from scorelake.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,13 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_mixture.fit(docs, ~held_out)
     return language_mixture.infer(docs, profiles).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "proportions")
+
+
+@_query("op3_quality_cotraining")
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the ids is held out of the training, for tests."""
+    held_out = fold(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    found = cotraining.score(docs, model).withColumn("held_out", held_out)
+    return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.5, 1).otherwise(0).alias("predicted"), "text_score", "meta_score")

@@ -12,14 +12,13 @@ their names, are left out. Texts of any length are read whole, one at a time.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import column, ship, texts
+from scorelake.llm.common import append_columns, texts
 
 #: Bytes that are not counted as code points of words: white space, and all but the first byte of a character.
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -28,7 +27,6 @@ _SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-LEDGER = "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
 
 #: (name, SQL condition on the measurements under which the rule fails). The position is the bit; append only.
 RULES: tuple[tuple[str, str], ...] = (
@@ -76,11 +74,9 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     return (len(words), len(text.translate(None, _NOT_WORD_CHARS)), len(text) - len(text.translate(None, _SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated)
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(t) for t in texts(batch)]
-        cols = list(zip(*rows, strict=True)) or [()] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *MEASURES])
+def _measured(batch: pa.RecordBatch) -> list[pa.Array]:
+    cols = list(zip(*(measure(t) for t in texts(batch)), strict=True)) or [()] * len(MEASURES)
+    return [pa.array(c, pa.int64()) for c in cols]
 
 
 def fail_bits() -> Column:
@@ -91,11 +87,15 @@ def fail_bits() -> Column:
     return bits
 
 
+def add_ledger(docs: DataFrame) -> DataFrame:
+    """All columns of the documents with the measurements and fail_bits. A map over the input, without a shuffle."""
+    return append_columns(docs, _measured, [(m, "bigint") for m in MEASURES]).withColumn("fail_bits", fail_bits())
+
+
 def build_ledger(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, the measurements and fail_bits. A map over the input, without a shuffle."""
-    ship(docs.sparkSession)
+    """One row per document: doc_id, the measurements and fail_bits."""
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_measure_batches, LEDGER).withColumn("fail_bits", fail_bits())
+    return add_ledger(narrow).drop("text")
 
 
 def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
