@@ -127,6 +127,25 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, dict[str, list]]]:
+    """Runs of equal keys in a sorted stream, as lists by column. One group and one batch are in memory at a time."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        held = {n: held[n] + new[n] for n in new} if held else new
+        keys = held[key]
+        start = 0
+        for i in range(1, len(keys)):
+            if keys[i] != keys[start]:
+                yield keys[start], {n: c[start:i] for n, c in held.items()}
+                start = i
+        held = {n: c[start:] for n, c in held.items()}
+    if held and held[key]:
+        yield held[key][0], held
+
+
 class Recent:
     """A bounded cache of two generations: when the young one is full it becomes the old one. What is used again
     is kept, what is not is forgotten, so memory stays bounded whatever the input holds."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, cotraining, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
+from scorelake.llm import byte_bpe, chosen_path, cotraining, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
 from scorelake.llm.common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @_query("op8_exact_top_k", OP8_SQL)
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20, scale=64.0)
+
+
+@_query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), similarity=(4, 5), recall=0.9999)
