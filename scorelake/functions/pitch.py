@@ -57,3 +57,22 @@ def flat_spelling(name: Column) -> Column:
     for sharp, flat in FLATS.items():
         out = F.replace(out, F.lit(sharp), F.lit(flat))
     return out
+
+
+# Deviations in cents of the twelve pitch classes in just and in Pythagorean temperament.
+JUST = (0.0, 11.73, 3.91, 15.64, -13.69, -1.96, -9.78, 1.96, 13.69, -15.64, 17.60, -11.73)
+PYTHAGOREAN = (0.0, 13.69, 3.91, -5.87, 7.82, -1.96, 11.73, 1.96, 15.64, 5.87, -3.91, 9.78)
+# Major keys from seven flats to seven sharps.
+KEYS = ("Cb", "Gb", "Db", "Ab", "Eb", "Bb", "F", "C", "G", "D", "A", "E", "B", "F#", "C#")
+
+
+def best_temperament(deviation: Column, midi: Column) -> Column:
+    """The temperament from which a deviation (in cents from equal temperament) is least far, the first one on a tie."""
+    at = (F.pmod(midi, F.lit(12)) + 1).cast("int")
+    offset = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
+    options = ((0, "12_tet", F.lit(0.0)), (1, "just", offset(JUST)), (2, "pythagorean", offset(PYTHAGOREAN)))
+    return F.array_min(F.array(*(F.struct(F.abs(deviation - o).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, n, o in options)))["name"]
+
+
+def key_name(fifths: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, KEYS)), fifths + 8)
