@@ -1,14 +1,14 @@
 """Near-duplicate classes by a chosen-path Jaccard join over shingles of five words, similarity 0.8 or more.
 
-1. Each text becomes its set of 64-bit shingle hashes, a digest of that set, and 128 min-hashes. Texts with one
+1. Each text becomes its set of 64-bit shingle hashes, a digest of that set, and 64 min-hashes. Texts with one
    digest are copies; one of them, the one with the least id, stands for all from here on.
-2. Chosen path: a run's root picks one or two of the 128 positions and splits the sets by their values there, so that
+2. Chosen path: a run's root picks one or two of the 64 positions and splits the sets by their values there, so that
    two sets share a child with the probability of their similarity. Nodes of more than LEAF sets are split again at
    positions that a hash of the node picks; smaller ones are leaves, and leaves with equal members are kept once. The
    mean number of children, 1.25, makes a link of similarity 0.8 survive with one expected copy; runs are repeated
    until the chance that it survives in none of them is below 1 - recall.
 3. Leaves are compared pair by pair on the min-hashes, with a margin that loses a link with a chance below 1e-4; a leaf
-   yields a spanning forest of its candidate links, not the pairs. A node that a split hardly shrinks is a dense group
+   yields one link for each set that has any, to the first set of its part, not the pairs. A node that a split hardly shrinks is a dense group
    of near copies: its members are compared to its least member, and only those unlike that one to all others, in blocks.
 4. Components of the candidate links are the groups in which all pairs are compared exactly on the shingle sets, in
    blocks of BLOCK sets, so that a component of any size is spread over tasks. Exact links give each set's number of
@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import column, groups, scratch, ship, slices, texts
+from scorelake.llm.common import append_columns, column, groups, scratch, ship, slices, texts
 from scorelake.llm.components import components
 
-WORDS, POSITIONS, LEAF, BLOCK = 5, 128, 256, 512
+WORDS, POSITIONS, LEAF, BLOCK = 5, 64, 2_048, 512
 #: Splits below the root at most; a node that keeps this share of its parent is dense.
 DEPTH, DENSE = 5, 0.7
-#: Ids that may be broadcast to fetch texts again; beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Rows about sets that may be broadcast to fetch their texts again; beyond it the texts are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _random = np.random.default_rng(20_240_607)
 _A = (_random.integers(0, 1 << 31, POSITIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -139,9 +139,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([rep, rep[two]])), pa.array(np.concatenate([size, size[two]]))], ["key", "rep", "above"])
 
 
-def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join two parts not joined so far."""
-    parent, out = list(range(n)), []
+def _stars(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
+    """For each of n sorted members the first member that ``pairs`` connect it with."""
+    parent = list(range(n))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -150,16 +150,14 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
         return i
 
     for a, b in pairs:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
 
 
 def _candidates(similarity: float):
-    """Spanning forests of the candidate links in each group of sketches. ``side``: only rows with 1 are compared to
-    all others, if the group has such rows and others."""
+    """In each group of sketches, links from each member to the first one that candidate links connect it with."""
     least = math.ceil(margin(similarity) * POSITIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +165,11 @@ def _candidates(similarity: float):
         for _, g in groups(batches, "key"):
             reps = g["rep"]
             s = _sketches(g["sketch"])
-            near = lambda i: np.flatnonzero((s[i + 1 :] == s[i]).sum(1) >= least) + i + 1
-            for i, j in _forest(len(reps), ((i, int(j)) for i in range(len(reps) - 1) for j in near(i))):
-                a.append(reps[i])
-                b.append(reps[j])
+            near = lambda i: (np.flatnonzero((s[i + 1 :] == s[i]).sum(1) >= least) + i + 1).tolist()
+            for i, first in enumerate(_stars(len(reps), ((i, j) for i in range(len(reps) - 1) for j in near(i)))):
+                if i != first:
+                    a.append(reps[i])
+                    b.append(reps[first])
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -271,27 +270,22 @@ def _linked(sets: list[np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
 
 
 def _verified(similarity: tuple[int, int]):
-    """For each group: kind 0, links of a set; kind 1, an edge of a spanning forest; kind 2, the class of a set, where
-    the group is the whole component."""
+    """For each group: kind 0, links of a set; kind 1, a link to the first set of its part; kind 2, the class of a set,
+    where the group is the whole component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
         for _, g in groups(batches, "key"):
+            once = [k for k, r in enumerate(g["rep"]) if not k or r != g["rep"][k - 1]]  # rows that repeat an id and its text
+            g = {n: [c[k] for k in once] for n, c in g.items()}
             reps, block = g["rep"], np.array(g["block"])
-            linked = _linked([np.frombuffer(s, np.uint64) for s in g["shingles"]], similarity)
+            linked = _linked([np.frombuffer(x, np.uint64) for x in g["shingles"]], similarity)
+            first = _stars(len(reps), ((i, j) for i in range(len(reps)) for j in (np.flatnonzero(linked[i, i + 1 :]) + i + 1).tolist()))
+            whole = g["blocks"][0] == 1
+            out += [(2 if whole else 1, r, reps[k]) for r, k in zip(reps, first, strict=True) if whole or r != reps[k]]
             if g["i"][0] != g["j"][0]:
                 linked &= block[:, None] != block[None]
-            links = linked @ np.array(g["copies"], np.int64)
-            out += [(0, r, int(n)) for r, n in zip(reps, links, strict=True) if n]
-            forest = _forest(len(reps), ((i, int(j)) for i in range(len(reps)) for j in np.flatnonzero(linked[i, i + 1 :]) + i + 1))
-            if g["blocks"][0] > 1:
-                out += [(1, reps[i], reps[j]) for i, j in forest]
-            else:
-                root = list(range(len(reps)))
-                for i, j in forest:
-                    old, new = sorted((root[i], root[j]), reverse=True)
-                    root = [new if r == old else r for r in root]
-                out += [(2, r, min(reps[k] for k in range(len(reps)) if root[k] == root[at])) for at, r in enumerate(reps)]
+            out += [(0, r, int(n)) for r, n in zip(reps, linked @ np.array(g["copies"], np.int64), strict=True) if n]
             if len(out) > 10_000:
                 yield _triples(out)
                 out = []
@@ -305,15 +299,11 @@ def _triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["kind", "a", "b"])
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found, ids = texts(batch), column(batch, "doc_id")
-        for a, b in slices([len(t or b"") for t in found], 8 << 20):
-            sets = [shingles(t) for t in found[a:b]]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "digest", "shingles"],
-            )
+def _with_shingles(batch: pa.RecordBatch) -> list[pa.Array]:
+    """The shingle set of a text, or null if the text is another one than the digest's."""
+    sets = [shingles(t) for t in texts(batch)]
+    same = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, column(batch, "digest").to_pylist(), strict=True)]
+    return [pa.array([s.tobytes() if k else None for s, k in zip(sets, same, strict=True)], pa.binary())]
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.9999) -> DataFrame:
@@ -330,17 +320,13 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     grouped = scratch(components(candidate_edges(sets, target, recall)), "candidate-components")
     sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = grouped.join(scratch(sizes, "sizes"), "root").join(sets.select(F.col("rep").alias("node"), "copies", "digest"), "node")
-    members = scratch(placed.select(F.col("node").alias("rep"), "root", "blocks", "copies", "digest"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    if members.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    found = narrow.join(wanted, "doc_id", "left_semi").mapInArrow(_shingle_rows, "doc_id bigint, digest binary, shingles binary").dropDuplicates(["doc_id", "digest"])
-    block = F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("blocks").cast("bigint")).cast("int")
-    rows = members.join(found.withColumnRenamed("doc_id", "rep"), ["rep", "digest"]).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = rows.select("rep", "root", "blocks", "block", "copies", "shingles", other).select(
-        "*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    ).select(F.xxhash64("root", "i", "j").alias("key"), "i", "j", "block", "blocks", "rep", "copies", "shingles")
+    members = scratch(placed.select(F.col("node").alias("doc_id"), "root", "blocks", "copies", "digest"), "members")
+    few = members.count() <= BROADCAST_ROWS
+    found = append_columns(narrow.join(F.broadcast(members) if few else members, "doc_id"), _with_shingles, [("shingles", "binary")]).where("shingles is not null")
+    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks").cast("bigint")).cast("int")
+    rows = found.select(F.col("doc_id").alias("rep"), "root", "blocks", "copies", "shingles", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = rows.select(F.xxhash64("root", "i", "j").alias("key"), "i", "j", "block", "blocks", "rep", "copies", "shingles")
     results = scratch(dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_verified(similarity), "kind int, a bigint, b bigint"), "links")
 
     links = results.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
