@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from scorelake.plans import measures, relations, rhythm, sessions  # noqa: F401
+from scorelake.plans import layout, measures, relations, rhythm, sessions  # noqa: F401
 from scorelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
