@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -24,14 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm.chunks import ChunkEncoder
-from scorelake.llm.common import append_columns, column, ship, texts
+from scorelake.llm.common import Recent, append_columns, column, ship, texts
 
 WORD = 256
 MERGES_KEPT = 1_000_000
+#: Parts and pre-tokens whose ids a worker remembers, and the latter's greatest length.
+CHUNKS = 600_000
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 40
 
 
 class RankQueue:
-    """Positions in buckets by rank; the lowest rank by find-first-set, the leftmost position first."""
+    """Positions in buckets by rank, with a bitmap of the waiting ranks (``words``) and one of its non-zero words (``top``).
+    RankBPE.merge takes the lowest rank's leftmost position out."""
 
     def __init__(self, ranks: int):
         self.words = [0] * (ranks // WORD + 1)
@@ -48,22 +53,6 @@ class RankQueue:
         else:
             heappush(bucket, position)
 
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        bit = bits & -bits
-        rank = word * WORD + bit.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits ^ bit
-            if bits == bit:
-                self.top ^= 1 << word
-        return rank, position
-
 
 class RankBPE:
     """Encodes and decodes by a vocabulary of byte strings with ranks."""
@@ -77,6 +66,7 @@ class RankBPE:
         self.findall = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.merges: dict[int, int] = {}
+        self.known = Recent(REMEMBERED)
 
     def _rank(self, left: int, right: int) -> int:
         """The rank of two tokens' joined bytes, -1 if there is none."""
@@ -96,15 +86,38 @@ class RankBPE:
         ids = [self.single[b] for b in piece]
         if None in ids:
             raise KeyError("the vocabulary lacks a single byte")
-        n, queue, rank_of = len(ids), self.queue, self._rank
+        n, queue, merges, rank_of = len(ids), self.queue, self.merges, self._rank
+        push, buckets = queue.push, queue.buckets
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waits = [-1] * n
+        left = ids[0]
         for p in range(n - 1):
-            waits[p] = rank = rank_of(ids[p], ids[p + 1])
+            right = ids[p + 1]
+            rank = merges.get(left << 32 | right)
+            if rank is None:
+                rank = rank_of(left, right)
+            left = right
             if rank >= 0:
-                queue.push(rank, p)
-        while (entry := queue.pop()) is not None:
-            rank, p = entry
+                waits[p] = rank
+                if rank in buckets:
+                    buckets[rank].append(p)  # positions rise, so a bucket stays in heap order
+                else:
+                    push(rank, p)
+        words = queue.words
+        while queue.top:
+            word = (queue.top & -queue.top).bit_length() - 1  # find-first-set over the words, then in the word
+            bits = words[word]
+            bit = bits & -bits
+            rank = word * WORD + bit.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                p = heappop(bucket)
+            else:  # the bucket is taken out
+                p = bucket[0]
+                del buckets[rank]
+                words[word] = bits ^ bit
+                if bits == bit:
+                    queue.top ^= 1 << word
             if waits[p] != rank:
                 continue  # stale
             gone = after[p]
@@ -113,14 +126,22 @@ class RankBPE:
             waits[p] = -1
             if following < n:
                 before[following] = p
-                waits[p] = rank = rank_of(ids[p], ids[following])
-                if rank >= 0:
-                    queue.push(rank, p)
+                right = ids[following]
+                new = merges.get(rank << 32 | right)
+                if new is None:
+                    new = rank_of(rank, right)
+                if new >= 0:
+                    waits[p] = new
+                    push(new, p)
             previous = before[p]
             if previous >= 0:
-                waits[previous] = rank = rank_of(ids[previous], ids[p])
-                if rank >= 0:
-                    queue.push(rank, previous)
+                left = ids[previous]
+                new = merges.get(left << 32 | rank)
+                if new is None:
+                    new = rank_of(left, rank)
+                waits[previous] = new
+                if new >= 0:
+                    push(new, previous)
         out, p = [], 0
         while p < n:
             out.append(ids[p])
@@ -128,8 +149,25 @@ class RankBPE:
         return out
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Each part's ids as little-endian unsigned 32-bit integers; a part is cut by the pattern first."""
-        return [np.array([i for piece in self.findall(part) for i in self.merge(piece.encode())], "<u4").tobytes() for part in parts]
+        """Each part's ids as little-endian unsigned 32-bit integers; a part is cut by the pattern first. Short
+        pre-tokens recur in parts that differ in punctuation only, so their ids are remembered."""
+        self.known.turn()
+        young, old, findall, merge = self.known.young, self.known.old, self.findall, self.merge
+        out = []
+        for part in parts:
+            ids = []
+            # a space and letters only are one match of the pattern
+            for piece in (part,) if part[:1] == " " and part[1:].isalpha() else findall(part):
+                got = young.get(piece)
+                if got is None:
+                    got = old.get(piece)
+                    if got is None:
+                        got = array("I", merge(piece.encode())).tobytes()
+                    if len(piece) <= REMEMBERED_LENGTH:
+                        young[piece] = got
+                ids.append(got)
+            out.append(b"".join(ids))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -147,7 +185,7 @@ def coder(path: str, pattern: str) -> tuple[RankBPE, ChunkEncoder]:
     """This worker's encoder of a rank file, loaded once."""
     if (path, pattern) not in _workers:
         bpe = RankBPE(load_ranks(path), pattern)
-        _workers[path, pattern] = bpe, ChunkEncoder(bpe.encode_parts)
+        _workers[path, pattern] = bpe, ChunkEncoder(bpe.encode_parts, CHUNKS)
     return _workers[path, pattern]
 
 

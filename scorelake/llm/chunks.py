@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
 
 from scorelake.llm.common import Recent, slices
 
@@ -23,7 +22,7 @@ AT_ONCE = 2 << 20
 class ChunkEncoder:
     """encode(parts) gives each part's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 400_000):
         self._encode, self._known = encode, Recent(remembered)
 
     def __call__(self, found: list[bytes]) -> list[bytes]:
@@ -34,10 +33,24 @@ class ChunkEncoder:
 
     def _some(self, found: list[bytes]) -> list[bytes]:
         whole = [bool(_UNCUT.search(t)) for t in found]
-        parts = [[] if w else t.split(b" ") for t, w in zip(found, whole, strict=True)]
-        heads = [t if w else p[0] for t, w, p in zip(found, whole, parts, strict=True)]
-        missing = self._known.missing(set(chain.from_iterable(p[1:] for p in parts)))
-        ids = self._encode([t.decode(errors="replace") for t in heads] + [" " + m.decode(errors="replace") for m in missing])
-        self._known.young.update(zip(missing, ids[len(heads) :], strict=True))
-        get = self._known.young.__getitem__
-        return [head + b"".join(map(get, p[1:])) for head, p in zip(ids, parts, strict=False)]
+        parts = [[t] if w else t.split(b" ") for t, w in zip(found, whole, strict=True)]
+        heads = [p.pop(0) for p in parts]
+        self._known.turn()
+        young, old = self._known.young, self._known.old
+        get, new, holes = young.get, {}, []
+        values = [list(map(get, p)) for p in parts]
+        for k, (v, p) in enumerate(zip(values, parts, strict=True)):
+            if None in v:
+                for i, x in enumerate(v):
+                    if x is None:
+                        key = p[i]
+                        if (x := old.get(key)) is not None:
+                            young[key] = v[i] = x
+                        else:
+                            new[key] = None
+                            holes.append((k, i, key))
+        ids = self._encode([t.decode(errors="replace") for t in heads] + [" " + m.decode(errors="replace") for m in new])
+        young.update(zip(new, ids[len(heads) :], strict=True))
+        for k, i, key in holes:
+            values[k][i] = young[key]
+        return [head + b"".join(v) for head, v in zip(ids, values, strict=False)]

@@ -153,10 +153,14 @@ class Recent:
     def __init__(self, bound: int):
         self.bound, self.young, self.old = bound, {}, {}
 
-    def missing(self, keys) -> list:
-        """Keys that neither generation has; those of the old one move to the young one."""
+    def turn(self) -> None:
+        """The young generation becomes the old one if it is full."""
         if len(self.young) > self.bound:
             self.old, self.young = self.young, {}
+
+    def missing(self, keys) -> list:
+        """Keys that neither generation has; those of the old one move to the young one."""
+        self.turn()
         young, old, out = self.young, self.old, []
         for k in keys:
             if k not in young:
