@@ -8,8 +8,8 @@ used as plain content, so that a window's two compressed lengths differ only by
 
 A window is a word with its boundary spaces, the smallest unit, since insults are strewn singly into other text. A
 document's measures are its largest gain (ordinary length minus toxic length), and how many and what share of its
-windows gain at least each of several thresholds; a logistic calibration, fitted on documents kept out of the
-dictionaries, turns them into a score, and its bias is set so that 0.5 is the threshold with the fewest errors.
+windows gain at least each of several thresholds; a logistic calibration, fitted on a third of the sample
+that is kept out of the dictionaries, turns them into a score, and its bias is set so that 0.5 is the threshold with the fewest errors.
 Windows recur, so a worker remembers the gains of those it has seen lately.
 
 Defined cases: a null or empty text scores as one without gains; without toxic or without ordinary examples every score
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, admitted: Column, docs_per_class: in
     if errors[best] < 0:
         after = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1
         w[-1] -= (z[order][best] + after) / 2
-    return Model(*dictionaries(toxic, ordinary), tuple(w.tolist()))
+    return Model(draft.toxic, draft.ordinary, tuple(w.tolist()))
 
 
 _known: dict[int, Recent] = {}
