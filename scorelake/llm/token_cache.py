@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import SPACE, Recent, column, ship, slices, texts
+from scorelake.llm.common import SPACE, Recent, column, scratch, ship, slices, texts
 
 CACHE = "tokenizer string, digest binary, n_tokens bigint"
 #: Words whose counts one Python worker remembers, and bytes of text it works on at once.
@@ -93,4 +93,5 @@ def cached_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, normali
             yield pa.RecordBatch.from_arrays([column(batch, "digest"), pa.array(count_tokens(texts(batch, "content"), tokenizer_path), pa.int64())], ["digest", "n_tokens"])
 
     misses.mapInArrow(encode, "digest binary, n_tokens bigint").withColumn("tokenizer", F.lit(version)).write.partitionBy("tokenizer").parquet(cache_path, mode="append")
-    return keyed.select("doc_id", "n_bytes", "digest").join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # read from a plain written table, so that Spark can split the join where one digest has very many rows
+    return keyed.select("doc_id", "n_bytes", "digest").join(scratch(stored(), "token-counts"), "digest").select("doc_id", "n_bytes", "n_tokens")
