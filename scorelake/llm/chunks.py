@@ -2,9 +2,13 @@
 
 The patterns of byte-level tokenizers attach a space to the part that follows it. A text may therefore be cut before
 each single space that something other than white space follows: no match of the pattern reaches over such a cut.
-Parts recur, so a worker remembers the ids of those it has seen lately and passes only new ones on. A text with a
-space before other white space, or before a character whose first byte may begin white space beyond ASCII, is not
-cut but encoded whole.
+Parts recur, so a worker keeps the ids of those it has seen lately in a few flat arrays, and only new parts are
+encoded. All parts of a batch are hashed, looked up and put together again by array operations. A text with a space
+before other white space, or before a character whose first byte may begin white space beyond ASCII, is not cut but
+encoded whole; so is a part of more than LONGEST bytes, which is not kept either.
+
+A part is known by two independent 64-bit hashes; if the first ones of two parts meet, the second ones tell them
+apart and the later part is encoded each time.
 """
 
 from __future__ import annotations
@@ -12,18 +16,50 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from scorelake.llm.common import Recent, slices
+import numpy as np
+
+from scorelake.llm.common import slices
 
 #: A space before white space, before a byte that may begin white space beyond ASCII, or at the end.
 _UNCUT = re.compile(rb" (?:[\s\x1c-\x1f\xc2\xe1\xe2\xe3]|\Z)")
-AT_ONCE = 2 << 20
+AT_ONCE, LONGEST = 1 << 20, 64
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two polynomial hashes of each span, from prefix sums over the whole buffer."""
+    if not _powers or len(_powers[0][0]) <= len(buf):
+        _powers.clear()
+        for base in _BASES:
+            pair = []
+            for factor in (base, pow(base, -1, 1 << 64)):
+                x = np.full(max(AT_ONCE, len(buf)) + 1, factor, np.uint64)
+                x[0] = 1
+                pair.append(np.cumprod(x, dtype=np.uint64))
+            _powers.append((pair[0], pair[1]))
+    wide = buf.astype(np.uint64) + np.uint64(1)
+    out = []
+    for up, down in _powers:
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(wide * up[: len(buf)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        out.append((h ^ (h >> np.uint64(29))) * np.uint64(_BASES[1]))
+    return out
 
 
 class ChunkEncoder:
     """encode(parts) gives each part's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 400_000):
-        self._encode, self._known = encode, Recent(remembered)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 1_000_000):
+        self._encode, self._bound, self._turn, self._seen = encode, remembered, 0, 0
+        self._forget()
+
+    def _forget(self) -> None:
+        #: By the first hash: the second one, where a part's ids begin in the pool, how many there are, when last used.
+        self._first, self._second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self._at, self._n, self._used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._pool = np.zeros(0, "<u4")
 
     def __call__(self, found: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -32,25 +68,70 @@ class ChunkEncoder:
         return out
 
     def _some(self, found: list[bytes]) -> list[bytes]:
-        whole = [bool(_UNCUT.search(t)) for t in found]
-        parts = [[t] if w else t.split(b" ") for t, w in zip(found, whole, strict=True)]
-        heads = [p.pop(0) for p in parts]
-        self._known.turn()
-        young, old = self._known.young, self._known.old
-        get, new, holes = young.get, {}, []
-        values = [list(map(get, p)) for p in parts]
-        for k, (v, p) in enumerate(zip(values, parts, strict=True)):
-            if None in v:
-                for i, x in enumerate(v):
-                    if x is None:
-                        key = p[i]
-                        if (x := old.get(key)) is not None:
-                            young[key] = v[i] = x
-                        else:
-                            new[key] = None
-                            holes.append((k, i, key))
-        ids = self._encode([t.decode(errors="replace") for t in heads] + [" " + m.decode(errors="replace") for m in new])
-        young.update(zip(new, ids[len(heads) :], strict=True))
-        for k, i, key in holes:
-            values[k][i] = young[key]
-        return [head + b"".join(v) for head, v in zip(ids, values, strict=False)]
+        out: list[bytes] = [b""] * len(found)
+        whole = [i for i, t in enumerate(found) if len(t) > AT_ONCE or _UNCUT.search(t)]
+        for i, x in zip(whole, self._encode([found[i].decode(errors="replace") for i in whole]), strict=True):
+            out[i] = x
+        apart = set(whole)
+        cut = [i for i, t in enumerate(found) if t and i not in apart]
+        if cut:
+            for i, x in zip(cut, self._cut([found[i] for i in cut]), strict=True):
+                out[i] = x
+        return out
+
+    def _cut(self, found: list[bytes]) -> list[bytes]:
+        raw = b"".join(found)
+        buf = np.frombuffer(raw, np.uint8)
+        docs = np.cumsum([0, *map(len, found)])
+        begins = buf == 32
+        begins[docs[:-1]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(buf))
+        first, second = _hashes(buf, starts, ends)
+        keys, at, back = np.unique(first, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(second[at][back] != second)  # parts whose first hash another part of the batch has
+        place = np.searchsorted(self._first, keys)
+        near = np.minimum(place, max(0, len(self._first) - 1))
+        same = self._first[near] == keys if len(self._first) else np.zeros(len(keys), bool)
+        known = same & (self._second[near] == second[at]) if len(self._first) else same
+        self._turn += 1
+        self._used[near[known]] = self._turn
+        ask = np.concatenate([at[~known], odd])
+        ids = self._encode([raw[a:b].decode(errors="replace") for a, b in zip(starts[ask].tolist(), ends[ask].tolist(), strict=True)])
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.concatenate([self._pool, np.frombuffer(b"".join(ids), "<u4")])
+        begin = len(self._pool) + np.cumsum(n) - n
+        fresh = len(keys) - int(known.sum())
+        where, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        where[known], count[known] = self._at[near[known]], self._n[near[known]]
+        where[~known], count[~known] = begin[:fresh], n[:fresh]
+        where, count = where[back], count[back]
+        where[odd], count[odd] = begin[fresh:], n[fresh:]
+        upto = np.cumsum(count)
+        tokens = pool[np.repeat(where - (upto - count), count) + np.arange(int(upto[-1]))].tobytes()
+        last = np.searchsorted(starts, docs[1:], "left") - 1
+        edges = [0, *(4 * upto[last]).tolist()]
+        self._keep(keys, second[at], where_new=begin[:fresh], n_new=n[:fresh], new=~known, fits=~same & (ends[at] - starts[at] <= LONGEST), place=place, pool=pool)
+        return [tokens[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _keep(self, keys, second, where_new, n_new, new, fits, place, pool) -> None:
+        """Put the new parts that fit among the known ones; if these are too many, drop what has not been used since
+        the last time, or all if that is too little."""
+        take = new & fits
+        chosen = fits[new]
+        at = place[take]
+        self._first, self._second = np.insert(self._first, at, keys[take]), np.insert(self._second, at, second[take])
+        self._at, self._n = np.insert(self._at, at, where_new[chosen]), np.insert(self._n, at, n_new[chosen])
+        self._used = np.insert(self._used, at, self._turn)
+        self._pool = pool
+        if len(self._first) > self._bound or len(pool) > 16 * self._bound:  # the pool also holds ids of parts that are not kept
+            stay = self._used > self._seen
+            self._seen = self._turn
+            if 4 * stay.sum() > 3 * self._bound:
+                self._forget()
+                return
+            self._first, self._second, self._used = self._first[stay], self._second[stay], self._used[stay]
+            at, n = self._at[stay], self._n[stay]
+            upto = np.cumsum(n)
+            self._pool = self._pool[np.repeat(at - (upto - n), n) + np.arange(int(n.sum()))]
+            self._at, self._n = upto - n, n

@@ -45,8 +45,10 @@ def encode(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray) -> list[bytes
         return []
     n_blocks = -(-len(ids) // BLOCK)
     start = np.cumsum(freq, dtype=np.uint64) - freq
-    at = np.searchsorted(symbols, ids)
-    at = np.concatenate([at, np.full(n_blocks * BLOCK - len(ids), int(np.argmax(freq)))])
+    place = np.zeros(int(symbols[-1]) + 1, np.uint32)
+    place[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    at = place[ids]
+    at = np.concatenate([at, np.full(n_blocks * BLOCK - len(ids), np.argmax(freq), np.uint32)])
     # by step: tokens of a block are dealt to its states in turn
     at = at.reshape(n_blocks, STEPS, LANES).transpose(1, 0, 2).reshape(STEPS, -1)
     state = np.full(n_blocks * LANES, LOW, np.uint64)
@@ -81,7 +83,7 @@ def decode(blocks: list[bytes], symbols: np.ndarray, freq: np.ndarray) -> np.nda
     if not blocks:
         return np.zeros(0, np.uint32)
     start = (np.cumsum(freq, dtype=np.uint64) - freq).astype(np.uint64)
-    slot_of = np.repeat(np.arange(len(symbols), dtype=np.uint32), freq)
+    slot_of = np.repeat(np.arange(len(symbols), dtype=np.uint16 if len(symbols) <= 1 << 16 else np.uint32), freq)
     heads, states, streams, at = [], [], [], []
     base = 0
     for block in blocks:

@@ -2,7 +2,7 @@
 
 ``write`` deals the documents out by ranges of doc_id, so file k holds smaller ids than file k + 1, encodes each range
 in one task, and stores rows of (file, section, doc_ids, lengths, symbols, freqs, blocks) with Spark's writer, whose
-commit makes a lost or repeated task harmless. A section holds whole documents of about four million tokens, so memory
+commit makes a lost or repeated task harmless. A section holds whole documents of about a million tokens, so memory
 does not follow the size of a file. ``read`` decodes the sections in parallel; where a document starts in the whole
 sequence comes from sums over files, then over groups of files.
 
@@ -14,6 +14,7 @@ rows and an empty result; other columns are left out.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from scorelake.llm import rans
 from scorelake.llm.chunks import ChunkEncoder
 from scorelake.llm.common import column, ship, slices, texts
 
-SECTION_TOKENS = 4 << 20
+SECTION_TOKENS = 1 << 20
 FILE = "file int, section int, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, symbols binary, freqs binary, blocks array<binary>"
 _FILE = pa.schema(
     [("file", pa.int32()), ("section", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("symbols", pa.binary()), ("freqs", pa.binary()), ("blocks", pa.list_(pa.binary()))]
@@ -36,12 +37,39 @@ _FILE = pa.schema(
 _workers: dict[str, ChunkEncoder] = {}
 
 
+#: The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow 255.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b if b in _PRINTABLE else 256 + sum(o not in _PRINTABLE for o in range(b)) for b in range(256)}
+
+
 def _encoder(path: str) -> ChunkEncoder:
+    """This worker's encoder. A space with letters, and with one stop after them, needs none of the library's splitting
+    of texts: its model gets the pieces themselves. All other parts, and whole texts, go through the whole library."""
     if path not in _workers:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _workers[path] = ChunkEncoder(lambda parts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        merge = tokenizer.model.tokenize
+        stops = {c: array("I", [t.id for t in merge(c)]).tobytes() for c in ".,;:!?"}
+
+        def letters(part: str) -> bytes:
+            return array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+        def encode(parts: list[str]) -> list[bytes]:
+            out: list[bytes | None] = []
+            rest = []
+            for part in parts:
+                if part[:1] == " " and part[1:].isalpha():
+                    out.append(letters(part))
+                elif part[:1] == " " and part[-1] in stops and part[1:-1].isalpha():
+                    out.append(letters(part[:-1]) + stops[part[-1]])
+                else:
+                    out.append(None)
+                    rest.append(part)
+            found = iter(tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+            return [array("I", next(found).ids).tobytes() if x is None else x for x in out]
+
+        _workers[path] = ChunkEncoder(encode)
     return _workers[path]
 
 
