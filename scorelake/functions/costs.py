@@ -5,36 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Prefix of the model, then dollars per million tokens of input and of output; the first prefix that fits counts.
-RATES = (("pro", 1.25, 10.0), ("flash", 0.3, 2.5))
+# Prefix of the model's name, dollars per million tokens of input and of output; the first prefix that
+# fits counts, so a longer name after a shorter one never does.
+PRICES = (
+    ("gemini-3.1-pro", 1.25, 12.0),
+    ("gemini-3-pro", 1.25, 12.0),
+    ("gemini-pro-latest", 1.25, 12.0),
+    ("gemini-3-flash", 0.3, 2.5),
+    ("gemini-3.1-flash", 0.3, 2.5),
+    ("gemini-flash-latest", 0.3, 2.5),
+    ("gemini-flash-lite-latest", 0.1, 0.4),
+    ("gemini-2.5-pro", 1.25, 10.0),
+    ("gemini-2.5-flash", 0.3, 2.5),
+    ("gemini-2.0-flash", 0.1, 0.4),
+)
 CACHED_SHARE = 0.25
+# Prices of chat turns. The pro family has a dearer input beyond LONG_INPUT tokens.
+CHAT_PRO = ("gemini-3.1-pro", "gemini-3-pro", "gemini-2.5-pro")
+CHAT_PRO_INPUT, CHAT_PRO_LONG_INPUT, CHAT_PRO_OUTPUT, LONG_INPUT = 1.25, 5.0, 10.0, 200_000
+CHAT_FLASH, CHAT_FLASH_INPUT, CHAT_FLASH_OUTPUT = "gemini-2.5-flash", 0.075, 0.3
+CHAT_OTHER_INPUT, CHAT_OTHER_OUTPUT = 1.25, 10.0
 
 
 def _rate(model: Column, which: int) -> Column:
-    out = None
-    for row in RATES:
-        fits = model.startswith(row[0])
-        out = F.when(fits, F.lit(row[which])) if out is None else out.when(fits, F.lit(row[which]))
+    out = F.when(F.lit(False), F.lit(0.0))
+    for row in PRICES:
+        out = out.when(model.startswith(row[0]), F.lit(row[which]))
     return out
 
 
-def cost(model: Column, asked: Column, answered: Column, cached: Column) -> Column:
-    """Dollars of a call; cached input costs a quarter and never counts for more than the input; null if unknown."""
+def _dollars(millionths: Column) -> Column:
+    """Rounded to six places by way of whole millionths, which any engine rounds alike."""
+    return F.floor(millionths + 0.5) / F.lit(1e6)
+
+
+def _input(asked: Column, cached: Column, rate: Column) -> Column:
+    """Cached input costs a quarter and never counts for more than the input."""
     hit = F.greatest(F.lit(0), F.least(cached, asked))
-    dear = _rate(model, 1)
-    return ((asked - hit) * dear + hit * dear * CACHED_SHARE + answered * _rate(model, 2)) / 1e6
+    return (asked - hit) * rate + hit * rate * CACHED_SHARE
 
 
-def tiered_cost(model: Column, asked: Column, answered: Column, tier: int = 200_000) -> Column:
-    """Dollars of a chat turn: the pro family doubles its price for long inputs, others have one price."""
-    pro = model.startswith("pro")
-    long = F.when(asked > tier, asked * 2.5 + answered * 15.0).otherwise(asked * 1.25 + answered * 10.0)
-    return F.when(pro, long).otherwise(asked * 0.3 + answered * 2.5) / 1e6
+def cost(model: Column, asked: Column, answered: Column, cached: Column) -> Column:
+    """Dollars of a call, null for a model without a price."""
+    return _dollars(_input(asked, cached, _rate(model, 1)) + answered * _rate(model, 2))
+
+
+def chat_cost(model: Column, asked: Column, answered: Column, cached: Column) -> Column:
+    """Dollars of a chat turn; models without a price count as dear ones without a cache."""
+    pro = F.lit(False)
+    for prefix in CHAT_PRO:
+        pro = pro | model.startswith(prefix)
+    tier = F.when(asked > LONG_INPUT, F.lit(CHAT_PRO_LONG_INPUT)).otherwise(F.lit(CHAT_PRO_INPUT))
+    return _dollars(
+        F.when(pro, _input(asked, cached, tier) + answered * CHAT_PRO_OUTPUT)
+        .when(model.startswith(CHAT_FLASH), _input(asked, cached, F.lit(CHAT_FLASH_INPUT)) + answered * CHAT_FLASH_OUTPUT)
+        .otherwise(asked * CHAT_OTHER_INPUT + answered * CHAT_OTHER_OUTPUT)
+    )
 
 
 def bound_usage(lines: DataFrame) -> DataFrame:
     """Order lines as model calls."""
-    model = F.when(F.col("l_returnflag") == "A", "pro-1").when(F.col("l_returnflag") == "N", "flash-lite-2").otherwise("other")
+    model = F.when(F.col("l_returnflag") == "A", "gemini-2.5-pro").when(F.col("l_returnflag") == "N", "gemini-2.5-flash-lite").otherwise("other")
     asked = F.col("l_quantity") * 6000
     return lines.select(
         "l_orderkey", "l_linenumber", model.alias("model"), asked.cast("bigint").alias("input"), F.rint(F.col("l_extendedprice") / 100).cast("bigint").alias("output"), F.floor(asked * F.col("l_discount") * 12).alias("cached")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 # Names of the twelve pitch classes from C.
 NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
-# Sharps and their flat spellings.
-FLATS = {"C#": "Db", "D#": "Eb", "F#": "Gb", "G#": "Ab", "A#": "Bb"}
+# Sharps and their flat spellings, in the order in which keys with more flats spell more of them.
+FLATS = {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db", "F#": "Gb"}
+# How many of these a key spells as flats.
+FLATS_OF_KEY = {
+    "f_major": 1, "bb_major": 2, "eb_major": 3, "ab_major": 4, "db_major": 5, "gb_major": 5,
+    "d_minor": 1, "g_minor": 2, "c_minor": 3, "f_minor": 4, "bb_minor": 5, "eb_minor": 5,
+}
 
 
 def class_name(midi: Column) -> Column:
@@ -51,25 +56,28 @@ def decibels(x: Column, reference: float = 1.0, floor: float = 1e-9) -> Column:
     return F.lit(20.0) * F.log10(F.greatest(x, F.lit(floor)) / reference)
 
 
-def flat_spelling(name: Column) -> Column:
-    """A sharp name with its flat spelling, other names as they are."""
+def spelled(name: Column, key: Column) -> Column:
+    """A sharp name (also inside a sentence) as the key spells it. Keys are compared without regard to case, and with
+    spaces and dashes as underscores; in a key without flats names stay as they are."""
+    norm = F.regexp_replace(F.lower(F.trim(key)), "[ -]", "_")
+    flats = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in FLATS_OF_KEY.items() for x in kv)), norm), F.lit(0))
     out = name
-    for sharp, flat in FLATS.items():
-        out = F.replace(out, F.lit(sharp), F.lit(flat))
+    for i, (sharp, flat) in enumerate(FLATS.items()):
+        out = F.when(flats > i, F.replace(out, F.lit(sharp), F.lit(flat))).otherwise(out)
     return out
 
 
-# Deviations in cents of the twelve pitch classes in just and in Pythagorean temperament.
-JUST = (0.0, 11.73, 3.91, 15.64, -13.69, -1.96, -9.78, 1.96, 13.69, -15.64, 17.60, -11.73)
-PYTHAGOREAN = (0.0, 13.69, 3.91, -5.87, 7.82, -1.96, 11.73, 1.96, 15.64, 5.87, -3.91, 9.78)
+# The twelve intervals above a root, in cents, in just and in Pythagorean temperament.
+JUST = (0.0, 111.73, 203.91, 315.64, 386.31, 498.04, 590.22, 701.96, 813.69, 884.36, 996.09, 1088.27)
+PYTHAGOREAN = (0.0, 113.69, 203.91, 294.13, 407.82, 498.04, 611.73, 701.96, 815.64, 905.87, 1019.55, 1109.78)
 # Major keys from seven flats to seven sharps.
 KEYS = ("Cb", "Gb", "Db", "Ab", "Eb", "Bb", "F", "C", "G", "D", "A", "E", "B", "F#", "C#")
 
 
-def best_temperament(deviation: Column, midi: Column) -> Column:
+def best_temperament(deviation: Column, midi: Column, root: int = 0) -> Column:
     """The temperament from which a deviation (in cents from equal temperament) is least far, the first one on a tie."""
-    at = (F.pmod(midi, F.lit(12)) + 1).cast("int")
-    offset = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
+    interval = F.pmod(midi - root, F.lit(12)).cast("int")
+    offset = lambda values: F.element_at(F.array(*map(F.lit, values)), interval + 1) - interval * F.lit(100.0)
     options = ((0, "12_tet", F.lit(0.0)), (1, "just", offset(JUST)), (2, "pythagorean", offset(PYTHAGOREAN)))
     return F.array_min(F.array(*(F.struct(F.abs(deviation - o).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, n, o in options)))["name"]
 

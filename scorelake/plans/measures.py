@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.functions import costs, pitch, text
+from scorelake.functions import costs, pitch, profiles, text
 from scorelake.operators import ordered, spectra
 from scorelake.plans.registry import query
 from scorelake.sources.bindings import frames, onsets, perf_notes, score_notes, table, with_
@@ -319,7 +319,7 @@ def fn05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn06_temperament",
-    f"""{with_('p')}, x AS (SELECT state_idx, amplitude - 50 AS c, [0.0, 11.73, 3.91, 15.64, -13.69, -1.96, -9.78, 1.96, 13.69, -15.64, 17.60, -11.73][pitch % 12 + 1]::DOUBLE AS just, [0.0, 13.69, 3.91, -5.87, 7.82, -1.96, 11.73, 1.96, 15.64, 5.87, -3.91, 9.78][pitch % 12 + 1]::DOUBLE AS pyth FROM p)
+    f"""{with_('p')}, x AS (SELECT state_idx, amplitude - 50 AS c, [0.0, 111.73, 203.91, 315.64, 386.31, 498.04, 590.22, 701.96, 813.69, 884.36, 996.09, 1088.27][pitch % 12 + 1]::DOUBLE - (pitch % 12) * 100.0::DOUBLE AS just, [0.0, 113.69, 203.91, 294.13, 407.82, 498.04, 611.73, 701.96, 815.64, 905.87, 1019.55, 1109.78][pitch % 12 + 1]::DOUBLE - (pitch % 12) * 100.0::DOUBLE AS pyth FROM p)
     SELECT state_idx, CASE WHEN abs(c) <= abs(c - just) AND abs(c) <= abs(c - pyth) THEN '12_tet' WHEN abs(c - just) <= abs(c - pyth) THEN 'just' ELSE 'pythagorean' END AS best FROM x""",
 )
 def fn06(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,13 +347,14 @@ def fn09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn11_respell",
-    f"""{with_('p')}, n AS (SELECT state_idx, session_id, {_NAMES}[pitch % 12 + 1] AS name FROM p)
-    SELECT state_idx, CASE WHEN session_id % 2 = 0 THEN replace(replace(replace(replace(replace(name, 'C#', 'Db'), 'D#', 'Eb'), 'F#', 'Gb'), 'G#', 'Ab'), 'A#', 'Bb') ELSE name END AS spelled FROM n""",
+    f"""{with_('p')}, n AS (SELECT state_idx, session_id % 4 AS k, {_NAMES}[pitch % 12 + 1] AS name FROM p)
+    SELECT state_idx, CASE k WHEN 0 THEN name WHEN 1 THEN replace(name, 'A#', 'Bb') WHEN 2 THEN replace(replace(replace(name, 'A#', 'Bb'), 'D#', 'Eb'), 'G#', 'Ab')
+      ELSE replace(replace(replace(replace(replace(name, 'C#', 'Db'), 'D#', 'Eb'), 'F#', 'Gb'), 'G#', 'Ab'), 'A#', 'Bb') END AS spelled FROM n""",
 )
 def fn11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also FN-12: flats in flat keys (here: of even sessions)."""
-    name = pitch.class_name(F.col("pitch"))
-    return perf_notes(spark, sf_dir).select("state_idx", F.when(F.col("session_id") % 2 == 0, pitch.flat_spelling(name)).otherwise(name).alias("spelled"))
+    """Also FN-12: names as the session's key spells them."""
+    key = F.element_at(F.array(*map(F.lit, ("G major", "F Major", "c-minor", "bb minor"))), (F.col("session_id") % 4 + 1).cast("int"))
+    return perf_notes(spark, sf_dir).select("state_idx", pitch.spelled(pitch.class_name(F.col("pitch")), key).alias("spelled"))
 
 
 @query("fn13_note_id", f"{with_('p')} SELECT state_idx, 'm' || measure::VARCHAR || '_b' || (1 + pitch % 4)::VARCHAR || '.00_' || {_NAMES}[pitch % 12 + 1] AS note_id, 100 * measure + pitch % 10 AS system_id FROM p")
@@ -392,28 +393,31 @@ def fn22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perf_notes(spark, sf_dir).select("state_idx", start.alias("start"), (start + length).alias("end"), F.coalesce(F.when(F.col("kind") == "error", "alert"), F.lit("info")).alias("severity"))
 
 
-_USAGE = "u AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'pro-1' WHEN 'N' THEN 'flash-lite-2' ELSE 'other' END AS model, (l_quantity * 6000)::BIGINT AS input, (l_extendedprice / 100)::BIGINT AS output, floor(l_quantity * 6000 * l_discount * 12)::BIGINT AS cached FROM lineitem)"
+_USAGE = """u AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'gemini-2.5-pro' WHEN 'N' THEN 'gemini-2.5-flash-lite' ELSE 'other' END AS model, (l_quantity * 6000)::BIGINT AS input, (l_extendedprice / 100)::BIGINT AS output,
+  greatest(0, least(floor(l_quantity * 6000 * l_discount * 12)::BIGINT, (l_quantity * 6000)::BIGINT)) AS hit FROM lineitem)"""
 
 
 @query(
     "fn24_cost",
-    f"""WITH {_USAGE}, c AS (SELECT *, greatest(0, least(cached, input)) AS hit, CASE WHEN starts_with(model, 'pro') THEN 1.25 WHEN starts_with(model, 'flash') THEN 0.3 END AS rate_in, CASE WHEN starts_with(model, 'pro') THEN 10.0 WHEN starts_with(model, 'flash') THEN 2.5 END AS rate_out FROM u)
-    SELECT l_orderkey, l_linenumber, ((input - hit) * rate_in + hit * rate_in * 0.25 + output * rate_out)::DOUBLE / 1e6 AS cost FROM c""",
+    f"""WITH {_USAGE} SELECT l_orderkey, l_linenumber, floor(CASE model WHEN 'gemini-2.5-pro' THEN ((input - hit) * 1.25::DOUBLE + hit * 1.25::DOUBLE * 0.25::DOUBLE + output * 10.0::DOUBLE)
+      WHEN 'gemini-2.5-flash-lite' THEN ((input - hit) * 0.3::DOUBLE + hit * 0.3::DOUBLE * 0.25::DOUBLE + output * 2.5::DOUBLE) END + 0.5) / 1e6 AS cost FROM u""",
 )
 def fn24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices by prefix of the model; cached input at a quarter; null for unknown models."""
+    """Prices by the first prefix of the model's name that fits; cached input at a quarter; null for unknown models."""
     usage = costs.bound_usage(table(spark, sf_dir, "lineitem"))
     return usage.select("l_orderkey", "l_linenumber", costs.cost(F.col("model"), F.col("input"), F.col("output"), F.col("cached")).alias("cost"))
 
 
 @query(
     "fn25_chat_cost",
-    f"WITH {_USAGE} SELECT l_orderkey, l_linenumber, (CASE WHEN model LIKE 'pro%' AND input > 200000 THEN input * 2.5::DOUBLE + output * 15.0::DOUBLE WHEN model LIKE 'pro%' THEN input * 1.25::DOUBLE + output * 10.0::DOUBLE ELSE input * 0.3::DOUBLE + output * 2.5::DOUBLE END) / 1e6 AS cost FROM u",
+    f"""WITH {_USAGE}, t AS (SELECT *, CASE WHEN input > 200000 THEN 5.0::DOUBLE ELSE 1.25::DOUBLE END AS tier FROM u)
+    SELECT l_orderkey, l_linenumber, floor(CASE model WHEN 'gemini-2.5-pro' THEN (input - hit) * tier + hit * tier * 0.25::DOUBLE + output * 10.0::DOUBLE
+      WHEN 'gemini-2.5-flash-lite' THEN (input - hit) * 0.075::DOUBLE + hit * 0.075::DOUBLE * 0.25::DOUBLE + output * 0.3::DOUBLE ELSE input * 1.25::DOUBLE + output * 10.0::DOUBLE END + 0.5) / 1e6 AS cost FROM t""",
 )
 def fn25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dearer tier for long inputs of one family, flat prices for the others."""
+    """A dearer tier for long inputs of one family, other prices for the rest."""
     usage = costs.bound_usage(table(spark, sf_dir, "lineitem"))
-    return usage.select("l_orderkey", "l_linenumber", costs.tiered_cost(F.col("model"), F.col("input"), F.col("output")).alias("cost"))
+    return usage.select("l_orderkey", "l_linenumber", costs.chat_cost(F.col("model"), F.col("input"), F.col("output"), F.col("cached")).alias("cost"))
 
 
 @query(
@@ -429,11 +433,20 @@ def fn27(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("fn31_profiles", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'piano' WHEN lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%tin%' THEN 'voice' ELSE 'violin' END AS profile FROM part")
+_INSTRUMENTS = ("Grand Piano", "Violin (solo)", "violin", "Viola da gamba", "Violoncello", "Flute", "", "Church organ")
+
+
+@query(
+    "fn31_profiles",
+    """WITH i AS (SELECT p_partkey, ['Grand Piano', 'Violin (solo)', 'violin', 'Viola da gamba', 'Violoncello', 'Flute', '', 'Church organ'][p_size % 8 + 1] AS s FROM part),
+    q AS (SELECT p_partkey, CASE WHEN s IN ('Grand Piano', 'Church organ') THEN 'piano' WHEN lower(s) LIKE 'violin%' AND s <> 'Violoncello' THEN 'violin_solo' WHEN s LIKE 'Viola%' THEN 'viola_solo' WHEN s = 'Violoncello' THEN 'cello_solo' END AS profile FROM i)
+    SELECT p_partkey, profile, CASE WHEN profile IN ('piano', 'violin_solo') THEN profile ELSE 'default' END AS used FROM q""",
+)
 def fn31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also FN-32: the first rule that fits, else the default."""
-    kind = F.lower("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(kind.contains("steel"), "piano").when(kind.contains("brass") | kind.contains("tin"), "voice").otherwise("violin").alias("profile"))
+    """Also FN-32: the first rule that fits, then the known profile or the default."""
+    named = F.element_at(F.array(*map(F.lit, _INSTRUMENTS)), (F.col("p_size") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", profiles.profile_of(named).alias("profile"))
+    return rows.select("p_partkey", "profile", profiles.known_profile(F.col("profile"), ["piano", "violin_solo"]).alias("used"))
 
 
 @query("fn37_map_merge", "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'own' END, 'base') AS a, 'base' AS b, replace(replace('{x} in {y}', '{x}', s_name), '{y}', s_nationkey::VARCHAR) AS filled, CASE WHEN s_acctbal < 0 THEN '—' ELSE 'ok' END AS cell FROM supplier")

@@ -38,7 +38,7 @@ def test_islands_and_spines(spark):
     assert sorted(r.n for r in spine.collect()) == [3, 4, 5]
 
 
-@pytest.mark.parametrize("model, asked, answered, cached, want", [("pro-x", 100_000, 1_000, 0, 0.135), ("pro-x", 100_000, 1_000, 50_000, 0.088125), ("who", 5, 5, 0, None)])
+@pytest.mark.parametrize("model, asked, answered, cached, want", [("gemini-2.5-pro", 100_000, 1_000, 0, 0.135), ("gemini-2.5-pro", 100_000, 1_000, 50_000, 0.088125), ("who", 5, 5, 0, None)])
 def test_costs(spark, model, asked, answered, cached, want):
     row = spark.createDataFrame([(model, asked, answered, cached)], "m string, a bigint, b bigint, c bigint")
     found = row.select(costs.cost(F.col("m"), F.col("a"), F.col("b"), F.col("c")).alias("x")).first().x
