@@ -66,11 +66,13 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def fit(docs: DataFrame, labelled: Column, docs_per_language: int = DOCS_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Profiles:
     """Learn from documents that ``labelled`` admits. The sample is bounded and repeatable: of each language the
-    documents with the smallest hashes of their id."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count()
+    documents with the smallest hashes of their id. Their list is broadcast to find the texts, which are not shuffled."""
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(labelled & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     share = unit_hash(F.col("doc_id"), "language sample")
-    sample = rows.join(counts, "lang").where(share * F.col("count") < docs_per_language).select("lang", "text", share.alias("order"))
+    counts = F.broadcast(ids.groupBy("lang").count())  # a row for each language
+    wanted = ids.join(counts, "lang").where(share * F.col("count") < docs_per_language).groupBy("doc_id").agg(F.min(share).alias("order"))
+    texts_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    sample = texts_.join(F.broadcast(wanted), "doc_id").select("lang", "text", "order")
     seen: dict[str, np.ndarray] = {}
     for row in bounded_rows(sample, "order", sample_chars):
         into = seen.setdefault(row["lang"], np.zeros(BUCKETS))
@@ -168,13 +170,13 @@ def infer(docs: DataFrame, profiles: Profiles) -> DataFrame:
             for a, b in slices([len(t or b"") for t in found], AT_ONCE):
                 words = [words_of(t) if model.languages else [] for t in found[a:b]]
                 missing = known.missing(set(chain.from_iterable(words)))
-                known.young.update(zip(missing, word_scores(missing, model), strict=True))
+                known.young.update(zip(missing, map(np.ndarray.tobytes, word_scores(missing, model).astype(np.float32)), strict=True))
                 get = known.young.__getitem__
                 some = [i for i, w in enumerate(words) if w]
                 preds, scores, shares = ["und"] * (b - a), [0.0] * (b - a), [[] for _ in range(b - a)]
                 if some:
                     lengths = np.array([len(words[i]) for i in some])
-                    flat = np.array([get(w) for i in some for w in words[i]])
+                    flat = np.frombuffer(b"".join(get(w) for i in some for w in words[i]), np.float32).reshape(-1, len(model.languages))
                     for i, row in zip(some, mixtures(flat, lengths, model.penalty), strict=True):
                         k = int(row.argmax())
                         preds[i], scores[i] = model.languages[k], min(1.0, float(row[k]))
