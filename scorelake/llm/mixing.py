@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import SPACE, scratch
 
 BITS, LEVEL = 60, 10
+#: Sources whose plan may be broadcast to the documents; with more of them Spark joins by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -112,7 +114,9 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = goal.withColumn("whole", whole.cast("bigint")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     ends = thresholds(rows, goal.withColumn("budget_id", F.lit(0)))
-    return goal.alias("g").join(ends.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.source", "source_size", "target", "whole", "threshold")
+    planned = goal.alias("g").join(ends.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.source", "source_size", "target", "whole", "threshold")
+    planned = scratch(planned, "plan")
+    return F.broadcast(planned) if planned.count() <= BROADCAST_SOURCES else planned
 
 
 def _times() -> Column:
@@ -130,8 +134,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, budget: float = 1.0) -> DataFrame:
     """The mix itself: each document's row as often as it is taken. Only the row per source meets the documents."""
-    goal = plan(sized(docs), weights, most, budget).select(F.col("source").alias("_source"), "whole", "threshold")
-    own = docs.withColumn("h", hash_of(F.col("doc_id").cast("bigint")))
-    joined = own.join(goal, own["source"].cast("string").eqNullSafe(goal["_source"]))
-    copies = F.explode(F.sequence(F.lit(1), _times().cast("int"))).alias("_copy")
-    return joined.where(_times() > 0).select(*(own[c] for c in docs.columns), copies).drop("_copy")
+    goal = plan(sized(docs), weights, most, budget).alias("g")
+    joined = docs.alias("d").join(goal, F.col("d.source").cast("string").eqNullSafe(F.col("g.source")))
+    times = F.col("g.whole") + F.when(hash_of(F.col("d.doc_id").cast("bigint")) < F.col("g.threshold"), F.lit(1)).otherwise(F.lit(0))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")
+    return joined.select("d.*", times.alias("_times")).where("_times > 0").select(*(F.col(f"`{c}`") for c in docs.columns), copies).drop("_copy")
