@@ -28,10 +28,10 @@ from scorelake.llm.chunks import ChunkEncoder
 from scorelake.llm.common import Recent, append_columns, column, ship, texts
 
 WORD = 256
-MERGES_KEPT = 1_000_000
+MERGES_KEPT = 150_000
 #: Parts and pre-tokens whose ids a worker remembers, and the latter's greatest length.
-CHUNKS = 600_000
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 40
+CHUNKS = 500_000
+REMEMBERED, REMEMBERED_LENGTH = 50_000, 40
 
 
 class RankQueue:

@@ -22,7 +22,7 @@ from scorelake.llm.common import slices
 
 #: A space before white space, before a byte that may begin white space beyond ASCII, or at the end.
 _UNCUT = re.compile(rb" (?:[\s\x1c-\x1f\xc2\xe1\xe2\xe3]|\Z)")
-AT_ONCE, LONGEST = 1 << 20, 64
+AT_ONCE, LONGEST = 1 << 19, 64
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
