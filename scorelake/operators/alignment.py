@@ -131,6 +131,9 @@ def align(perf: DataFrame, score: DataFrame, config: AlignConfig = AlignConfig()
     score_time_sec, midi_pitch, measure."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # a side without rows comes without columns
+        left = left.reindex(columns=["session_id", "state_idx", "t", "pitch"]).dropna(subset=["session_id"])
+        right = right.reindex(columns=["score_time_sec", "midi_pitch", "measure"]).dropna(subset=["score_time_sec"])
         return align_session(left, right, config)
 
     return perf.groupBy("session_id").cogroup(score.groupBy("session_id")).applyInPandas(run, OUT)

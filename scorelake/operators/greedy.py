@@ -16,8 +16,10 @@ def refine_bar_starts(bars: DataFrame, onsets: DataFrame, near: float = 4.0, lou
     loudness_db, strength, pc."""
 
     def run(b: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        if "measure" not in b:
+            return pd.DataFrame({"session_id": [], "measure": [], "start": [], "status": []})
         b = b.sort_values("measure")
-        o = o.sort_values("time")
+        o = o.reindex(columns=["time", "loudness_db", "strength", "pc"]).dropna(subset=["time"]).sort_values("time")
         t, level, strength, pc = (o[c].to_numpy() for c in ("time", "loudness_db", "strength", "pc"))
         previous, starts, states = -np.inf, [], []
         for predicted, pcs in zip(b["start"].to_numpy(), b["pcs"], strict=True):
@@ -50,6 +52,7 @@ def nearest_unused(wanted: DataFrame, found: DataFrame, tolerance: float) -> Dat
     within the tolerance; else it stays where it was expected."""
 
     def run(w: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        w, f = (g.reindex(columns=["page", "x"]).dropna() for g in (w, f))  # a side without rows comes without columns
         free = sorted(f["x"].tolist())
         out = []
         for x in sorted(w["x"].tolist()):
@@ -126,7 +129,9 @@ def greedy_matches(perf: DataFrame, score: DataFrame, smoothing: float = 0.85, b
     whose time, shifted by a smoothed lag, is nearest; going backward costs extra."""
 
     def run(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        p, s = p.sort_values(["t", "state_idx"]), s.sort_values(["score_time_sec", "midi_pitch"])
+        if "t" not in p:
+            return pd.DataFrame({"session_id": [], "state_idx": [], "score_time_sec": []})
+        p, s = p.sort_values(["t", "state_idx"]), s.reindex(columns=["score_time_sec", "midi_pitch"]).dropna(subset=["score_time_sec"]).sort_values(["score_time_sec", "midi_pitch"])
         time, notes = s["score_time_sec"].to_numpy(float), s["midi_pitch"].to_numpy(float)
         free, lag, last, out = np.ones(len(s), bool), 0.0, -np.inf, []
         for t, pitch in zip(p["t"].to_numpy(float), p["pitch"].to_numpy(float), strict=True):
