@@ -1,7 +1,7 @@
 """Language proportions of each document by expectation-maximisation over n-gram likelihoods.
 
-``fit`` learns, from a bounded sample of labelled documents, how likely each byte trigram of a lower-case word is in
-each language. A document is a bag of words drawn from a mixture of languages: a word's likelihood in a language is the
+``fit`` learns, from a sample of the labelled documents of each language, how likely each byte trigram of a lower-case
+word is in it. The sample's trigrams are counted where the texts lie, so no language is cut for another's sake. A document is a bag of words drawn from a mixture of languages: a word's likelihood in a language is the
 product over its trigrams, and EM finds the proportions. The set of languages starts with the best single one and grows
 in the order of the proportions under all languages, as long as the log-likelihood rises by more than ``penalty`` times
 the log of the number of words. All documents of a batch go through EM together.
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import Recent, bounded_rows, column, ship, slices, texts, unit_hash
+from scorelake.llm.common import Recent, column, ship, slices, texts, unit_hash
 
 BUCKETS = 1 << 16
-#: The training sample: documents of a language, and characters of all of them.
-DOCS_PER_LANGUAGE, SAMPLE_CHARS = 1_500, 24_000_000
+#: The training sample: documents of a language, whatever their length.
+DOCS_PER_LANGUAGE = 1_500
+#: Languages whose counts a task holds at once.
+HELD = 64
 AT_ONCE, REMEMBERED = 2 << 20, 150_000
 
 
@@ -64,24 +66,47 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [w.encode() for w in lower.split() if any(map(str.isalpha, w))]
 
 
-def fit(docs: DataFrame, labelled: Column, docs_per_language: int = DOCS_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Profiles:
-    """Learn from documents that ``labelled`` admits. The sample is bounded and repeatable: of each language the
-    documents with the smallest hashes of their id. Their list is broadcast to find the texts, which are not shuffled."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each language's trigrams by bucket, added up over batches; a language without a word has the row (lang, 0, 0)."""
+    seen: dict[str, np.ndarray] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, n in seen.items():
+            at = np.flatnonzero(n) if n.any() else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+        seen.clear()
+
+    for batch in batches:
+        for lang, text in zip(column(batch, "lang").to_pylist(), texts(batch), strict=True):
+            if lang not in seen and len(seen) == HELD:
+                yield from rows()
+            into = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            words = words_of(text)
+            for a, b in slices(list(map(len, words)), AT_ONCE):
+                into += np.bincount(trigrams(words[a:b])[0], minlength=BUCKETS)
+    yield from rows()
+
+
+def fit(docs: DataFrame, labelled: Column, docs_per_language: int = DOCS_PER_LANGUAGE) -> Profiles:
+    """Learn from documents that ``labelled`` admits. The sample is repeatable: of each language the documents with the
+    smallest hashes of their id, all of them if they are ``docs_per_language`` at most. Their list is broadcast to find
+    the texts, which are not shuffled; only counts by language and bucket are."""
+    ship(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(labelled & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    share = unit_hash(F.col("doc_id"), "language sample")
     counts = F.broadcast(ids.groupBy("lang").count())  # a row for each language
-    wanted = ids.join(counts, "lang").where(share * F.col("count") < docs_per_language).groupBy("doc_id").agg(F.min(share).alias("order"))
+    wanted = ids.join(counts, "lang").where(unit_hash(F.col("doc_id"), "language sample") * F.col("count") < docs_per_language).select("doc_id", "lang").distinct()
     texts_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sample = texts_.join(F.broadcast(wanted), "doc_id").select("lang", "text", "order")
-    seen: dict[str, np.ndarray] = {}
-    for row in bounded_rows(sample, "order", sample_chars):
-        into = seen.setdefault(row["lang"], np.zeros(BUCKETS))
-        words = words_of(row["text"].encode())
-        if words:
-            into += np.bincount(trigrams(words)[0], minlength=BUCKETS)
-    languages = tuple(sorted(seen))
+    sample = texts_.join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "text")
+    summed = sample.mapInArrow(_counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = summed.toArrow()
+    langs = found.column("lang").to_numpy() if found.num_rows else np.array([])
+    languages = tuple(sorted(set(langs.tolist())))
+    seen = np.zeros((len(languages), BUCKETS))
+    if languages:
+        row = {x: i for i, x in enumerate(languages)}
+        seen[[row[x] for x in langs.tolist()], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     smooth = 0.5
-    log_p = np.array([np.log((seen[x] + smooth) / (seen[x].sum() + smooth * BUCKETS)) for x in languages], np.float64).reshape(len(languages), BUCKETS)
+    log_p = np.log((seen + smooth) / (seen.sum(1, keepdims=True) + smooth * BUCKETS))
     return Profiles(languages, log_p.astype(np.float32))
 
 

@@ -144,6 +144,16 @@ def test_held_out_language(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
 
 
+def test_no_language_is_cut_for_a_large_one(spark):
+    """Long texts of a large language leave the small ones all their documents."""
+    large = spark.range(6_000).selectExpr("id AS doc_id", "repeat('lorem ipsum dolor sit ', 1000) AS text", "'large' AS lang")
+    small = [(10_000 + i, f"kleine{chr(97 + i)} sprache", "small") for i in range(20)] + [(20_000 + i, "une phrase", f"one{i}") for i in range(9)]
+    model = language_mixture.fit(large.unionByName(spark.createDataFrame(small, large.schema)), F.lit(True))
+    assert model.languages == ("large", *(f"one{i}" for i in range(9)), "small")
+    n = np.bincount(language_mixture.trigrams([w for _, t, la in small if la == "small" for w in t.encode().split()])[0], minlength=language_mixture.BUCKETS)
+    assert np.allclose(model.log_p[-1], np.log((n + 0.5) / (n.sum() + 0.5 * language_mixture.BUCKETS)), atol=1e-4)
+
+
 def test_mixture_of_two_languages():
     words = {"en": [b"thing", b"with", b"there"], "de": [b"sch\xc3\xb6n", b"gro\xc3\x9f", b"nicht"]}
     log_p = []
