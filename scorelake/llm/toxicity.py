@@ -1,16 +1,18 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
 
 ``fit`` takes a bounded sample of labelled documents, near copies counted once. Byte n-grams of words (4 to 8, with
-the word's boundaries) that occur in many more toxic than ordinary documents mark the toxic training samples. The
-parts that such n-grams cover make up the toxic dictionary, the most frequent ones last, where zstandard finds them
-cheapest; the ordinary dictionary is trained by zstandard on passages of ordinary documents. Both are
-used as plain content, so that a window's two compressed lengths differ only by what the dictionaries hold.
-
-A window is a word with its boundary spaces, the smallest unit, since insults are strewn singly into other text. A
+the word's boundaries) that occur in many more toxic than ordinary documents mark parts of words, and runs of two and
+three words without such a part are marked by the same test. The marked parts make up the toxic dictionary, the most frequent ones last; the ordinary one
+is trained by zstandard on passages of ordinary documents. Both are used as plain
+content, so that a window's two compressed lengths differ only by what the dictionaries hold.
+
+Windows are single words with their boundary spaces, since insults are strewn singly into other text, and overlapping
+runs of PHRASE words, since ordinary words may make up an insult. Words end at Unicode white space; one of more than
+PIECE bytes, such as a text without spaces, is cut into overlapping pieces that count as words. A
 document's measures are its largest gain (ordinary length minus toxic length), and how many and what share of its
 windows gain at least each of several thresholds; a logistic calibration, fitted on a third of the sample
 that is kept out of the dictionaries, turns them into a score, and its bias is set so that 0.5 is the threshold with the fewest errors.
-Windows recur, so a worker remembers the gains of those it has seen lately.
+Windows recur, so a worker remembers the gains of the words it has seen lately.
 
 Defined cases: a null or empty text scores as one without gains; without toxic or without ordinary examples every score
 is 0; repeated rows and null ids are kept as rows; an empty table gives an empty result; other columns are left out.
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -37,7 +39,12 @@ from scorelake.llm.common import Recent, bounded_rows, column, logistic, ship, s
 #: The training sample: documents of each class, and characters of each class.
 DOCS_PER_CLASS, SAMPLE_CHARS = 4_000, 14_000_000
 GRAMS = (4, 5, 6, 7, 8)
-DICTIONARY = 16_384
+#: The dictionaries' least size for training, passages of eight words that train the ordinary one, and toxic documents
+#: of the sample that a mark or a marked part needs.
+DICTIONARY, PASSAGES, LEAST = 16_384, 60_000, 3
+#: Words of a run. Greatest length of a word, and lengths and distances of the pieces of longer ones, in bytes: short ones
+#: so that little else is in a piece with an insult, and others for long insults.
+PHRASE, PIECE, PIECES = 3, 24, ((12, 4), (24, 8))
 THRESHOLDS = (3, 4, 5)
 AT_ONCE, REMEMBERED = 2 << 20, 250_000
 #: Ends each window and both dictionaries. zstandard looks for no match in the last 8 bytes, and pays for its table of
@@ -55,25 +62,42 @@ class Model:
     weights: tuple[float, ...]
 
 
-def windows(text: bytes | None) -> list[bytes]:
-    return (text or b"").decode(errors="replace").lower().encode().split()
+def words_of(text: bytes | None) -> list[bytes]:
+    """Lower-case words between Unicode white space, long ones in overlapping pieces."""
+    words = (text or b"").decode(errors="replace").lower()
+    words = words.encode().split() if words.isascii() else [w.encode() for w in words.split()]
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= PIECE else [w[i : i + n] for n, step in PIECES for i in range(0, len(w) - n + step, step)])]
+
+
+def phrases(words: list[bytes]) -> list[bytes]:
+    """The overlapping runs of PHRASE words; one run of all of them if they are fewer, but two at least."""
+    if len(words) < PHRASE:
+        return [b" ".join(words)] if len(words) > 1 else []
+    return [*map(b" ".join, zip(*(words[i:] for i in range(PHRASE)), strict=False))]
 
 
-def _lengths(found: list[bytes], dictionary: zstd.ZstdCompressionDict) -> np.ndarray:
-    """Compressed length of each window; all windows in one call."""
-    parameters = zstd.ZstdCompressionParameters(**_SEARCH, **_PARAMETERS)
+def windows(words: list[bytes]) -> list[bytes]:
+    return words + phrases(words)
+
+
+def _lengths(found: list[bytes], dictionary: bytes, log: int) -> np.ndarray:
+    """Compressed length of each window; all windows in one call. 1 << log: positions of its tables."""
+    parameters = zstd.ZstdCompressionParameters(**_SEARCH | dict(window_log=log + 1, chain_log=log, hash_log=log), **_PARAMETERS)
     padded = [b" " + w + b" " + TAIL for w in found]
     n = np.fromiter(map(len, padded), np.uint64, len(padded))
     segments = np.stack([np.cumsum(n) - n, n], 1).astype(np.uint64)
-    result = zstd.ZstdCompressor(dict_data=dictionary, compression_params=parameters).multi_compress_to_buffer(zstd.BufferWithSegments(b"".join(padded), segments.tobytes()), threads=1)
-    return np.fromiter((len(result[i]) for i in range(len(result))), np.int64, len(found))
+    content = zstd.ZstdCompressionDict(dictionary + TAIL, zstd.DICT_TYPE_RAWCONTENT)
+    result = zstd.ZstdCompressor(dict_data=content, compression_params=parameters).multi_compress_to_buffer(zstd.BufferWithSegments(b"".join(padded), segments.tobytes()), threads=1)
+    return np.fromiter(map(len, result), np.int64, len(found))
 
 
 def gains(found: list[bytes], model: Model) -> list[int]:
     if not found or not model.toxic or not model.ordinary:
         return [0] * len(found)
-    raw = zstd.DICT_TYPE_RAWCONTENT
-    return (_lengths(found, zstd.ZstdCompressionDict(model.ordinary + TAIL, raw)) - _lengths(found, zstd.ZstdCompressionDict(model.toxic + TAIL, raw))).tolist()
+    log = max(_SEARCH["hash_log"], max(len(model.toxic), len(model.ordinary)).bit_length())
+    return (_lengths(found, model.ordinary, log) - _lengths(found, model.toxic, log)).tolist()
 
 
 def measures(gain: list[int]) -> list[float]:
@@ -82,15 +106,20 @@ def measures(gain: list[int]) -> list[float]:
     return [float(min(max(g.max(), 0), 12)), *(x for t in THRESHOLDS for x in (math.log1p(int((g >= t).sum())), 20 * float((g >= t).mean())))]
 
 
-def _grams(words: set[bytes]) -> set[bytes]:
+def _grams(words: list[bytes]) -> set[bytes]:
     out = set()
-    for w in words:
+    for w in set(words):
         w = b" " + w + b" "
         for n in GRAMS:
             out.update(w[i : i + n] for i in range(len(w) - n + 1))
     return out
 
 
+def _runs(words: list[bytes]) -> set[bytes]:
+    """Runs of two and of three words, with their boundary spaces."""
+    return {b" " + b" ".join(words[i : i + n]) + b" " for n in (2, 3) for i in range(len(words) - n + 1)}
+
+
 def _once(docs: list[list[bytes]]) -> list[list[bytes]]:
     """One of the documents that share the least hash of their runs of three words."""
     seen: dict[int, list[bytes]] = {}
@@ -100,16 +129,21 @@ def _once(docs: list[list[bytes]]) -> list[list[bytes]]:
     return list(seen.values())
 
 
-def marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    """n-grams that are far more frequent among toxic documents than among ordinary ones."""
-    sets = [set(w) for w in toxic]
+def marks(toxic: list[list[bytes]], ordinary: list[list[bytes]], grams: Callable[[list[bytes]], set[bytes]] = _grams) -> set[bytes]:
+    """What ``grams`` finds far more frequently among toxic documents than among ordinary ones."""
+    # counts by a hash first, which are never too small, so that only what recurs is held
+    slots = np.zeros(1 << 22, np.int32)
+    for words in toxic:
+        found = grams(words)
+        slots[np.unique(np.fromiter(map(zlib.crc32, found), np.int64, len(found)) & len(slots) - 1)] += 1
+    often = (slots >= LEAST).tobytes()
     here: Counter = Counter()
-    for s in sets:
-        here.update(_grams(s))
-    here = Counter({g: n for g, n in here.items() if n >= 3})
+    for words in toxic:
+        here.update(g for g in grams(words) if often[zlib.crc32(g) & len(slots) - 1])
+    here = Counter({g: n for g, n in here.items() if n >= LEAST})
     there: Counter = Counter()
     for words in ordinary:
-        there.update(g for g in _grams(set(words)) if g in here)
+        there.update(g for g in grams(words) if g in here)
     n1, n0 = len(toxic), len(ordinary)
     out = set()
     for g, n in here.items():
@@ -136,18 +170,26 @@ def _spans(word: bytes, marked: set[bytes]) -> list[bytes]:
 def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
     """Contents of the toxic and of the ordinary dictionary."""
     marked = marks(toxic, ordinary)
-    samples: Counter = Counter()
-    for words in toxic:
-        samples.update({span for w in set(words) for span in _spans(b" " + w + b" ", marked)})
-    chosen = sorted((w for w, n in samples.items() if n >= 3), key=lambda w: (samples[w], w))
+    spans = {w: _spans(b" " + w + b" ", marked) for w in set(chain.from_iterable(toxic))}
+    # a marked word would mark the words around it
+    runs = {r for r in marks(toxic, ordinary, _runs) if not any(spans[w] for w in r.split(b" ") if w)}
+    parts = [{x for w in words for x in spans[w]} | (_runs(words) & runs) for words in toxic]
+    count = Counter(chain.from_iterable(parts))
+    chosen = sorted((w for w, n in count.items() if n >= LEAST), key=lambda w: (count[w], w))
     passages = [b" " + b" ".join(words[i : i + 8]) + b" " for words in ordinary for i in range(0, len(words), 8)]
     passages.sort(key=zlib.crc32)
-    passages = passages[:60_000]
+    bad = b"".join(chosen)[-DICTIONARY:]
+    passages = passages[:PASSAGES]
+    size = max(DICTIONARY, len(bad))
+    return bad, _trained(passages, size) or b"".join(passages)[-size:]
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of the samples, empty if they are too few to train on."""
     try:
-        plain = zstd.train_dictionary(DICTIONARY, passages).as_bytes()
-    except zstd.ZstdError:  # too little text to train on: the passages themselves
-        plain = b"".join(passages)[-DICTIONARY:]
-    return b"".join(chosen)[-DICTIONARY:], plain
+        return zstd.train_dictionary(size, samples).as_bytes()
+    except zstd.ZstdError:
+        return b""
 
 
 def fit(docs: DataFrame, labels: DataFrame, admitted: Column, docs_per_class: int = DOCS_PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Model:
@@ -159,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, admitted: Column, docs_per_class: in
     limit = F.when(F.col("toxic") == 1, docs_per_class / max(1, sizes.get(1, 0))).otherwise(docs_per_class / max(1, sizes.get(0, 0)))
     wanted = known.where(share < limit).select("doc_id", "toxic", share.alias("order"))
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
-    by_class = [[windows(r["text"].encode()) for r in bounded_rows(sample.where(F.col("toxic") == c), "order", sample_chars) if r["text"]] for c in (0, 1)]
+    by_class = [[words_of(r["text"].encode()) for r in bounded_rows(sample.where(F.col("toxic") == c), "order", sample_chars) if r["text"]] for c in (0, 1)]
     ordinary, toxic = (_once(x) for x in by_class)
     if not ordinary or not toxic:
         return Model(b"", b"", (0.0,) * (2 * len(THRESHOLDS) + 1) + (-20.0,))
@@ -167,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, admitted: Column, docs_per_class: in
     part = (lambda x: [w for i, w in enumerate(x) if i % 3], lambda x: x[::3]) if min(len(toxic), len(ordinary)) >= 30 else (lambda x: x, lambda x: x)
     draft = Model(*dictionaries(part[0](toxic), part[0](ordinary)), ())
     held = [(w, 1) for w in part[1](toxic)] + [(w, 0) for w in part[1](ordinary)]
-    x = np.array([measures(gains(w, draft)) for w, _ in held])
+    x = np.array([measures(gains(windows(w), draft)) for w, _ in held])
     y = np.array([c for _, c in held])
     real = {1: sizes[1] / (sizes[0] + sizes[1]), 0: sizes[0] / (sizes[0] + sizes[1])}
     weight = np.array([real[c] * len(y) / max(1, (y == c).sum()) for c in y])
@@ -188,7 +230,8 @@ _known: dict[int, Recent] = {}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, max_gain, n_windows of every whole text. The model is a few dictionaries of 16 KB."""
+    """doc_id, score, max_gain, n_windows of every whole text. The model is two dictionaries of 16 KB or as long as
+    the marked parts need."""
     ship(docs.sparkSession)
     key = zlib.crc32(model.toxic + b"|" + model.ordinary)
 
@@ -200,13 +243,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found, ids = texts(batch), column(batch, "doc_id")
             for a, b in slices([len(t or b"") for t in found], AT_ONCE):
-                parts = [windows(t) for t in found[a:b]]
+                parts = [words_of(t) for t in found[a:b]]
                 missing = known.missing(set(chain.from_iterable(parts)))
                 known.young.update(zip(missing, gains(missing, model), strict=True))
                 get = known.young.__getitem__
-                x = np.array([measures([*map(get, p)]) for p in parts])
+                runs = [phrases(p) for p in parts]
+                distinct = list(set(chain.from_iterable(runs)))
+                of_run = dict(zip(distinct, gains(distinct, model), strict=True)).__getitem__
+                x = np.array([measures([*map(get, p), *map(of_run, r)]) for p, r in zip(parts, runs, strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sigmoid(x @ weights[:-1] + weights[-1])), pa.array(x[:, 0]), pa.array([len(p) for p in parts], pa.int64())],
+                    [ids.slice(a, b - a), pa.array(sigmoid(x @ weights[:-1] + weights[-1])), pa.array(x[:, 0]), pa.array([len(p) + len(r) for p, r in zip(parts, runs, strict=True)], pa.int64())],
                     ["doc_id", "score", "max_gain", "n_windows"],
                 )
 

@@ -185,6 +185,36 @@ def test_toxic_words_are_found():
     assert np.mean(toxicity.gains(vocabulary, model)) < 1
 
 
+def toxicity_model(insult=(b"idiot", b"pathetic")):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"{a}{b}{c}".encode() for a in ("the", "on", "er", "st", "wh") for b in ("re", "in", "at", "ou") for c in ("ing", "ed", "ly", "sh")]
+    text = lambda bad: [*rng.choice(vocabulary, 60).tolist(), *([*insult] * bad)]
+    return vocabulary, toxicity.Model(*toxicity.dictionaries([text(2) for _ in range(60)], [text(0) for _ in range(900)]), ())
+
+
+def test_toxic_words_without_ascii_spaces():
+    vocabulary, model = toxicity_model()
+    words = [w.decode() for w, n in zip(vocabulary, toxicity.gains(vocabulary, model), strict=True) if n < 1][:30]
+    hit = lambda text: max(toxicity.gains(toxicity.windows(toxicity.words_of(text.encode())), model)) >= 3
+    for space in (" ", "\u3000", "\u00a0", "\u2003"):
+        assert hit(space.join([*words, "idiot", *words])) and not hit(space.join(words))
+    assert hit("".join([*words, "pathetic", *words]))
+    long = bytes(range(97, 123)) * 400
+    pieces = toxicity.words_of(long)
+    assert max(map(len, pieces)) <= toxicity.PIECE
+    assert {long[i : i + 17] for i in range(26)} <= {x[i : i + 17] for x in pieces for i in range(len(x) - 16)} and long.endswith(pieces[-1])
+
+
+def test_ordinary_words_that_are_toxic_together():
+    vocabulary = toxicity_model()[0]
+    insult = vocabulary[3], vocabulary[50], vocabulary[21]
+    model = toxicity_model(insult)[1]
+    for at in (10, 11):
+        text = [*vocabulary[60 : 60 + at], *insult, *vocabulary[30:40]]
+        assert max(toxicity.gains(toxicity.windows(text), model)) >= 3
+        assert max(toxicity.gains(text, model)) < 3
+
+
 def test_fold(spark):
     import zlib
 
