@@ -2,8 +2,9 @@
 
 ``fit`` takes a bounded sample of labelled documents, near copies counted once. Byte n-grams of words (4 to 8, with
 the word's boundaries) that occur in many more toxic than ordinary documents mark parts of words, and runs of two and
-three words without such a part are marked by the same test. The marked parts make up the toxic dictionary, the most frequent ones last; the ordinary one
-is trained by zstandard on passages of ordinary documents. Both are used as plain
+three words without such a part are marked by the same test. The marked parts of each toxic document are a training
+sample of the toxic dictionary, passages of ordinary documents those of the ordinary one; zstandard trains both. A
+marked part that the trained dictionary leaves out is put in front of it, so that none is cut. Both are used as plain
 content, so that a window's two compressed lengths differ only by what the dictionaries hold.
 
 Windows are single words with their boundary spaces, since insults are strewn singly into other text, and overlapping
@@ -176,9 +177,11 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple
     parts = [{x for w in words for x in spans[w]} | (_runs(words) & runs) for words in toxic]
     count = Counter(chain.from_iterable(parts))
     chosen = sorted((w for w, n in count.items() if n >= LEAST), key=lambda w: (count[w], w))
+    samples = [b"".join(x for x in sorted(p) if count[x] >= LEAST) for p in parts]
     passages = [b" " + b" ".join(words[i : i + 8]) + b" " for words in ordinary for i in range(0, len(words), 8)]
     passages.sort(key=zlib.crc32)
-    bad = b"".join(chosen)[-DICTIONARY:]
+    bad = _trained([x for x in samples if x], max(DICTIONARY, sum(map(len, chosen)))) if chosen else b""
+    bad = b"".join(x for x in chosen if x not in bad) + bad
     passages = passages[:PASSAGES]
     size = max(DICTIONARY, len(bad))
     return bad, _trained(passages, size) or b"".join(passages)[-size:]

@@ -215,6 +215,17 @@ def test_ordinary_words_that_are_toxic_together():
         assert max(toxicity.gains(text, model)) < 3
 
 
+def test_no_chosen_part_is_cut_from_the_toxic_dictionary():
+    rng = np.random.default_rng(3)
+    bad = ["".join(chr(97 + x) for x in rng.integers(0, 26, 14)).encode() for _ in range(2_000)]
+    plain = [f"plain{i}".encode() for i in range(300)]
+    toxic = [[bad[k] for k in range(i, 2_000 + i * 21, 10) if k < 2_000] + rng.choice(plain, 10).tolist() for i in range(10) for _ in range(10)]
+    made = toxicity.dictionaries(toxic, [rng.choice(plain, 10).tolist() for _ in range(2_000)])
+    assert b"\x37\xa4\x30\xec" in made[0]  # trained by zstandard
+    assert all(w in made[0] for w in bad) and len(made[0]) > 16_384
+    assert np.mean(np.array(toxicity.gains(bad, toxicity.Model(*made, ()))) >= 3) > 0.99
+
+
 def test_fold(spark):
     import zlib
 
