@@ -189,13 +189,25 @@ def coder(path: str, pattern: str) -> tuple[RankBPE, ChunkEncoder]:
     return _workers[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``: the text's ids as binary, little-endian unsigned 32-bit integers. A map, no shuffle."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids``: the text's ids as binary, little-endian unsigned 32-bit integers. A map, no shuffle. With
+    ``decoded``, a column of that name has the SHA-256 of what the ids decode to, and ValueError is raised where that
+    is not the text."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(coder(path, pattern)[1]([t or b"" for t in texts(batch, text)]), pa.binary())]
+        bpe, encoder = coder(path, pattern)
+        given = [t or b"" for t in texts(batch, text)]
+        found = encoder(given)
+        out = [pa.array(found, pa.binary())]
+        if decoded:
+            back = [bpe.decode(x) for x in found]
+            for t, x in zip(given, back, strict=True):
+                if x != t and x != t.decode(errors="replace").encode():
+                    raise ValueError("ids do not decode to their text")
+            out.append(pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()))
+        return out
 
-    return append_columns(docs, run, [(ids, "binary")])
+    return append_columns(docs, run, [(ids, "binary"), *([(decoded, "string")] if decoded else [])])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

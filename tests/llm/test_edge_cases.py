@@ -224,6 +224,27 @@ def test_pipeline_stages(spark, docs, empty, labels, tmp_path):
             rows.count()
 
 
+def test_last_stage_decodes(spark, docs, monkeypatch):
+    """Ids and digests of the last stage against the tokenizer library, and a failure where ids decode to another text."""
+    import tiktoken
+
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = sorted(((i, len(x), np.array(x, "<u4").tobytes(), hashlib.sha256((s or "").encode()).hexdigest()) for i, s, _, _ in ROWS for x in [t.encode_ordinary(s or "")]), key=str)
+    found = [(r.doc_id, r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in corpus_pipeline.bpe_encoding(spark, docs, "").collect()]
+    assert sorted(found, key=str) == want
+
+    class Wrong:
+        decode = staticmethod(lambda ids: b"another text")
+
+    batch = docs.where("doc_id = 2").select("text").toArrow().to_batches()[0]
+    monkeypatch.setattr(byte_bpe, "coder", lambda *a: (Wrong, lambda found: [b"" for _ in found]))
+    held = []
+    monkeypatch.setattr(byte_bpe, "append_columns", lambda df, make, fields: held.append(make))
+    byte_bpe.encode(docs, "", "", decoded="decoded")
+    with pytest.raises(ValueError):
+        held[0](batch)
+
+
 def test_every_operator_has_a_query():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
