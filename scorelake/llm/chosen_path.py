@@ -6,8 +6,11 @@
    two sets share a child with the probability of their similarity. Nodes of more than LEAF sets are split again at
    positions that a hash of the node picks; smaller ones are leaves, and leaves with equal members are kept once. The
    mean number of children, 1.25, makes a link of similarity 0.8 survive with one expected copy; runs are repeated
-   until the chance that it survives in none of them is below 1 - recall.
-3. Leaves are compared pair by pair on the min-hashes, with a margin that loses a link with a chance below 1e-4; a leaf
+   until the chance that it survives in none of them is below 1 - recall, for five splits and a share of equal
+   min-hashes that is just the similarity. All runs share the same min-hashes and nodes may be split six times, so
+   for recall 0.9999 a link of exactly 0.8 is lost here with a chance of 1.3e-4 after one split, 1.0e-3 after five and
+   2.3e-3 after six (``loss``).
+3. Leaves are compared pair by pair on the min-hashes, with a margin that alone loses a link with a chance of 1.3e-4; a leaf
    yields one link for each set that has any, to the first set of its part, not the pairs. A node that a split hardly shrinks is a dense group
    of near copies: its members are compared to its least member, and only those unlike that one to all others, in blocks.
 4. Components of the candidate links are the groups in which all pairs are compared exactly on the shingle sets, in
@@ -85,6 +88,21 @@ def runs_needed(similarity: float, recall: float, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
+def loss(similarity: float, runs: int, splits: int) -> float:
+    """The chance that a link of exactly ``similarity`` is no candidate after ``runs`` whose nodes are split ``splits``
+    times, the root's split included: averaged over its number of equal min-hashes, which is the same in all runs, with
+    the margin's part."""
+    out = 0.0
+    for equal in range(POSITIONS + 1):
+        chance = math.comb(POSITIONS, equal) * similarity**equal * (1 - similarity) ** (POSITIONS - equal)
+        share, lost = equal / POSITIONS, 0.0
+        for _ in range(splits):
+            child = 1 - share + share * lost
+            lost = 0.75 * child + 0.25 * child * child
+        out += chance * (lost**runs if equal >= math.ceil(margin(similarity) * POSITIONS) else 1)
+    return out
+
+
 def margin(similarity: float) -> float:
     """The share of equal min-hashes below which a pair is no candidate: four standard deviations off."""
     return similarity - 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS)

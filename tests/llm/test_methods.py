@@ -92,6 +92,21 @@ def test_runs_needed():
     assert chosen_path.runs_needed(0.95, 0.9999) < chosen_path.runs_needed(0.8, 0.9999)
 
 
+def test_stated_recall():
+    """The losses that the README and the module state, here by simulated draws of the equal min-hashes."""
+    runs = chosen_path.runs_needed(0.8, 0.9999)
+    equal = np.random.default_rng(1).binomial(chosen_path.POSITIONS, 0.8, 2_000_000)
+    for splits, stated in ((1, 1.3e-4), (chosen_path.DEPTH, 1.0e-3), (chosen_path.DEPTH + 1, 2.3e-3)):
+        assert abs(chosen_path.loss(0.8, runs, splits) / stated - 1) < 0.05
+        lost = np.zeros(len(equal))
+        for _ in range(splits):
+            child = 1 - equal / chosen_path.POSITIONS * (1 - lost)
+            lost = 0.75 * child + 0.25 * child**2
+        missed = np.where(equal >= chosen_path.margin(0.8) * chosen_path.POSITIONS, lost**runs, 1).mean()
+        assert abs(missed / stated - 1) < 0.2
+    assert all(x in chosen_path.__doc__ for x in ("1.3e-4", "1.0e-3", "2.3e-3"))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, size=(260, 2))] + [(i, i + 1) for i in range(500, 560)] + [(600, 601 + i) for i in range(50)]
