@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
-No SQL twin: a trained classifier, the join's classes and the merges of BPE are beyond SQL; the tests hold every stage
-against a brute-force version. Rows without an id and tables without rows pass through every stage as the operators
+No SQL twin: a trained classifier, the join's classes and the merges of BPE are beyond SQL; the tests hold the
+last stage against the tokenizer library and run the others, whose operators have tests of their own. Rows without an id and tables without rows pass through every stage as the operators
 define it.
 """
 
