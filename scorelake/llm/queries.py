@@ -111,7 +111,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     found = toxicity.score(docs, model).withColumn("held_out", held_out)
-    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "max_gain", "n_windows")
+    return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_toxic", "n_windows")
 
 
 @_query("op2_language_mixture")
