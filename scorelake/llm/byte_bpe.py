@@ -16,48 +16,41 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.chunks import ChunkEncoder
+from scorelake.llm.chunks import ChunkEncoder, spread
 from scorelake.llm.common import Recent, append_columns, column, ship, texts
 
-WORD = 256
-MERGES_KEPT = 150_000
-#: Parts and pre-tokens whose ids a worker remembers, and the latter's greatest length.
-CHUNKS = 500_000
-REMEMBERED, REMEMBERED_LENGTH = 50_000, 40
+#: A bitmap word has 256 bits.
+BITS, MASK = 8, 255
+MERGES_KEPT = 500_000
+#: Pre-tokens whose ids a worker remembers unless told otherwise, and their greatest length; parts are remembered twice
+#: as many.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 40
 
 
 class RankQueue:
-    """Positions in buckets by rank, with a bitmap of the waiting ranks (``words``) and one of its non-zero words (``top``).
-    RankBPE.merge takes the lowest rank's leftmost position out."""
+    """Positions in buckets by rank, with a bitmap of the waiting ranks (``words``) and one of its non-zero words (``top``,
+    empty between merges). RankBPE.merge puts positions in and takes the lowest rank's leftmost one out, in line, since a
+    call for each step would cost more than the step."""
 
     def __init__(self, ranks: int):
-        self.words = [0] * (ranks // WORD + 1)
+        self.words = [0] * ((ranks >> BITS) + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank // WORD
-            self.words[word] |= 1 << rank % WORD
-            self.top |= 1 << word
-        else:
-            heappush(bucket, position)
-
 
 class RankBPE:
     """Encodes and decodes by a vocabulary of byte strings with ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         import regex
 
         self.ranks = ranks
@@ -66,7 +59,13 @@ class RankBPE:
         self.findall = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.merges: dict[int, int] = {}
-        self.known = Recent(REMEMBERED)
+        self.known = Recent(remembered)
+        #: The rank of each two bytes, -1 if there is none.
+        self.pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        width = [len(self.bytes_of.get(r, b"")) for r in range(max(ranks.values()) + 1)]
+        self.token_width = np.array(width)
+        self.token_start = np.cumsum(self.token_width) - self.token_width
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(r, b"") for r in range(len(width))), np.uint8)
 
     def _rank(self, left: int, right: int) -> int:
         """The rank of two tokens' joined bytes, -1 if there is none."""
@@ -86,29 +85,25 @@ class RankBPE:
         ids = [self.single[b] for b in piece]
         if None in ids:
             raise KeyError("the vocabulary lacks a single byte")
-        n, queue, merges, rank_of = len(ids), self.queue, self.merges, self._rank
-        push, buckets = queue.push, queue.buckets
+        n, queue, merges, rank_of, pairs = len(ids), self.queue, self.merges, self._rank, self.pairs
+        words, buckets, top = queue.words, queue.buckets, queue.top
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [-1] * n
-        left = ids[0]
-        for p in range(n - 1):
-            right = ids[p + 1]
-            rank = merges.get(left << 32 | right)
-            if rank is None:
-                rank = rank_of(left, right)
-            left = right
+        waits = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        waits.append(-1)
+        for p, rank in enumerate(waits):
             if rank >= 0:
-                waits[p] = rank
                 if rank in buckets:
                     buckets[rank].append(p)  # positions rise, so a bucket stays in heap order
                 else:
-                    push(rank, p)
-        words = queue.words
-        while queue.top:
-            word = (queue.top & -queue.top).bit_length() - 1  # find-first-set over the words, then in the word
+                    buckets[rank] = [p]
+                    word = rank >> BITS
+                    words[word] |= 1 << (rank & MASK)
+                    top |= 1 << word
+        while top:
+            word = (top & -top).bit_length() - 1  # find-first-set over the words, then in the word
             bits = words[word]
             bit = bits & -bits
-            rank = word * WORD + bit.bit_length() - 1
+            rank = (word << BITS) + bit.bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
                 p = heappop(bucket)
@@ -117,7 +112,7 @@ class RankBPE:
                 del buckets[rank]
                 words[word] = bits ^ bit
                 if bits == bit:
-                    queue.top ^= 1 << word
+                    top ^= 1 << word
             if waits[p] != rank:
                 continue  # stale
             gone = after[p]
@@ -132,7 +127,13 @@ class RankBPE:
                     new = rank_of(rank, right)
                 if new >= 0:
                     waits[p] = new
-                    push(new, p)
+                    if new in buckets:
+                        heappush(buckets[new], p)
+                    else:
+                        buckets[new] = [p]
+                        word = new >> BITS
+                        words[word] |= 1 << (new & MASK)
+                        top |= 1 << word
             previous = before[p]
             if previous >= 0:
                 left = ids[previous]
@@ -141,23 +142,29 @@ class RankBPE:
                     new = rank_of(left, rank)
                 waits[previous] = new
                 if new >= 0:
-                    push(new, previous)
+                    if new in buckets:
+                        heappush(buckets[new], previous)
+                    else:
+                        buckets[new] = [previous]
+                        word = new >> BITS
+                        words[word] |= 1 << (new & MASK)
+                        top |= 1 << word
         out, p = [], 0
         while p < n:
             out.append(ids[p])
             p = after[p]
         return out
 
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
+    def encode_parts(self, parts: list[str], letters: bool = True) -> list[bytes]:
         """Each part's ids as little-endian unsigned 32-bit integers; a part is cut by the pattern first. Short
-        pre-tokens recur in parts that differ in punctuation only, so their ids are remembered."""
+        pre-tokens recur in parts that differ in punctuation only, so their ids are remembered. ``letters``: the pattern
+        takes a space and letters only for one match."""
         self.known.turn()
         young, old, findall, merge = self.known.young, self.known.old, self.findall, self.merge
         out = []
         for part in parts:
             ids = []
-            # a space and letters only are one match of the pattern
-            for piece in (part,) if part[:1] == " " and part[1:].isalpha() else findall(part):
+            for piece in (part,) if letters and part[:1] == " " and part[1:].isalpha() else findall(part):
                 got = young.get(piece)
                 if got is None:
                     got = old.get(piece)
@@ -170,7 +177,8 @@ class RankBPE:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        tokens = np.frombuffer(ids, "<u4")
+        return self.token_bytes[spread(self.token_start[tokens], self.token_width[tokens])].tobytes()
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -178,24 +186,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-_workers: dict[tuple[str, str], tuple[RankBPE, ChunkEncoder]] = {}
+_workers: dict[tuple, tuple[RankBPE, Callable[[list[bytes]], list[bytes]]]] = {}
 
 
-def coder(path: str, pattern: str) -> tuple[RankBPE, ChunkEncoder]:
-    """This worker's encoder of a rank file, loaded once."""
-    if (path, pattern) not in _workers:
-        bpe = RankBPE(load_ranks(path), pattern)
-        _workers[path, pattern] = bpe, ChunkEncoder(bpe.encode_parts, CHUNKS)
-    return _workers[path, pattern]
+def coder(path: str, pattern: str, remembered: int = REMEMBERED) -> tuple[RankBPE, Callable[[list[bytes]], list[bytes]]]:
+    """This worker's encoder of a rank file, loaded once. Texts are cut into parts only for the pattern that allows it."""
+    key = (path, pattern, remembered)
+    if key not in _workers:
+        bpe = RankBPE(load_ranks(path), pattern, remembered)
+        if pattern == public_tokenizers.PATTERN:
+            _workers[key] = bpe, ChunkEncoder(bpe.encode_parts, 2 * remembered)
+        else:
+            _workers[key] = bpe, lambda found: bpe.encode_parts([t.decode(errors="replace") for t in found], letters=False)
+    return _workers[key]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``ids``: the text's ids as binary, little-endian unsigned 32-bit integers. A map, no shuffle. With
     ``decoded``, a column of that name has the SHA-256 of what the ids decode to, and ValueError is raised where that
     is not the text."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        bpe, encoder = coder(path, pattern)
+        bpe, encoder = coder(path, pattern, remembered)
         given = [t or b"" for t in texts(batch, text)]
         found = encoder(given)
         out = [pa.array(found, pa.binary())]

@@ -7,8 +7,8 @@ encoded. All parts of a batch are hashed, looked up and put together again by ar
 before other white space, or before a character whose first byte may begin white space beyond ASCII, is not cut but
 encoded whole; so is a part of more than LONGEST bytes, which is not kept either.
 
-A part is known by two independent 64-bit hashes; if the first ones of two parts meet, the second ones tell them
-apart and the later part is encoded each time.
+A part is looked up by a 64-bit hash and taken for known only if its bytes are the same, byte by byte; of parts that
+share a hash, the later ones are encoded each time.
 """
 
 from __future__ import annotations
@@ -23,43 +23,51 @@ from scorelake.llm.common import slices
 #: A space before white space, before a byte that may begin white space beyond ASCII, or at the end.
 _UNCUT = re.compile(rb" (?:[\s\x1c-\x1f\xc2\xe1\xe2\xe3]|\Z)")
 AT_ONCE, LONGEST = 1 << 19, 64
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
+_powers: list[np.ndarray] = []
 
 
-def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two polynomial hashes of each span, from prefix sums over the whole buffer."""
-    if not _powers or len(_powers[0][0]) <= len(buf):
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each span, from prefix sums over the whole buffer."""
+    if not _powers or len(_powers[0]) <= len(buf):
         _powers.clear()
-        for base in _BASES:
-            pair = []
-            for factor in (base, pow(base, -1, 1 << 64)):
-                x = np.full(max(AT_ONCE, len(buf)) + 1, factor, np.uint64)
-                x[0] = 1
-                pair.append(np.cumprod(x, dtype=np.uint64))
-            _powers.append((pair[0], pair[1]))
-    wide = buf.astype(np.uint64) + np.uint64(1)
-    out = []
-    for up, down in _powers:
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(wide * up[: len(buf)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        out.append((h ^ (h >> np.uint64(29))) * np.uint64(_BASES[1]))
-    return out
+        for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(max(AT_ONCE, len(buf)) + 1, factor, np.uint64)
+            x[0] = 1
+            _powers.append(np.cumprod(x, dtype=np.uint64))
+    up, down = _powers
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    return (h ^ (h >> np.uint64(29))) * _MIX
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all spans, one span after the other."""
+    upto = np.cumsum(lengths)
+    return np.repeat(starts - (upto - lengths), lengths) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
+def _equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which spans of two buffers, each of one byte at least, hold the same bytes."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    other = a[spread(at_a, lengths)] != b[spread(at_b, lengths)]
+    return ~np.logical_or.reduceat(other, np.cumsum(lengths) - lengths)
 
 
 class ChunkEncoder:
     """encode(parts) gives each part's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 600_000):
         self._encode, self._bound, self._turn, self._seen = encode, remembered, 0, 0
         self._forget()
 
     def _forget(self) -> None:
-        #: By the first hash: the second one, where a part's ids begin in the pool, how many there are, when last used.
-        self._first, self._second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self._at, self._n, self._used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._pool = np.zeros(0, "<u4")
+        #: By the hash: where a part's bytes are, how many, where its ids are, how many, and when it was last used.
+        self._hash = np.zeros(0, np.uint64)
+        self._text, self._len, self._at, self._n, self._used = (np.zeros(0, np.int64) for _ in range(5))
+        self._bytes, self._pool = np.zeros(0, np.uint8), np.zeros(0, "<u4")
 
     def __call__(self, found: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -87,13 +95,18 @@ class ChunkEncoder:
         begins[docs[:-1]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(buf))
-        first, second = _hashes(buf, starts, ends)
+        size = ends - starts
+        first = _hashes(buf, starts, ends)
         keys, at, back = np.unique(first, return_index=True, return_inverse=True)
-        odd = np.flatnonzero(second[at][back] != second)  # parts whose first hash another part of the batch has
-        place = np.searchsorted(self._first, keys)
-        near = np.minimum(place, max(0, len(self._first) - 1))
-        same = self._first[near] == keys if len(self._first) else np.zeros(len(keys), bool)
-        known = same & (self._second[near] == second[at]) if len(self._first) else same
+        # parts whose hash another part of the batch has
+        alike = size[at][back] == size
+        alike[alike] = _equal(buf, starts[alike], buf, starts[at][back][alike], size[alike])
+        odd = np.flatnonzero(~alike)
+        place = np.searchsorted(self._hash, keys)
+        near = np.minimum(place, max(0, len(self._hash) - 1))
+        same = self._hash[near] == keys if len(self._hash) else np.zeros(len(keys), bool)
+        known = same & (self._len[near] == size[at]) if len(self._hash) else same
+        known[known] = _equal(buf, starts[at][known], self._bytes, self._text[near[known]], size[at][known])
         self._turn += 1
         self._used[near[known]] = self._turn
         ask = np.concatenate([at[~known], odd])
@@ -108,30 +121,30 @@ class ChunkEncoder:
         where, count = where[back], count[back]
         where[odd], count[odd] = begin[fresh:], n[fresh:]
         upto = np.cumsum(count)
-        tokens = pool[np.repeat(where - (upto - count), count) + np.arange(int(upto[-1]))].tobytes()
+        tokens = pool[spread(where, count)].tobytes()
         last = np.searchsorted(starts, docs[1:], "left") - 1
         edges = [0, *(4 * upto[last]).tolist()]
-        self._keep(keys, second[at], where_new=begin[:fresh], n_new=n[:fresh], new=~known, fits=~same & (ends[at] - starts[at] <= LONGEST), place=place, pool=pool)
+        fits = ~same & (size[at] <= LONGEST)
+        self._keep(keys[fits], buf, starts[at][fits], size[at][fits], begin[:fresh][fits[~known]], n[:fresh][fits[~known]], place[fits], pool)
         return [tokens[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
-    def _keep(self, keys, second, where_new, n_new, new, fits, place, pool) -> None:
-        """Put the new parts that fit among the known ones; if these are too many, drop what has not been used since
-        the last time, or all if that is too little."""
-        take = new & fits
-        chosen = fits[new]
-        at = place[take]
-        self._first, self._second = np.insert(self._first, at, keys[take]), np.insert(self._second, at, second[take])
-        self._at, self._n = np.insert(self._at, at, where_new[chosen]), np.insert(self._n, at, n_new[chosen])
-        self._used = np.insert(self._used, at, self._turn)
+    def _keep(self, keys, buf, starts, size, where, n, place, pool) -> None:
+        """Put new parts among the known ones; if these are too many, drop what has not been used since the last time,
+        or all if that is too little."""
+        text = len(self._bytes) + np.cumsum(size) - size
+        self._bytes = np.concatenate([self._bytes, buf[spread(starts, size)]])
+        self._hash = np.insert(self._hash, place, keys)
+        self._text, self._len = np.insert(self._text, place, text), np.insert(self._len, place, size)
+        self._at, self._n = np.insert(self._at, place, where), np.insert(self._n, place, n)
+        self._used = np.insert(self._used, place, self._turn)
         self._pool = pool
-        if len(self._first) > self._bound or len(pool) > 16 * self._bound:  # the pool also holds ids of parts that are not kept
+        if len(self._hash) > self._bound or len(pool) > 16 * self._bound:  # the pool also holds ids of parts that are not kept
             stay = self._used > self._seen
             self._seen = self._turn
             if 4 * stay.sum() > 3 * self._bound:
                 self._forget()
                 return
-            self._first, self._second, self._used = self._first[stay], self._second[stay], self._used[stay]
-            at, n = self._at[stay], self._n[stay]
-            upto = np.cumsum(n)
-            self._pool = self._pool[np.repeat(at - (upto - n), n) + np.arange(int(n.sum()))]
-            self._at, self._n = upto - n, n
+            self._hash, self._used = self._hash[stay], self._used[stay]
+            at, self._n, text, self._len = self._at[stay], self._n[stay], self._text[stay], self._len[stay]
+            self._pool, self._bytes = self._pool[spread(at, self._n)], self._bytes[spread(text, self._len)]
+            self._at, self._text = np.cumsum(self._n) - self._n, np.cumsum(self._len) - self._len

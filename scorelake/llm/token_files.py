@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from scorelake.llm import rans
 from scorelake.llm.chunks import ChunkEncoder
-from scorelake.llm.common import column, ship, slices, texts
+from scorelake.llm.common import Recent, column, ship, slices, texts
 
 SECTION_TOKENS = 1 << 20
+#: Pieces of letters whose ids a worker remembers, and their greatest length: one piece has many parts by the stop behind it.
+PIECES, PIECE_LENGTH = 200_000, 40
 FILE = "file int, section int, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, symbols binary, freqs binary, blocks array<binary>"
 _FILE = pa.schema(
     [("file", pa.int32()), ("section", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("symbols", pa.binary()), ("freqs", pa.binary()), ("blocks", pa.list_(pa.binary()))]
@@ -52,10 +54,18 @@ def _encoder(path: str) -> ChunkEncoder:
         merge = tokenizer.model.tokenize
         stops = {c: array("I", [t.id for t in merge(c)]).tobytes() for c in ".,;:!?"}
 
+        known = Recent(PIECES)
+
         def letters(part: str) -> bytes:
-            return array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            found = known.young.get(part) or known.old.get(part)
+            if found is None:
+                found = array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            if len(part) <= PIECE_LENGTH:
+                known.young[part] = found
+            return found
 
         def encode(parts: list[str]) -> list[bytes]:
+            known.turn()
             out: list[bytes | None] = []
             rest = []
             for part in parts:

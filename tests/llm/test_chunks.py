@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from scorelake.llm import chunks, token_files
+from scorelake.llm import byte_bpe, chunks, token_files
 
 WORDS = ["foo", "bar.", "it's", "", "\n", "é", "日本", "a\nb", "<|endoftext|>", "x" * 70, "12", "don't", " z", "Ünï,", "...", " ", "ab&&&", "Mot;", " ", "q "]
 
@@ -32,10 +32,47 @@ def test_parts_equal_whole_texts(tokenizer):
 def test_clashing_hashes_and_little_memory(tokenizer, monkeypatch):
     whole = token_files._encoder(P.path("byte_bpe_50k.json"))._encode
     hashes = chunks._hashes
-    monkeypatch.setattr(chunks, "_hashes", lambda *a: [hashes(*a)[0] % np.uint64(11), hashes(*a)[1]])
+    monkeypatch.setattr(chunks, "_hashes", lambda *a: hashes(*a) % np.uint64(11))
     monkeypatch.setattr(chunks, "AT_ONCE", 300)
     r = random.Random(2)
     for bound in (3, 7, 1_000):
         encoder = chunks.ChunkEncoder(whole, remembered=bound)
         for _ in range(20):
             same(encoder, tokenizer, [" ".join(r.choice(["foo", "bar.", "é", "日本", "a\nb", "12", "qq", "zz", "tt", "uu"]) for _ in range(r.randint(0, 60))) for _ in range(r.randint(1, 20))])
+
+
+def thue_morse(n):
+    """Two texts whose polynomial hashes modulo a power of two agree for every base."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_texts_with_equal_polynomial_hashes(tokenizer, n):
+    texts = [*thue_morse(n), " " + thue_morse(n)[1], " " + thue_morse(n)[0]]
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in texts[:2])
+    hashes = chunks._hashes(np.concatenate([a, b]), np.array([0, n]), np.array([n, 2 * n]))
+    assert n < 2048 or hashes[0] == hashes[1]
+    same(token_files._encoder(P.path("byte_bpe_50k.json")), tokenizer, texts)
+    bpe, encoder = byte_bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    found = encoder([t.encode() for t in texts])
+    assert [bpe.decode(x).decode() for x in found] == texts
+    same(encoder, tokenizer, texts)
+
+
+def test_short_parts_with_equal_hashes(tokenizer, monkeypatch):
+    monkeypatch.setattr(chunks, "_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    encoder = chunks.ChunkEncoder(token_files._encoder(P.path("byte_bpe_50k.json"))._encode, remembered=50)
+    for _ in range(3):
+        same(encoder, tokenizer, ["foo bar", "bar foo", "qq foo bar zz", " foo", ""])
+
+
+def test_another_pattern_cuts_no_texts():
+    import regex
+
+    bpe, encoder = byte_bpe.coder(P.path("byte_bpe_50k.tiktoken"), r"..?.?|\n", remembered=100)
+    text = "one two three, four"
+    want = b"".join(np.array(bpe.merge(x.encode()), "<u4").tobytes() for x in regex.findall(r"..?.?|\n", text))
+    assert encoder([text.encode()]) == [want]
