@@ -1,7 +1,8 @@
 """Near-duplicate classes by a chosen-path Jaccard join over shingles of five words, similarity 0.8 or more.
 
 1. Each text becomes its set of 64-bit shingle hashes, a digest of that set, and 64 min-hashes. Texts with one
-   digest are copies; one of them, the one with the least id, stands for all from here on.
+   digest are copies; the set, under a number of its own, stands for all of them from here on, so that ids may repeat
+   with other texts.
 2. Chosen path: a run's root picks one or two of the 64 positions and splits the sets by their values there, so that
    two sets share a child with the probability of their similarity. Nodes of more than LEAF sets are split again at
    positions that a hash of the node picks; smaller ones are leaves, and leaves with equal members are kept once. The
@@ -21,8 +22,8 @@
 The pairs compared in step 4 grow with the square of a component's different texts; copies add nothing.
 
 Defined cases: a text of one to four words is one shingle; texts without words (and null ones) and rows without an id
-stand alone: class_id is their own id, n_links 0; rows that repeat an id and its text are copies of each other; an
-empty table gives no rows; other columns are left out. Texts are read whole.
+stand alone: class_id is their own id, n_links 0; rows that repeat an id and its text are copies of each other, rows
+that repeat an id with another text are other documents; an empty table gives no rows; other columns are left out. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import append_columns, column, groups, scratch, ship, slices, texts
+from scorelake.llm.common import column, groups, scratch, ship, slices, texts
 from scorelake.llm.components import components
 
 WORDS, POSITIONS, LEAF, BLOCK = 5, 64, 2_048, 512
@@ -110,16 +111,17 @@ def margin(similarity: float) -> float:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, ids = texts(batch), column(batch, "doc_id")
+        found, ids, marks = texts(batch), column(batch, "doc_id"), column(batch, "mark")
         for a, b in slices([len(t or b"") for t in found], 8 << 20):
             sets = [shingles(t) for t in found[a:b]]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(a, b - a),
+                    marks.slice(a, b - a),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "digest", "sketch"],
+                ["doc_id", "mark", "digest", "sketch"],
             )
 
 
@@ -317,34 +319,52 @@ def _triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["kind", "a", "b"])
 
 
-def _with_shingles(batch: pa.RecordBatch) -> list[pa.Array]:
-    """The shingle set of a text, or null if the text is another one than the digest's."""
-    sets = [shingles(t) for t in texts(batch)]
-    same = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, column(batch, "digest").to_pylist(), strict=True)]
-    return [pa.array([s.tobytes() if k else None for s, k in zip(sets, same, strict=True)], pa.binary())]
-
-
-def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.9999) -> DataFrame:
-    """doc_id, class_id, n_links of every row: class_id is the least id of the documents that links connect with it,
-    n_links the number of other rows whose similarity with it is at least similarity[0] / similarity[1]."""
-    spark = docs.sparkSession
-    ship(spark)
+def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle sets of texts that have the digest they are looked for by, each set once in a partition."""
+    names = ["rep", "root", "blocks", "copies"]
+    seen: set[int] = set()
+    for batch in batches:
+        digests, reps = column(batch, "digest").to_pylist(), column(batch, "rep").to_pylist()
+        keep, found = [], []
+        for k, text in enumerate(texts(batch)):
+            if reps[k] in seen:
+                continue
+            own = shingles(text).tobytes()
+            if xxhash.xxh3_128_digest(own) == digests[k]:
+                seen.add(reps[k])
+                keep.append(k)
+                found.append(own)
+        yield pa.RecordBatch.from_arrays([*(column(batch, n).take(pa.array(keep, pa.int64())) for n in names), pa.array(found, pa.binary())], [*names, "shingles"])
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``mark``, a hash of the text that tells rows with one id apart."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("mark", F.xxhash64("text"))
+
+
+def _classes(docs: DataFrame, similarity: tuple[int, int], recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, mark, digest, sketch), and for each digest its class: class_id, the class's first row (doc_id,
+    mark) as ``first``, and n_links."""
+    ship(docs.sparkSession)
     target = similarity[0] / similarity[1]
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = scratch(narrow.mapInArrow(_described, "doc_id bigint, digest binary, sketch binary"), "described")
+    rows = narrow(docs)
+    described = scratch(rows.select("doc_id", "mark", "text").mapInArrow(_described, "doc_id bigint, mark bigint, digest binary, sketch binary"), "described")
     taking = described.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    sets = scratch(taking.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "sets")
+    grouped = taking.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    sets = scratch(grouped.withColumn("rep", F.monotonically_increasing_id()), "sets")  # numbers are fixed once written
 
-    grouped = scratch(components(candidate_edges(sets, target, recall)), "candidate-components")
-    sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = grouped.join(scratch(sizes, "sizes"), "root").join(sets.select(F.col("rep").alias("node"), "copies", "digest"), "node")
-    members = scratch(placed.select(F.col("node").alias("doc_id"), "root", "blocks", "copies", "digest"), "members")
+    parts = scratch(components(candidate_edges(sets, target, recall)), "candidate-components")
+    sizes = parts.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = parts.join(scratch(sizes, "sizes"), "root").join(sets.select(F.col("rep").alias("node"), "first", "copies", "digest"), "node")
+    members = scratch(placed.select("first.doc_id", "first.mark", F.col("node").alias("rep"), "root", "blocks", "copies", "digest"), "members")
     few = members.count() <= BROADCAST_ROWS
-    found = append_columns(narrow.join(F.broadcast(members) if few else members, "doc_id"), _with_shingles, [("shingles", "binary")]).where("shingles is not null")
-    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks").cast("bigint")).cast("int")
-    rows = found.select(F.col("doc_id").alias("rep"), "root", "blocks", "copies", "shingles", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dealt = rows.select(F.xxhash64("root", "i", "j").alias("key"), "i", "j", "block", "blocks", "rep", "copies", "shingles")
+    wanted = rows.join(F.broadcast(members) if few else members, ["doc_id", "mark"]).select("rep", "root", "blocks", "copies", "digest", "text")
+    found = wanted.mapInArrow(_with_shingles, "rep bigint, root bigint, blocks int, copies bigint, shingles binary")
+    block = F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("blocks").cast("bigint")).cast("int")
+    dealt = found.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = dealt.select(F.xxhash64("root", "i", "j").alias("key"), "i", "j", "block", "blocks", "rep", "copies", "shingles")
     results = scratch(dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_verified(similarity), "kind int, a bigint, b bigint"), "links")
 
     links = results.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
@@ -353,11 +373,37 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recal
     if not across.isEmpty():
         labels = labels.unionByName(components(across).select(F.col("node").alias("rep"), F.col("root").alias("label")))
     labels = labels.groupBy("rep").agg(F.min("label").alias("label"))
-    classes = scratch(
-        sets.select("digest", "rep", "copies").join(labels, "rep", "left").join(links, "rep", "left").select(
-            "digest", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-        ),
-        "classes",
+    labelled = sets.select("digest", "rep", "first", "copies").join(labels, "rep", "left").join(links, "rep", "left")
+    labelled = scratch(
+        labelled.select("digest", "first", F.coalesce("label", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labelled"
     )
+    firsts = labelled.groupBy("label").agg(F.min("first").alias("first"))
+    classes = labelled.drop("first").join(firsts, "label").select("digest", F.col("first.doc_id").alias("class_id"), "first", "n_links")
+    return described, scratch(classes, "classes")
+
+
+def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.9999) -> DataFrame:
+    """doc_id, class_id, n_links of every row: class_id is the least id of the documents that links connect with it,
+    n_links the number of other rows whose similarity with it is at least similarity[0] / similarity[1]."""
+    described, classes = _classes(docs, similarity, recall)
+    taking = described.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     alone = described.where(F.col("doc_id").isNull() | F.col("digest").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return taking.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "n_links").unionByName(alone)
+
+
+def without_near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.9999) -> DataFrame:
+    """``docs`` with one row of each class, the one with the least id (then the least hash of its text); rows without an
+    id or without words stay. Rows are told apart by id and text, so no text that is like no other is lost."""
+    described, classes = _classes(docs, similarity, recall)
+    rows = described.where(F.col("doc_id").isNotNull()).join(classes.select("digest", "first"), "digest")
+    rows = rows.groupBy("doc_id", "mark", (F.struct("doc_id", "mark") == F.col("first")).alias("stays")).agg(F.count("*").alias("n"))
+    told = scratch(rows.where("NOT stays OR n > 1"), "not-single")
+    keys = [docs["doc_id"].cast("bigint").eqNullSafe(told["doc_id"]), F.xxhash64(docs["text"].cast("string")).eqNullSafe(told["mark"])]
+    kept = docs.join(told, keys, "left_anti")
+    again = told.where("stays")
+    if again.isEmpty():
+        return kept
+    names = docs.columns
+    marked = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
+    repeated = marked.join(again.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), ["_id", "_mark"], "left_semi")
+    return kept.unionByName(repeated.dropDuplicates(["_id", "_mark"]).select(*(F.col(f"`{n}`") for n in names)))

@@ -10,10 +10,10 @@ A task holds one block of queries and the trees of up to 16 shards, all in one p
 first 16 are searched first and each query's k-th score goes along to the tasks of the others; the partial results, k
 per query and task, meet in a window by query. Nothing grows with the table but the number of shards and of tasks.
 
-Defined cases: null vectors and those with a null or non-finite component take no part; scaled components are clipped to
-+-2**26, so that scores fit a long; a shorter vector counts as filled up with zeros; rows that repeat an id and its vector count
-once, and no row with the query's own id is its candidate; a query with fewer than k candidates gets all of them; an
-empty table gives no rows; other columns are left out.
+Defined cases: null vectors and those with a null or non-finite component take no part; a scaled component beyond 2**62
+or a score beyond a long raises OverflowError, nothing is clipped; a shorter vector counts as filled up with zeros; rows
+that repeat an id and its vector are candidates of their own, but ask once; no row with the query's own id is its
+candidate; a query with fewer than k candidates gets all of them; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import column, scratch, ship
 
-SHARD, LEAF, BLOCK, SHARDS_PER_TASK = 8_192, 128, 256, 16
-#: Below every score.
-_FLOOR = -(1 << 62)
+#: Queries of a block: BLOCK, or fewer as long as there are fewer blocks than the cluster has cores.
+SHARD, LEAF, BLOCK, LEAST_BLOCK, SHARDS_PER_TASK = 8_192, 128, 2_048, 256, 16
+#: Below every score, and the largest component.
+_FLOOR, _MOST = -(1 << 63), float(1 << 62)
 
 
 def _quantised(scale: float):
@@ -46,31 +47,39 @@ def _quantised(scale: float):
                 x = np.array(v, np.float64)
                 if np.isfinite(x).all():
                     ids.append(i)
-                    packed.append(np.clip(np.floor(scale * x), -(1 << 26), 1 << 26).astype("<i4").tobytes())
+                    x = np.floor(scale * x)
+                    if np.abs(x).max(initial=0) > _MOST:
+                        raise OverflowError("a scaled component does not fit a long")
+                    packed.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["vec_id", "q"])
 
     return run
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
-    """vec_id, q: floor(scale * x) of each component as packed 32-bit integers; rows that take no part are gone."""
+    """vec_id, q: floor(scale * x) of each component as packed 64-bit integers; rows that take no part are gone."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    return rows.mapInArrow(_quantised(scale), "vec_id bigint, q binary").dropDuplicates(["vec_id", "q"])
+    return rows.mapInArrow(_quantised(scale), "vec_id bigint, q binary")
 
 
-def _matrix(packed: list[bytes], dim: int = 0) -> np.ndarray:
-    dim = max([dim, *(len(p) // 4 for p in packed)])
-    out = np.zeros((len(packed), dim), np.float64)
+def _matrix(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(packed), max((len(p) // 8 for p in packed), default=0)), np.int64)
     for i, p in enumerate(packed):
-        out[i, : len(p) // 4] = np.frombuffer(p, "<i4")
+        out[i, : len(p) // 8] = np.frombuffer(p, "<i8")
     return out
 
 
 def _packed(x: np.ndarray) -> np.ndarray:
     """In the smallest integer type that holds it, for the shuffle."""
     most = np.abs(x).max(initial=0)
-    return x.astype(np.int8 if most < 128 else np.int16 if most < 32_768 else np.int32)
+    return x.astype(np.int8 if most < 128 else np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+
+
+def _padded(x: np.ndarray, dim: int) -> np.ndarray:
+    """Filled up with zeros to ``dim`` columns; as doubles, which multiply fastest, where these hold every component."""
+    x = np.pad(x.astype(np.int64), ((0, 0), (0, dim - x.shape[1])))
+    return x.astype(np.float64) if np.abs(x).max(initial=0) < 1 << 53 else x
 
 
 def build_tree(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -101,11 +110,19 @@ def build_tree(ids: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: in doubles while they hold every sum, else in 64-bit integers."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    """Exact integer products of rows: in doubles or in 64-bit integers while these hold every sum, else in integers of
+    any size, as which they are returned."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 1 << 53:
-        return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return a @ b.T if most < 1 << 62 else a.astype(object) @ b.astype(object).T
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    if x.dtype == object and x.size and max(x.max(), -x.min()) >= 1 << 63:
+        raise OverflowError("a score does not fit a long")
+    return x.astype(np.int64)
 
 
 class Search:
@@ -123,14 +140,14 @@ class Search:
         q, heap = self.q, []
         for t, tree in enumerate(trees):
             dim = max(q.shape[1], tree["x"].shape[1])
-            pad = lambda m, d=dim: np.pad(m.astype(np.float64), ((0, 0), (0, d - m.shape[1])))
-            tree = tree | {"x": pad(tree["x"]), "low": pad(tree["low"]), "high": pad(tree["high"])}
-            trees[t] = tree | {"q": pad(q)}
+            trees[t] = tree | {n: _padded(m, dim) for n, m in (("x", tree["x"]), ("low", tree["low"]), ("high", tree["high"]), ("q", q))}
         plus, minus = [np.maximum(t["q"], 0) for t in trees], [np.minimum(t["q"], 0) for t in trees]
 
         def add(t: int, nodes: np.ndarray) -> None:
             tree = trees[t]
             bounds = _products(plus[t], tree["high"][nodes]) + _products(minus[t], tree["low"][nodes])
+            if bounds.dtype == object:  # a bound may pass what a score can reach
+                bounds = np.clip(bounds, -(1 << 63), (1 << 63) - 1).astype(np.int64)
             for node, bound in zip(nodes.tolist(), bounds.T, strict=True):
                 live = self._live(bound, tree["least"][node])
                 if live.any():
@@ -149,7 +166,7 @@ class Search:
                 continue
             self.looked += len(live) * int(tree["end"][node] - tree["start"][node])
             own = slice(tree["start"][node], tree["end"][node])
-            self._offer(live, tree["ids"][own], _products(tree["q"][live], tree["x"][own]))
+            self._offer(live, tree["ids"][own], _long(_products(tree["q"][live], tree["x"][own])))
 
     def _live(self, bound: np.ndarray, least: int) -> np.ndarray:
         return (bound > self.kth) | ((bound == self.kth) & (least < self.kth_id))
@@ -163,7 +180,7 @@ class Search:
         live, good, scores = live[some], good[some], scores[some]
         all_scores = np.hstack([self.scores[live], np.where(good, scores, _FLOOR)])
         all_ids = np.hstack([self.found[live], np.where(good, ids[None], np.iinfo(np.int64).max)])
-        best = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
+        best = np.lexsort((all_ids, ~all_scores), axis=1)[:, : self.k]  # ~x falls where x rises and overflows nowhere
         self.scores[live], self.found[live] = np.take_along_axis(all_scores, best, 1), np.take_along_axis(all_ids, best, 1)
         reached = self.scores[live, -1] > self.floor[live]
         self.kth[live] = np.maximum(self.scores[live, -1], self.floor[live])
@@ -184,10 +201,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int, scale: float = 64.0) -> D
     with the largest integer inner products, ties to the smaller vec_id."""
     rows = scratch(quantised(vectors, scale), "quantised")
     total, asked = rows.count(), rows.where(queries).count()
-    shards, blocks = max(1, -(-total // SHARD)), max(1, -(-asked // BLOCK))
+    shards, blocks = max(1, -(-total // SHARD)), max(1, -(-asked // BLOCK), min(-(-asked // LEAST_BLOCK), vectors.sparkSession.sparkContext.defaultParallelism))
     spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     trees = scratch(rows.withColumn("shard", spread("shard", shards)).groupBy("shard").applyInPandas(_trees, "shard int, tree binary"), "trees")
-    asks = rows.where(queries).withColumn("block", spread("block", blocks))
+    asks = rows.where(queries).dropDuplicates(["vec_id", "q"]).withColumn("block", spread("block", blocks))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -206,11 +223,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int, scale: float = 64.0) -> D
         return copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
 
     first = trees.where(F.col("shard") < SHARDS_PER_TASK)
-    found = against(asks.withColumn("floor", F.lit(_FLOOR)), first)
+    found = against(asks.withColumn("floor", F.lit(_FLOOR).cast("bigint")), first)
     if shards > SHARDS_PER_TASK:
         found = scratch(found, "first-shards")
-        kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_FLOOR)).alias("floor"))
-        seeded = asks.join(kth, asks["vec_id"] == kth["query_id"], "left").select("vec_id", "q", "block", F.coalesce("floor", F.lit(_FLOOR)).alias("floor"))
+        kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_FLOOR).cast("bigint")).alias("floor"))
+        seeded = asks.join(kth, asks["vec_id"] == kth["query_id"], "left").select("vec_id", "q", "block", F.coalesce("floor", F.lit(_FLOOR).cast("bigint")).alias("floor"))
         found = found.unionByName(against(seeded, trees.where(F.col("shard") >= SHARDS_PER_TASK)))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

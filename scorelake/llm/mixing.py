@@ -8,8 +8,8 @@ filter. Larger budgets have larger thresholds over the same hashes, so their sel
 A histogram has at most 1024 rows per source and is summed within the input partitions first, so a source that holds
 a third of all rows costs no more than another.
 
-Defined cases: a null text has size 0; null sources form one source, the last; documents with one id (or none) have
-one hash and are taken or left together; a table without words gives targets of 0; an empty table gives no rows; other
+Defined cases: a null text has size 0; null sources form one source, the last; the hash is over id and text, so that
+documents with one id (or none) are told apart, and only rows that repeat both are taken or left together; a table without words gives targets of 0; an empty table gives no rows; other
 columns are left out.
 """
 
@@ -31,9 +31,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("bigint")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """The first 60 bits of the md5 of the id as text, as a number that any SQL engine can reproduce."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the md5 of id and text, as a number that any SQL engine can reproduce."""
+    both = F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), F.lit("|"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         size_of(F.col("text")).alias("size"),
-        hash_of(F.col("doc_id").cast("bigint")).alias("h"),
+        hash_of(F.col("doc_id"), F.col("text")).alias("h"),
     )
     return scratch(rows, "sized")
 
@@ -71,7 +72,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """``budgets`` (source, budget_id, rest) with ``threshold``: documents of the source with h below it have as much
     size together as fits into ``rest``, up to the boundary document."""
     step = budgets.select("source", "budget_id", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("bigint").alias("start"))
-    left = rows
+    left = rows.select("source", "size", "h")
     for level in range(BITS // LEVEL):
         shift = BITS - LEVEL * (level + 1)
         bucket = F.shiftright(F.col("h"), shift)
@@ -104,6 +105,8 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         step = step.where("open").drop("open")
         edge = step.select("source", F.shiftright(F.col("start"), shift).alias("bucket")).distinct()
         left = left.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.shiftright(F.col("r.h"), shift) == F.col("e.bucket")), "left_semi")
+        if not level:  # about a thousandth of the rows is left: later levels read these only
+            left = scratch(left, "boundary-rows")
     return done.unionByName(step).select("source", "budget_id", F.col("start").alias("threshold"))
 
 
@@ -136,6 +139,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3
     """The mix itself: each document's row as often as it is taken. Only the row per source meets the documents."""
     goal = plan(sized(docs), weights, most, budget).alias("g")
     joined = docs.alias("d").join(goal, F.col("d.source").cast("string").eqNullSafe(F.col("g.source")))
-    times = F.col("g.whole") + F.when(hash_of(F.col("d.doc_id").cast("bigint")) < F.col("g.threshold"), F.lit(1)).otherwise(F.lit(0))
+    times = F.col("g.whole") + F.when(hash_of(F.col("d.doc_id"), F.col("d.text")) < F.col("g.threshold"), F.lit(1)).otherwise(F.lit(0))
     copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")
     return joined.select("d.*", times.alias("_times")).where("_times > 0").select(*(F.col(f"`{c}`") for c in docs.columns), copies).drop("_copy")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.llm import chosen_path, components, kd_search, language_mixture, queries, rans, toxicity
+from scorelake.llm import chosen_path, components, kd_search, language_mixture, mixing, queries, rans, toxicity
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -270,3 +270,49 @@ def test_fold(spark):
 
     rows = spark.range(50).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows are told apart by id and text: classes and links against brute force over rows, and no unlike text is lost."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(rng.choice([f"w{i}" for i in range(4000)], 60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (2, a + " x"), (1, b), (3, b + " y"), (1, a + " z"), (7, c), (7, text()), (2, b), (9, c), (9, c), (4, ""), (4, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keyed = {k: t or "" for k, (i, t) in enumerate(rows) if i is not None and t}
+    want = brute_force(keyed)
+    least = {}
+    for k, (root, _) in want.items():
+        least[root] = min(least.get(root, 1 << 60), rows[k][0])
+    expected = Counter((rows[k][0], least[root], n) for k, (root, n) in want.items()) + Counter([(4, 4, 0), (4, 4, 0), (None, None, 0)])
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in chosen_path.near_duplicates(df).collect()) == expected
+    kept = [(r.doc_id, r.text) for r in chosen_path.without_near_duplicates(df.withColumn("_mark", F.lit(0))).drop("_mark").collect()]
+    assert {want[k][0] for k in keyed} == {want[next(k for k in keyed if rows[k] == r)][0] for r in kept if r in [rows[k] for k in keyed]}
+    assert len(kept) == len({root for root, _ in want.values()}) + 3
+
+
+def test_exact_search_with_large_components_and_repeated_rows(spark):
+    """Products of any size, rows that repeat as candidates, against SQL where doubles hold every sum."""
+    rows = [(20 * i if i < 3 else 3 * i + 1, [float(((i * 7919 + d * 104729) % 2001) - 1000) for d in range(8)]) for i in range(300)]
+    rows += rows[:40]
+    got = kd_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 20).collect()
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    assert {tuple(r) for r in got} == {tuple(map(int, r)) for r in con.sql(queries.ORACLES["op8_exact_top_k"]).fetchall()} and len(got) > 60
+    big = [(i, [float((1 << 22) + i), float(-(1 << 22) * (i % 2))]) for i in range(40)]
+    found = kd_search.top_k(spark.createDataFrame(big, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, 5).collect()
+    q = [[int(64 * x) for x in v] for _, v in big]
+    best = sorted(((-sum(x * y for x, y in zip(q[0], v, strict=True)), i) for i, v in enumerate(q) if i), key=lambda t: t)[:5]
+    assert [(r.score, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] == [(-n, i) for n, i in best]
+    huge = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        kd_search.top_k(huge, F.col("vec_id") == 0, 5).collect()
+
+
+def test_mixing_meets_targets_where_ids_are_missing(spark):
+    rows = [(None, "a " * (5 + i % 7) + str(i), "x") for i in range(200)] + [(7, "b " * 9 + str(i), "y") for i in range(200)] + [(i, "c " * 40 + str(i), "z") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    for target, part in got.groupby("target"):
+        assert abs(part.taken.sum() - target) <= part["size"].max()
