@@ -34,14 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the least id; documents without an id stay."""
-    classes = chosen_path.near_duplicates(docs.select("doc_id", "text"), similarity=(4, 5), recall=0.9999)
-    gone = scratch(classes.where("doc_id <> class_id").select("doc_id").distinct(), "duplicates")
-    again = scratch(classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+    return chosen_path.without_near_duplicates(docs, similarity=(4, 5), recall=0.9999).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
