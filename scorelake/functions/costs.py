@@ -20,11 +20,16 @@ PRICES = (
     ("gemini-2.0-flash", 0.1, 0.4),
 )
 CACHED_SHARE = 0.25
-# Prices of chat turns. The pro family has a dearer input beyond LONG_INPUT tokens.
-CHAT_PRO = ("gemini-3.1-pro", "gemini-3-pro", "gemini-2.5-pro")
-CHAT_PRO_INPUT, CHAT_PRO_LONG_INPUT, CHAT_PRO_OUTPUT, LONG_INPUT = 1.25, 5.0, 10.0, 200_000
-CHAT_FLASH, CHAT_FLASH_INPUT, CHAT_FLASH_OUTPUT = "gemini-2.5-flash", 0.075, 0.3
+# Prices of chat turns, as prefix of the model's name, dollars per million tokens of input up to and beyond
+# LONG_INPUT tokens, and of output. A model without a row costs CHAT_OTHER and has no price for cached input.
+CHAT = (
+    ("gemini-3.1-pro", 1.25, 5.0, 12.0),
+    ("gemini-3-pro", 1.25, 5.0, 10.0),
+    ("gemini-2.5-pro", 1.25, 5.0, 10.0),
+    ("gemini-2.5-flash", 0.075, 0.075, 0.3),
+)
 CHAT_OTHER_INPUT, CHAT_OTHER_OUTPUT = 1.25, 10.0
+LONG_INPUT = 200_000
 
 
 def _rate(model: Column, which: int) -> Column:
@@ -52,20 +57,16 @@ def cost(model: Column, asked: Column, answered: Column, cached: Column) -> Colu
 
 def chat_cost(model: Column, asked: Column, answered: Column, cached: Column) -> Column:
     """Dollars of a chat turn; models without a price count as dear ones without a cache."""
-    pro = F.lit(False)
-    for prefix in CHAT_PRO:
-        pro = pro | model.startswith(prefix)
-    tier = F.when(asked > LONG_INPUT, F.lit(CHAT_PRO_LONG_INPUT)).otherwise(F.lit(CHAT_PRO_INPUT))
-    return _dollars(
-        F.when(pro, _input(asked, cached, tier) + answered * CHAT_PRO_OUTPUT)
-        .when(model.startswith(CHAT_FLASH), _input(asked, cached, F.lit(CHAT_FLASH_INPUT)) + answered * CHAT_FLASH_OUTPUT)
-        .otherwise(asked * CHAT_OTHER_INPUT + answered * CHAT_OTHER_OUTPUT)
-    )
+    millionths = F.when(F.lit(False), F.lit(0.0))
+    for prefix, short, long, out in CHAT:
+        rate = F.when(asked > LONG_INPUT, F.lit(long)).otherwise(F.lit(short))
+        millionths = millionths.when(model.startswith(prefix), _input(asked, cached, rate) + answered * out)
+    return _dollars(millionths.otherwise(asked * CHAT_OTHER_INPUT + answered * CHAT_OTHER_OUTPUT))
 
 
 def bound_usage(lines: DataFrame) -> DataFrame:
     """Order lines as model calls."""
-    model = F.when(F.col("l_returnflag") == "A", "gemini-2.5-pro").when(F.col("l_returnflag") == "N", "gemini-2.5-flash-lite").otherwise("other")
+    model = F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 3 == 0), "gemini-3.1-pro-preview").when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") % 3 == 1), "gemini-3-pro").when(F.col("l_returnflag") == "A", "gemini-2.5-pro").when(F.col("l_returnflag") == "N", "gemini-2.5-flash-lite").otherwise("other")
     asked = F.col("l_quantity") * 6000
     return lines.select(
         "l_orderkey", "l_linenumber", model.alias("model"), asked.cast("bigint").alias("input"), F.rint(F.col("l_extendedprice") / 100).cast("bigint").alias("output"), F.floor(asked * F.col("l_discount") * 12).alias("cached")

@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 # Names of the twelve pitch classes from C.
 NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
-# Sharps and their flat spellings, in the order in which keys with more flats spell more of them.
-FLATS = {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db", "F#": "Gb"}
-# How many of these a key spells as flats.
+# Which sharps a key spells as flats.
 FLATS_OF_KEY = {
-    "f_major": 1, "bb_major": 2, "eb_major": 3, "ab_major": 4, "db_major": 5, "gb_major": 5,
-    "d_minor": 1, "g_minor": 2, "c_minor": 3, "f_minor": 4, "bb_minor": 5, "eb_minor": 5,
-}
+    "f_major": {"A#": "Bb"},
+    "bb_major": {"A#": "Bb", "D#": "Eb"},
+    "eb_major": {"A#": "Bb", "D#": "Eb", "G#": "Ab"},
+    "ab_major": {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db"},
+    "db_major": {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db", "F#": "Gb"},
+    "gb_major": {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db", "F#": "Gb"},
+    "d_minor": {"A#": "Bb"},
+    "g_minor": {"A#": "Bb", "D#": "Eb"},
+    "c_minor": {"A#": "Bb", "D#": "Eb", "G#": "Ab"},
+    "f_minor": {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db"},
+    "bb_minor": {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db", "F#": "Gb"},
+    "eb_minor": {"A#": "Bb", "D#": "Eb", "G#": "Ab", "C#": "Db", "F#": "Gb"},
+}
 
 
 def class_name(midi: Column) -> Column:
@@ -60,10 +68,10 @@ def spelled(name: Column, key: Column) -> Column:
     """A sharp name (also inside a sentence) as the key spells it. Keys are compared without regard to case, and with
     spaces and dashes as underscores; in a key without flats names stay as they are."""
     norm = F.regexp_replace(F.lower(F.trim(key)), "[ -]", "_")
-    flats = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in FLATS_OF_KEY.items() for x in kv)), norm), F.lit(0))
     out = name
-    for i, (sharp, flat) in enumerate(FLATS.items()):
-        out = F.when(flats > i, F.replace(out, F.lit(sharp), F.lit(flat))).otherwise(out)
+    for sharp, flat in FLATS_OF_KEY["gb_major"].items():
+        keys = [key for key, flats in FLATS_OF_KEY.items() if sharp in flats]
+        out = F.when(norm.isin(keys), F.replace(out, F.lit(sharp), F.lit(flat))).otherwise(out)
     return out
 
 

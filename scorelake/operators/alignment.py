@@ -1,6 +1,6 @@
 """Alignment of performed notes with score notes: one dynamic programme per session, as a cogrouped map.
 
-Spark groups both sides by session; a session is a recording, so a group is small. Within it the programme keeps only
+Spark deals both sides by session over many tasks; a session is a recording, so a group is small. Within it the programme keeps only
 the band of score notes within ``band`` seconds of the expected time, one row of scores at a time, and one byte per
 band cell for the way back.
 """
@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from scorelake.operators.cluster import dealt
+
 
 @dataclass(frozen=True)
 class AlignConfig:
@@ -107,11 +109,14 @@ def align_session(perf: pd.DataFrame, score: pd.DataFrame, c: AlignConfig = Alig
         for i, j in pairs:
             hit[usable[i]] = j
         # what is left takes the compatible score note nearest in time; score notes may serve twice
-        for i in usable[hit[usable] < 0]:
-            gap = np.abs(s * ratio + offset - perf["t"].iloc[i])
-            ok = np.flatnonzero((np.abs(notes - perf["pitch"].iloc[i]) <= 1) & (notes != WILDCARD) & (gap <= c.fill_within))
-            if len(ok):
-                hit[i], filled[i] = ok[np.argmin(gap[ok])], True
+        line = s * ratio + offset
+        left = np.flatnonzero(hit[usable] < 0)
+        begin, end = np.searchsorted(line, t[left] - c.fill_within, "left"), np.searchsorted(line, t[left] + c.fill_within, "right")
+        for i, a, b in zip(left.tolist(), begin.tolist(), end.tolist(), strict=True):
+            gap = np.abs(line[a:b] - t[i])
+            gap[(np.abs(notes[a:b] - pitch[i]) > 1) | (notes[a:b] == WILDCARD) | (gap > c.fill_within)] = np.inf
+            if len(gap) and gap.min() < np.inf:
+                hit[usable[i]], filled[usable[i]] = a + int(gap.argmin()), True
     found = score.iloc[np.maximum(hit, 0)].reset_index(drop=True) if len(score) else pd.DataFrame({"measure": [None] * len(perf), "score_time_sec": np.nan, "midi_pitch": np.nan})
     matched = hit >= 0
     wild = matched & (found["midi_pitch"].to_numpy(float) == WILDCARD)
@@ -136,4 +141,4 @@ def align(perf: DataFrame, score: DataFrame, config: AlignConfig = AlignConfig()
         right = right.reindex(columns=["score_time_sec", "midi_pitch", "measure"]).dropna(subset=["score_time_sec"])
         return align_session(left, right, config)
 
-    return perf.groupBy("session_id").cogroup(score.groupBy("session_id")).applyInPandas(run, OUT)
+    return dealt(perf, "session_id").groupBy("session_id").cogroup(dealt(score, "session_id").groupBy("session_id")).applyInPandas(run, OUT)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from scorelake.operators.cluster import dealt, ship
+
 
 def refine_bar_starts(bars: DataFrame, onsets: DataFrame, near: float = 4.0, loud: float = -30.0, after: float = 0.2) -> DataFrame:
     """session_id, measure, start, status. A bar's start moves to the best onset around it (loudness plus strength minus
@@ -44,7 +48,7 @@ def refine_bar_starts(bars: DataFrame, onsets: DataFrame, near: float = 4.0, lou
                     starts[k] = float(b["start"].iloc[k])
         return pd.DataFrame({"session_id": b["session_id"], "measure": b["measure"], "start": starts, "status": states})
 
-    return bars.groupBy("session_id").cogroup(onsets.groupBy("session_id")).applyInPandas(run, "session_id bigint, measure bigint, start double, status string")
+    return dealt(bars, "session_id").groupBy("session_id").cogroup(dealt(onsets, "session_id").groupBy("session_id")).applyInPandas(run, "session_id bigint, measure bigint, start double, status string")
 
 
 def nearest_unused(wanted: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
@@ -54,17 +58,31 @@ def nearest_unused(wanted: DataFrame, found: DataFrame, tolerance: float) -> Dat
     def run(w: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         w, f = (g.reindex(columns=["page", "x"]).dropna() for g in (w, f))  # a side without rows comes without columns
         free = sorted(f["x"].tolist())
+        # the next free candidate from each place on, to the left and to the right; paths are shortened as they are walked
+        after = list(range(len(free) + 1))
+
+        def next_free(way: list[int], k: int) -> int:
+            end = k
+            while way[end] != end:
+                end = way[end]
+            while way[k] != end:
+                way[k], k = end, way[k]
+            return end
+
+        before = list(range(len(free) + 1))  # place k + 1 stands for candidate k, place 0 for none
         out = []
         for x in sorted(w["x"].tolist()):
-            best = min(free, key=lambda c: (abs(c - x), c), default=None)  # noqa: B023
-            if best is not None and abs(best - x) <= tolerance:
-                free.remove(best)
-                out.append((x, best))
+            k = bisect_left(free, x)
+            near = [c for c in (next_free(before, k) - 1, next_free(after, k)) if 0 <= c < len(free)]
+            best = min(near, key=lambda c: (abs(free[c] - x), free[c]), default=None)  # noqa: B023
+            if best is not None and abs(free[best] - x) <= tolerance:
+                before[best + 1], after[best] = best, best + 1
+                out.append((x, free[best]))
             else:
                 out.append((x, x))
         return pd.DataFrame({"page": [int(w["page"].iloc[0])] * len(out) if len(w) else [], "x": [a for a, _ in out], "fit": [b for _, b in out]})
 
-    return wanted.groupBy("page").cogroup(found.groupBy("page")).applyInPandas(run, "page bigint, x double, fit double")
+    return dealt(wanted, "page").groupBy("page").cogroup(dealt(found, "page").groupBy("page")).applyInPandas(run, "page bigint, x double, fit double")
 
 
 def staves(lines: DataFrame, least: float, most: float) -> DataFrame:
@@ -82,7 +100,7 @@ def staves(lines: DataFrame, least: float, most: float) -> DataFrame:
                 k += 1
         return pd.DataFrame({"page": [g["page"].iloc[0]] * len(out), "top": [a for a, _ in out], "bottom": [b for _, b in out]})
 
-    return lines.groupBy("page").applyInPandas(run, "page bigint, top double, bottom double")
+    return dealt(lines, "page").groupBy("page").applyInPandas(run, "page bigint, top double, bottom double")
 
 
 def weighted_clusters(points: DataFrame, gap: float, apart: float) -> DataFrame:
@@ -100,7 +118,7 @@ def weighted_clusters(points: DataFrame, gap: float, apart: float) -> DataFrame:
         kept.sort()
         return pd.DataFrame({"page": [g["page"].iloc[0]] * len(kept), "x": [a for a, _ in kept], "score": [b for _, b in kept]})
 
-    return points.groupBy("page").applyInPandas(run, "page bigint, x double, score double")
+    return dealt(points, "page").groupBy("page").applyInPandas(run, "page bigint, x double, score double")
 
 
 def spectral_peaks(frames: DataFrame, floor_db: float, distance: int, most: int) -> DataFrame:
@@ -121,6 +139,7 @@ def spectral_peaks(frames: DataFrame, floor_db: float, distance: int, most: int)
                 rows += [(idx, k, float(db[k])) for k in kept]
             yield pd.DataFrame(rows, columns=["frame_idx", "bin", "db"])
 
+    ship(frames.sparkSession)
     return frames.select("frame_idx", "mag").mapInPandas(run, "frame_idx bigint, bin int, db double")
 
 
@@ -145,4 +164,4 @@ def greedy_matches(perf: DataFrame, score: DataFrame, smoothing: float = 0.85, b
             out.append(time[best])
         return pd.DataFrame({"session_id": p["session_id"], "state_idx": p["state_idx"], "score_time_sec": pd.array(out, "Float64")})
 
-    return perf.groupBy("session_id").cogroup(score.groupBy("session_id")).applyInPandas(run, "session_id bigint, state_idx bigint, score_time_sec double")
+    return dealt(perf, "session_id").groupBy("session_id").cogroup(dealt(score, "session_id").groupBy("session_id")).applyInPandas(run, "session_id bigint, state_idx bigint, score_time_sec double")

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from scorelake.operators.cluster import dealt, ship
+
 
 def cqt(samples: np.ndarray, rate: int, low_hz: float, octaves: int, per_octave: int, hop: int) -> np.ndarray:
     """Magnitudes (frames x bins) of windowed complex tones, each as long as its Q asks."""
@@ -39,6 +41,7 @@ def frames_of(recordings: DataFrame, low_hz: float, octaves: int, per_octave: in
                 m = cqt(samples, rate, low_hz, octaves, per_octave, hop)
                 yield pd.DataFrame({"session_id": session, "frame_idx": np.arange(len(m)), "t_sec": np.arange(len(m)) * hop / rate, "mag": list(m)})
 
+    ship(recordings.sparkSession)
     return recordings.mapInPandas(run, "session_id bigint, frame_idx bigint, t_sec double, mag array<double>")
 
 
@@ -59,7 +62,7 @@ def flux_onsets(frames: DataFrame, delta: float = 0.07, wait: float = 0.08) -> D
                 last = t[k]
         return pd.DataFrame({"session_id": [g["session_id"].iloc[0]] * len(out), "time": [a for a, _ in out], "strength": [b for _, b in out]})
 
-    return frames.groupBy("session_id").applyInPandas(run, "session_id bigint, time double, strength double")
+    return dealt(frames, "session_id").groupBy("session_id").applyInPandas(run, "session_id bigint, time double, strength double")
 
 
 def modulation(cents: np.ndarray, rate: float, low: float, high: float) -> tuple[float, float]:
@@ -91,6 +94,7 @@ def vibrato(tracks: DataFrame) -> DataFrame:
                 rows.append((session, speed, depth, "none" if strength < 0.3 or depth < 5 else "narrow" if depth < 15 else "wide" if depth > 60 else "even"))
             yield pd.DataFrame(rows, columns=["session_id", "rate_hz", "depth_cents", "verdict"])
 
+    ship(tracks.sparkSession)
     return tracks.mapInPandas(run, "session_id bigint, rate_hz double, depth_cents double, verdict string")
 
 
@@ -110,4 +114,5 @@ def trills(tracks: DataFrame) -> DataFrame:
                 rows.append((session, speed, swing, even, "no_trill" if swing < 50 else "even" if even >= 0.7 else "uneven"))
             yield pd.DataFrame(rows, columns=["session_id", "rate_hz", "swing_cents", "evenness", "verdict"])
 
+    ship(tracks.sparkSession)
     return tracks.mapInPandas(run, "session_id bigint, rate_hz double, swing_cents double, evenness double, verdict string")

@@ -393,14 +393,14 @@ def fn22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perf_notes(spark, sf_dir).select("state_idx", start.alias("start"), (start + length).alias("end"), F.coalesce(F.when(F.col("kind") == "error", "alert"), F.lit("info")).alias("severity"))
 
 
-_USAGE = """u AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'gemini-2.5-pro' WHEN 'N' THEN 'gemini-2.5-flash-lite' ELSE 'other' END AS model, (l_quantity * 6000)::BIGINT AS input, (l_extendedprice / 100)::BIGINT AS output,
+_USAGE = """u AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_linenumber % 3 = 0 THEN 'gemini-3.1-pro-preview' WHEN l_returnflag = 'A' AND l_linenumber % 3 = 1 THEN 'gemini-3-pro' WHEN l_returnflag = 'A' THEN 'gemini-2.5-pro' WHEN l_returnflag = 'N' THEN 'gemini-2.5-flash-lite' ELSE 'other' END AS model, (l_quantity * 6000)::BIGINT AS input, (l_extendedprice / 100)::BIGINT AS output,
   greatest(0, least(floor(l_quantity * 6000 * l_discount * 12)::BIGINT, (l_quantity * 6000)::BIGINT)) AS hit FROM lineitem)"""
 
 
 @query(
     "fn24_cost",
-    f"""WITH {_USAGE} SELECT l_orderkey, l_linenumber, floor(CASE model WHEN 'gemini-2.5-pro' THEN ((input - hit) * 1.25::DOUBLE + hit * 1.25::DOUBLE * 0.25::DOUBLE + output * 10.0::DOUBLE)
-      WHEN 'gemini-2.5-flash-lite' THEN ((input - hit) * 0.3::DOUBLE + hit * 0.3::DOUBLE * 0.25::DOUBLE + output * 2.5::DOUBLE) END + 0.5) / 1e6 AS cost FROM u""",
+    f"""WITH {_USAGE} SELECT l_orderkey, l_linenumber, floor(CASE WHEN model LIKE '%pro%' THEN ((input - hit) * 1.25::DOUBLE + hit * 1.25::DOUBLE * 0.25::DOUBLE + output * CASE WHEN model LIKE 'gemini-3%' THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END)
+      WHEN model = 'gemini-2.5-flash-lite' THEN ((input - hit) * 0.3::DOUBLE + hit * 0.3::DOUBLE * 0.25::DOUBLE + output * 2.5::DOUBLE) END + 0.5) / 1e6 AS cost FROM u""",
 )
 def fn24(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices by the first prefix of the model's name that fits; cached input at a quarter; null for unknown models."""
@@ -411,8 +411,8 @@ def fn24(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fn25_chat_cost",
     f"""WITH {_USAGE}, t AS (SELECT *, CASE WHEN input > 200000 THEN 5.0::DOUBLE ELSE 1.25::DOUBLE END AS tier FROM u)
-    SELECT l_orderkey, l_linenumber, floor(CASE model WHEN 'gemini-2.5-pro' THEN (input - hit) * tier + hit * tier * 0.25::DOUBLE + output * 10.0::DOUBLE
-      WHEN 'gemini-2.5-flash-lite' THEN (input - hit) * 0.075::DOUBLE + hit * 0.075::DOUBLE * 0.25::DOUBLE + output * 0.3::DOUBLE ELSE input * 1.25::DOUBLE + output * 10.0::DOUBLE END + 0.5) / 1e6 AS cost FROM t""",
+    SELECT l_orderkey, l_linenumber, floor(CASE WHEN model LIKE '%pro%' THEN (input - hit) * tier + hit * tier * 0.25::DOUBLE + output * CASE WHEN model LIKE 'gemini-3.1%' THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END
+      WHEN model = 'gemini-2.5-flash-lite' THEN (input - hit) * 0.075::DOUBLE + hit * 0.075::DOUBLE * 0.25::DOUBLE + output * 0.3::DOUBLE ELSE input * 1.25::DOUBLE + output * 10.0::DOUBLE END + 0.5) / 1e6 AS cost FROM t""",
 )
 def fn25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dearer tier for long inputs of one family, other prices for the rest."""

@@ -48,22 +48,27 @@ def win04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.refine_bar_starts(bars, heard, near=7_200.0, loud=-50.0, after=60.0)
 
 
+def _page() -> F.Column:
+    """Pages of 200 parts, so that there are more of them, not larger ones, where the table is larger."""
+    return F.floor(F.col("p_partkey") / 200).cast("bigint")
+
+
 @query("jon23_barline_fit")
 def jon23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected boundaries of a page against detected ones."""
-    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("page"), (F.col("p_retailprice") / 2_000).alias("x"), "p_size")
+    parts = table(spark, sf_dir, "part").select(_page().alias("page"), (F.col("p_retailprice") / 2_000).alias("x"), "p_size")
     return greedy.nearest_unused(parts.where("p_size % 2 = 0").select("page", "x"), parts.where("p_size % 2 = 1").select("page", "x"), 0.01)
 
 
 @query("win23_candidate_clusters")
 def win23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("page"), (F.col("p_retailprice") / 2_000).alias("x"), F.col("p_size").cast("double").alias("score"))
+    points = table(spark, sf_dir, "part").select(_page().alias("page"), (F.col("p_retailprice") / 2_000).alias("x"), F.col("p_size").cast("double").alias("score"))
     return greedy.weighted_clusters(points, 0.002, 0.01)
 
 
 @query("win24_staff_lines")
 def win24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("page"), F.col("p_retailprice").alias("y"))
+    lines = table(spark, sf_dir, "part").select(_page().alias("page"), F.col("p_retailprice").alias("y"))
     return greedy.staves(lines, 0.0, 40.0)
 
 

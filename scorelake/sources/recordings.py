@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from scorelake.operators.cluster import ship
+
 NOTES = "path string, part int, measure int, start_quarter double, start_sec double, duration_sec double, midi_pitch int, staff int"
 
 
@@ -28,6 +30,7 @@ def read_wav(spark: SparkSession, path: str, start: float = 0.0, end: float | No
                     x = np.frombuffer(w.readframes(n), "<i2").reshape(-1, channels).mean(1) / 32768
                 yield pd.DataFrame({"path": [name], "rate": [rate], "samples": [x.astype(np.float32)]})
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rate int, samples array<float>")
 
 
@@ -88,4 +91,5 @@ def read_musicxml(spark: SparkSession, path: str) -> DataFrame:
             rows = [r for name, content in zip(batch["path"], batch["content"], strict=True) for r in score_rows(name, content)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NOTES.split(", ")])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, NOTES)

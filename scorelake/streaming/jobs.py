@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scorelake.operators.cluster import ship
+
 
 def note_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Event files as they arrive in a folder."""
@@ -43,6 +45,7 @@ def daily_quota(events: DataFrame, most: int = 50) -> DataFrame:
             yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
         state.update((day, used))
 
+    ship(events.sparkSession)
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, allowed boolean", "day string, used int", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -63,6 +66,7 @@ def cached_decisions(events: DataFrame, ttl_seconds: int = 3_600) -> DataFrame:
         if decided is not None:
             state.update((decided,))
 
+    ship(events.sparkSession)
     return events.groupBy("user_id", "event_type").applyInPandasWithState(run, "user_id bigint, event_id bigint, hit boolean", "decided double", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -80,6 +84,7 @@ def running_tempo(events: DataFrame, reach: int = 4) -> DataFrame:
             yield pd.DataFrame({"user_id": [r[0] for r in out], "event_id": [r[1] for r in out], "tempo": pd.array([r[2] for r in out], "Float64")})
         state.update((recent,))
 
+    ship(events.sparkSession)
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, tempo double", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
 

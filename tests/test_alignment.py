@@ -1,3 +1,4 @@
+import os
 import numpy as np
 import pandas as pd
 import pytest
@@ -107,3 +108,43 @@ def test_long_pair(spark):
     assert out["matched"].mean() > 0.6
     both = out[out["matched"]]
     assert both["state_idx"].corr(both["score_time_sec"].rank()) > 0.95
+
+
+def test_maps_run_in_a_session_that_knows_no_path_to_the_package(tmp_path):
+    """Executors get the package from the session, not from a folder that happens to be on their path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from scorelake.plans.catalog import QUERIES\n"
+        "print('rows', QUERIES['jon01_alignment'](spark, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("rows")[1]) > 0
+
+
+def test_nearest_unused_against_every_choice(spark):
+    from scorelake.operators.greedy import nearest_unused
+
+    rng = np.random.default_rng(2)
+    wanted = [(p, float(x)) for p in range(6) for x in np.round(rng.random(40), 2)]
+    found = [(p, float(x)) for p in range(6) for x in np.round(rng.random(30), 2)]
+    want = []
+    for p in range(6):
+        free = sorted(x for q, x in found if q == p)
+        for x in sorted(x for q, x in wanted if q == p):
+            best = min(free, key=lambda c: (abs(c - x), c), default=None)
+            if best is not None and abs(best - x) <= 0.03:
+                free.remove(best)
+                want.append((p, x, best))
+            else:
+                want.append((p, x, x))
+    got = nearest_unused(spark.createDataFrame(wanted, "page bigint, x double"), spark.createDataFrame(found, "page bigint, x double"), 0.03)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
