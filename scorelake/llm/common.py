@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorelake.operators import cluster
+from scorelake.operators.cluster import scratch_path
+
 #: The white space between words, as a regular-expression class.
 SPACE = r"\x20\x09-\x0D"
 
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,29 +26,11 @@ BATCH_ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python can import it, and bound the
-    rows of a batch unless the session sets its own number."""
+    """Send this package to the executors once per application, and bound the rows of a batch unless the session sets
+    its own number: texts of 10,000 rows, Spark's default, may not fit a worker several times."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{package.name}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; only where that is unset, as in tests, in a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/scorelake/{name}-{uuid.uuid4().hex}"
+    cluster.ship(spark)
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
