@@ -42,6 +42,16 @@ def name_midi(name: Column) -> Column:
     return F.coalesce(named, F.rint(F.trim(name).try_cast("double")).cast("int"))
 
 
+def event_class(name: Column, note: Column, loudest: Column) -> Column:
+    """The pitch class of an event: that of its own name, else that of its note, of which letters and sharps count, else
+    that of its loudest pitch. A name that is none gives null, whatever else is there."""
+    flats = {flat: NAMES.index(sharp) for sharp, flat in FLATS_OF_KEY["gb_major"].items()}
+    number = F.create_map(*(F.lit(x) for kv in ({n: i for i, n in enumerate(NAMES)} | flats).items() for x in kv))
+    plain = F.replace(F.replace(name, F.lit("♯"), F.lit("#")), F.lit("♭"), F.lit("b"))
+    base = F.regexp_replace(F.replace(note, F.lit("♯"), F.lit("#")), r"[^\p{L}#]", "")
+    return F.when(name.isNotNull(), F.element_at(number, plain)).when(note.isNotNull(), F.element_at(number, base)).otherwise(F.pmod(F.rint(loudest).cast("bigint"), F.lit(12)).cast("int"))
+
+
 def midi_hz(midi: Column) -> Column:
     return F.lit(440.0) * F.pow(F.lit(2.0), (midi - 69) / F.lit(12.0))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fields that an answer has.
+ANSWER_FIELDS = ("lesson", "comments", "progress_notes")
+
 
 def without_octave(name: Column) -> Column:
     """A trailing number, with its sign, removed."""
@@ -24,3 +27,60 @@ def capped(text: Column, most: int, head: int, tail: int) -> Column:
 def fenced_json(text: Column) -> Column:
     """The object inside a json fence, empty if there is none."""
     return F.regexp_extract(text, r"```json *(\{[^`]*\}) *```", 1)
+
+
+def balanced_object(text: Column) -> Column:
+    """From the first opening brace to the one that closes it, braces inside strings not counted; null if none does."""
+    rest = F.substring(text, F.nullif(F.instr(text, "{"), F.lit(0)), F.length(text))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"]
+        depth = s["depth"] + F.when(s["quoted"], 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(
+            F.struct(
+                depth.alias("depth"), (s["quoted"] != quote).alias("quoted"), (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
+                (s["n"] + 1).alias("n"), ((depth == 0) & (c == "}") & ~s["quoted"]).alias("done"),
+            )
+        )
+
+    end = F.aggregate(F.split(rest, ""), start, step)
+    return F.when(end["done"], F.substring(rest, F.lit(1), end["n"]))
+
+
+def json_block(text: Column) -> Column:
+    """The JSON object of an answer: what a fence for JSON holds, else what any fence holds, else the first balanced
+    object; what does not parse is passed over, and null is left if nothing does."""
+    found = [F.regexp_extract(text, rf"(?s)```{kind}\s*(\{{.*?\}})\s*```", 1) for kind in ("json", "")]
+    return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull() & (x != ""), x) for x in (*found, balanced_object(text))))
+
+
+def response_error(body: Column) -> Column:
+    """What is wrong with an answer's JSON, null if nothing is."""
+    value = F.try_parse_json(body)
+    kind = lambda v: F.schema_of_variant(v)
+    field = lambda name: F.try_variant_get(value, f"$.{name}", "variant")
+    missing = F.array_except(F.array(*map(F.lit, ANSWER_FIELDS)), F.json_object_keys(body))
+    bare = lambda c: kind(c).startswith("OBJECT") & ~F.arrays_overlap(F.json_object_keys(F.to_json(c)), F.array(F.lit("references"), F.lit("note_refs")))
+    first = F.array_position(F.transform(F.try_variant_get(value, "$.comments", "array<variant>"), bare), F.lit(True))
+    return (
+        F.when(missing.isNull(), "not an object")
+        .when(F.size(missing) > 0, F.concat(F.lit("missing required fields: "), F.array_join(missing, ", ")))
+        .when(~F.coalesce(kind(field("lesson")).startswith("OBJECT"), F.lit(False)), "field lesson must be an object")
+        .when(~F.coalesce(kind(field("comments")).startswith("ARRAY"), F.lit(False)), "field comments must be a list")
+        .when(first > 0, F.concat(F.lit("comment "), first.cast("string"), F.lit(" missing references")))
+    )
+
+
+def clip(name: Column) -> Column:
+    """start_sec, end_sec and height in the name of a clip, null for other names."""
+    part = lambda i: F.regexp_extract(name, r"^clip_(\d+)_(\d+)_h(\d+)\.mp4$", i)
+    found = F.struct((part(1).try_cast("bigint") / 1000.0).alias("start_sec"), (part(2).try_cast("bigint") / 1000.0).alias("end_sec"), part(3).try_cast("bigint").alias("height"))
+    return F.when(part(1) != "", found)
+
+
+def log_record(time: Column, level: Column, logger: Column, message: Column, context: dict[str, Column], extra: dict[str, Column]) -> Column:
+    """A log line: fixed fields, then the context that is there, then further fields."""
+    stamp = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    fields = {"ts": stamp, "level": level, "logger": logger, "msg": message} | context | extra
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))

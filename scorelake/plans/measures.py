@@ -370,7 +370,7 @@ def fn13(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN length(html) > 800 THEN substr(html, 1, 400) || '...' || right(html, 200) ELSE html END AS capped FROM pages""",
 )
 def fn16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also FN-17, FN-18, FN-19 and FN-23."""
+    """Also FN-17, FN-18 and FN-23."""
     url = F.col("url")
     bare = F.substring_index(F.substring_index(url, "?", 1), "#", 1)
     return table(spark, sf_dir, "pages").select("page_id", text.without_octave(url).alias("base"), text.safe_id(url).alias("safe_id"), F.regexp_extract(bare, "([0-9]+)[^0-9]*$", 1).alias("number"), text.capped(F.col("html"), 800, 400, 200).alias("capped"))
@@ -381,7 +381,7 @@ def fn16(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH x AS (SELECT event_id, 'note ```json ' || props || ' ``` end' AS t FROM events) SELECT event_id, regexp_extract(t, '```json *(\{[^`]*\}) *```', 1) AS body, json_extract_string(regexp_extract(t, '```json *(\{[^`]*\}) *```', 1), '$.k')::INTEGER AS k FROM x""",
 )
 def fn20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also FN-21: the JSON inside a fence, read leniently."""
+    """The JSON inside a fence on one line, read leniently; fn20_json_block has all forms."""
     body = text.fenced_json(F.concat(F.lit("note ```json "), "props", F.lit(" ``` end")))
     return table(spark, sf_dir, "events").select("event_id", body.alias("body"), F.get_json_object(body, "$.k").try_cast("int").alias("k"))
 
@@ -425,7 +425,7 @@ def fn25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT l_orderkey, l_linenumber, ['Cb','Gb','Db','Ab','Eb','Bb','F','C','G','D','A','E','B','F#','C#'][(l_partkey % 15 + 1)::INTEGER] AS key, (l_linenumber * 4 / 8.0)::DOUBLE AS quarters, l_quantity > 0 AND l_tax < 0.07 AND l_quantity / 10 >= greatest(1 / 16.0, 0.25 * l_linenumber) AS valid, greatest(0, least(1, l_discount * 12)) AS x FROM lineitem""",
 )
 def fn27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also FN-28, FN-29, FN-30 and FLT-14: key names by fifths, quarters of a meter, bar validity, clamped boxes."""
+    """Also FN-28: key names by fifths, quarters of a meter, bars of a least length, clamped numbers."""
     valid = (F.col("l_quantity") > 0) & (F.col("l_tax") < 0.07) & (F.col("l_quantity") / 10 >= F.greatest(F.lit(1 / 16), F.lit(0.25) * F.col("l_linenumber")))
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", pitch.key_name((F.col("l_partkey") % 15 - 7).cast("int")).alias("key"), (F.col("l_linenumber") * 4 / F.lit(8.0)).alias("quarters"), valid.alias("valid"),
@@ -508,7 +508,7 @@ def sig09(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT session_id, '# Session ' || session_id::VARCHAR || chr(10) || array_to_string(list('| ' || measure::VARCHAR || ' | ' || n::VARCHAR || ' |' ORDER BY r), chr(10)) AS report FROM r WHERE r <= 5 GROUP BY 1""",
 )
 def snk03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also RUL-07, RUL-08 and RUL-09: a header and the five fullest bars as text."""
+    """A header and the five fullest bars as text."""
     bars = perf_notes(spark, sf_dir).groupBy("session_id", "measure").agg(F.count("*").alias("n"))
     top = bars.withColumn("r", F.row_number().over(W.partitionBy("session_id").orderBy(F.col("n").desc(), "measure"))).where("r <= 5")
     line = lambda e: F.format_string("| %d | %d |", e["measure"], e["n"])

@@ -487,7 +487,7 @@ def src23(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'series' AS kind, count(*) AS n FROM c UNION ALL SELECT 'lessons', count(*) FROM o UNION ALL SELECT 'notes', count(*) FROM l""",
 )
 def snk06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also SNK-05 and SET-01: what deleting every tenth series takes with it."""
+    """Also SNK-05: what deleting every tenth series takes with it."""
     series = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select("c_custkey")
     lessons = table(spark, sf_dir, "orders").join(series, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
     notes = table(spark, sf_dir, "lineitem").join(lessons, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey")
@@ -504,7 +504,7 @@ def snk07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snk09_latest_match", "SELECT conv_id, turn, CASE WHEN role = 'assistant' AND row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1 THEN 'ready' ELSE 'old' END AS state FROM conversations")
 def snk09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also SNK-08: the latest matching message of a conversation changes its state."""
+    """The latest matching message of a conversation changes its state."""
     latest = F.row_number().over(W.partitionBy("conv_id", "role").orderBy(F.col("turn").desc())) == 1
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((F.col("role") == "assistant") & latest, "ready").otherwise("old").alias("state"))
 
@@ -536,7 +536,7 @@ def agg24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("set02_key_union", f"{with_('p', 'o')} SELECT session_id, measure FROM p WHERE matched UNION SELECT session_id, (floor(time / 86400.0) + 1)::BIGINT FROM o UNION SELECT user_id, 0 FROM events")
 def set02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also SET-06: the distinct keys of three sources."""
+    """The distinct keys of three sources."""
     notes = perf_notes(spark, sf_dir)
     heard = onsets(spark, sf_dir).select("session_id", (F.floor(F.col("time") / 86_400.0) + 1).cast("bigint").alias("measure"))
     zero = notes.select("session_id", F.lit(0).cast("bigint").alias("measure"))

@@ -4,7 +4,10 @@ Paths are Hadoop paths of any file system that Spark is configured for; keys are
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -60,6 +63,45 @@ def write_session(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
 
 
+def manifest(spark: SparkSession, root: str, artifacts: list[str]) -> DataFrame:
+    """session_id, artifact, n_rows: what has been written for each session. It is read from the tables themselves, so it
+    cannot disagree with them."""
+    parts = [
+        spark.read.parquet(f"{root.rstrip('/')}/{a}").groupBy(F.col("session_id").cast("bigint").alias("session_id")).agg(F.lit(a).alias("artifact"), F.count("*").alias("n_rows"))
+        for a in artifacts
+        if exists(spark, f"{root.rstrip('/')}/{a}")
+    ]
+    out = spark.createDataFrame([], "session_id bigint, artifact string, n_rows bigint") if not parts else parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def append_messages(messages: DataFrame, path: str) -> None:
+    """Messages (conv_id, turn, text) added to a table that any number of writers append to."""
+    messages.write.mode("append").parquet(path)
+
+
+def merged_messages(messages: DataFrame) -> DataFrame:
+    """Each message once, with its place in its conversation; a message is its conversation and turn, and of two with
+    one turn the one with the lesser text counts."""
+    once = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
+    return once.withColumn("place", place.cast("bigint"))
+
+
+def documents_retried(spark: SparkSession, path: str, schema: str, attempts: int = 3, pause: float = 0.2) -> DataFrame:
+    """JSON documents whose writer may not have finished: empty files are read again, a few times, before they count as
+    rows of nulls."""
+    for attempt in range(attempts):
+        sizes = spark.read.format("binaryFile").load(path).select("length")
+        if sizes.where("length = 0").isEmpty():
+            break
+        if attempt + 1 < attempts:
+            time.sleep(pause * 2**attempt)
+    return documents(spark, path, schema)
+
+
 def delete_prefix(spark: SparkSession, path: str) -> int:
     """Delete everything below a path; how many files that were. Deleting again deletes nothing."""
     target, fs = _fs(spark, path)
