@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import byte_bpe, chosen_path, cotraining, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
-from scorelake.llm.common import fold, scratch_path, table
+from scorelake.llm.common import fold, scratch, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,11 +55,34 @@ FROM f
 
 @_query("op4_quality_rules", OP4_SQL)
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = rule_ledger.apply_policy(rule_ledger.build_ledger(table(spark, sf_dir, "documents")), rule_ledger.DEFAULT)
+    """The ledger is stored; both verdicts are read from its bits."""
+    ledger = rule_ledger.apply_policy(scratch(rule_ledger.build_ledger(table(spark, sf_dir, "documents")), "ledger"), rule_ledger.DEFAULT)
     base_failed = F.col("fail_bits").bitwiseAND(F.lit(rule_ledger.BASE.mask)) != 0
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept")
 
 
+def _ablation_sql() -> str:
+    parts = []
+    for policy in rule_ledger.POLICIES:
+        conditions = dict(rule_ledger.RULES)
+        for rule in policy.rules:
+            others = " OR ".join(f"({conditions[r]})" for r in policy.rules if r != rule) or "false"
+            bits = " | ".join(f"(CASE WHEN {conditions[r]} THEN {rule_ledger.BIT[r]} ELSE 0 END)" for r in policy.rules)
+            parts.append(
+                f"SELECT '{policy.version}' AS policy, '{rule}' AS rule, count(*) FILTER (WHERE {conditions[rule]}) AS n_failed, "
+                f"count(*) FILTER (WHERE ({conditions[rule]}) AND NOT ({others})) AS n_only, coalesce(bit_or(({bits})::BIGINT) FILTER (WHERE {conditions[rule]}), 0) AS with_bits FROM f"
+            )
+    return OP4_SQL[: OP4_SQL.rindex("SELECT doc_id, n_words")] + " UNION ALL ".join(parts)
+
+
+@_query("ledger_ablations", _ablation_sql())
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each policy version: what every rule rejects, alone and with others, from one stored ledger."""
+    ledger = scratch(rule_ledger.build_ledger(table(spark, sf_dir, "documents")), "ledger")
+    parts = [rule_ledger.ablations(ledger, policy).select(F.lit(policy.version).alias("policy"), "rule", "n_failed", "n_only", "with_bits") for policy in rule_ledger.POLICIES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @_query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache starts empty, so that every distinct text is encoded here."""

@@ -54,6 +54,8 @@ class Policy:
 
 BASE = Policy("base-1", ("few_words", "repeat_words"))
 DEFAULT = Policy("default-1", tuple(name for name, _ in RULES))
+#: Every version that has been in force.
+POLICIES = (BASE, DEFAULT)
 
 
 def measure(text: bytes | None) -> tuple[int, ...]:
