@@ -51,19 +51,23 @@ def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "jon19_movement_choice",
-    """WITH m AS (SELECT n_regionkey AS piece, n_nationkey AS id, lower(n_name) AS title, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
-    w AS (SELECT s_suppkey, n_regionkey AS piece, lower(n_name) AS wanted, s_suppkey % 25 AS hint FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-    x AS (SELECT s_suppkey, id, CASE WHEN s_suppkey % 3 = 0 AND (title = wanted OR contains(title, wanted) OR contains(wanted, title)) THEN 0 WHEN id = hint THEN 1 WHEN r = 1 + s_suppkey % 4 THEN 2 ELSE 3 END AS rank FROM w JOIN m USING (piece))
+    """WITH m AS (SELECT n_regionkey AS piece, n_nationkey AS id, lower(trim(n_name)) AS title, n_nationkey * 40 AS first, CASE WHEN n_nationkey % 6 > 0 THEN n_nationkey * 40 + 30 END AS last FROM nation),
+    w AS (SELECT s_suppkey, n_regionkey AS piece, CASE s_suppkey % 4 WHEN 0 THEN lower(n_name) || ' allegro' WHEN 1 THEN lower(substr(n_name, 1, 3)) ELSE '' END AS wanted, s_suppkey % 50 AS hint, s_suppkey * 7 % 1000 AS lo FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    x AS (SELECT s_suppkey, id, CASE WHEN wanted <> '' AND title <> '' AND (contains(title, wanted) OR contains(wanted, title)) THEN 0 WHEN id = hint THEN 1 WHEN first <= lo + 12 AND last >= lo THEN 2 ELSE 3 END AS rank FROM w JOIN m USING (piece))
     SELECT s_suppkey, id AS movement FROM x QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY rank, id) = 1""",
 )
 def jon19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By title, else by the hinted id, else by overlap (here: a place), else the first movement of the piece."""
+    """By title (one inside the other), else by the hinted id, else by overlap of the measures played, else the first
+    movement of the piece. A piece has few movements, so the pairs of a take with them are few."""
     nations = table(spark, sf_dir, "nation")
-    place = F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey"))
-    movements = nations.select(F.col("n_regionkey").alias("piece"), F.col("n_nationkey").alias("id"), F.lower("n_name").alias("title"), place.alias("r"))
-    wanted = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("piece"), F.lower("n_name").alias("wanted"), (F.col("s_suppkey") % 25).alias("hint"))
-    same = F.col("title").contains(F.col("wanted")) | F.col("wanted").contains(F.col("title"))
-    rank = F.when((F.col("s_suppkey") % 3 == 0) & same, 0).when(F.col("id") == F.col("hint"), 1).when(F.col("r") == F.col("s_suppkey") % 4 + 1, 2).otherwise(3)
+    first = F.col("n_nationkey") * 40
+    movements = nations.select(F.col("n_regionkey").alias("piece"), F.col("n_nationkey").alias("id"), F.lower(F.trim("n_name")).alias("title"), first.alias("first"), F.when(F.col("n_nationkey") % 6 > 0, first + 30).alias("last"))
+    named = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lower("n_name"), F.lit(" allegro"))).when(F.col("s_suppkey") % 4 == 1, F.lower(F.substring("n_name", 1, 3))).otherwise("")
+    takes = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    wanted = takes.select("s_suppkey", F.col("n_regionkey").alias("piece"), named.alias("wanted"), (F.col("s_suppkey") % 50).alias("hint"), (F.col("s_suppkey") * 7 % 1000).alias("lo"))
+    titled = (F.col("wanted") != "") & (F.col("title") != "") & (F.col("title").contains(F.col("wanted")) | F.col("wanted").contains(F.col("title")))
+    played = (F.col("first") <= F.col("lo") + 12) & (F.col("last") >= F.col("lo"))
+    rank = F.when(titled, 0).when(F.col("id") == F.col("hint"), 1).when(played, 2).otherwise(3)
     best = F.min(F.struct(rank.alias("rank"), "id"))
     return wanted.join(movements, "piece").groupBy("s_suppkey").agg(best["id"].alias("movement"))
 

@@ -537,11 +537,25 @@ def rul11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rul16_layout_document",
-    "WITH s AS (SELECT n_regionkey AS page, n_nationkey AS system, count(s_suppkey) AS bars FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) SELECT page, array_to_string(list(system::VARCHAR || ':' || bars::VARCHAR ORDER BY system), ' ') AS systems, count(*) < 3 AND sum(bars) < 3 AS front_matter FROM s GROUP BY page",
+    """WITH m AS (SELECT o_custkey AS page, o_orderkey AS system, l_linenumber AS measure, l_quantity > 8 AS valid FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+    s AS (SELECT page, system, min(measure) AS first, max(measure) AS last, count(*) AS n, string_agg(measure::VARCHAR, ',' ORDER BY measure) AS bars FROM m WHERE valid GROUP BY ALL),
+    p AS (SELECT page, count(*) AS systems, sum(n) AS n, min(first) AS first, max(last) AS last, string_agg(system::VARCHAR || ':' || first::VARCHAR || '-' || last::VARCHAR || '[' || bars || ']', ' ' ORDER BY system) AS layout FROM s GROUP BY 1)
+    SELECT x.page, CASE WHEN n IS NULL OR (systems < 3 AND n < 3) THEN 'front_matter' ELSE 'music' END AS kind, CASE WHEN systems < 3 AND n < 3 THEN 0 ELSE coalesce(systems, 0) END AS system_count,
+      CASE WHEN NOT (systems < 3 AND n < 3) THEN first END AS first_measure, CASE WHEN NOT (systems < 3 AND n < 3) THEN last END AS last_measure, CASE WHEN NOT (systems < 3 AND n < 3) THEN layout END AS layout
+    FROM (SELECT DISTINCT page FROM m) x LEFT JOIN p USING (page)""",
 )
 def rul16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with their systems; nearly empty ones are front matter."""
-    bars = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("system")).agg(F.count("*").alias("bars"))
-    systems = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("page"), F.col("n_nationkey").alias("system")).join(bars, "system", "left").fillna(0, ["bars"])
-    pages = systems.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("system", "bars"))).alias("x"), ((F.count("*") < 3) & (F.sum("bars") < 3)).alias("front_matter"))
-    return pages.select("page", F.array_join(F.transform("x", lambda e: F.format_string("%d:%d", e["system"], e["bars"])), " ").alias("systems"), "front_matter")
+    """Pages with their systems and these with their bars; systems without a valid bar are left out, and a page of fewer
+    than three systems and three bars is front matter."""
+    measures = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    measures = measures.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("system"), F.col("l_linenumber").alias("measure"), (F.col("l_quantity") > 8).alias("valid"))
+    systems = measures.groupBy("page", "system").agg(F.sort_array(F.collect_list(F.when(F.col("valid"), F.col("measure")))).alias("bars"))
+    held = F.sort_array(F.collect_list(F.when(F.size("bars") > 0, F.struct("system", "bars"))))
+    pages = systems.groupBy("page").agg(held.alias("x"), F.sum(F.size("bars")).alias("n"))
+    music = (F.col("n") > 0) & ~((F.size("x") < 3) & (F.col("n") < 3))
+    written = lambda e: F.concat(e["system"].cast("string"), F.lit(":"), e["bars"][0].cast("string"), F.lit("-"), F.get(e["bars"], F.size(e["bars"]) - 1).cast("string"), F.lit("["), F.array_join(e["bars"].cast("array<string>"), ","), F.lit("]"))
+    return pages.select(
+        "page", F.when(music, "music").otherwise("front_matter").alias("kind"), F.when(music, F.size("x")).otherwise(0).alias("system_count"),
+        F.when(music, F.array_min(F.transform("x", lambda e: e["bars"][0]))).alias("first_measure"), F.when(music, F.array_max(F.transform("x", lambda e: F.get(e["bars"], F.size(e["bars"]) - 1)))).alias("last_measure"),
+        F.when(music, F.array_join(F.transform("x", written), " ")).alias("layout"),
+    )

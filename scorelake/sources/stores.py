@@ -94,8 +94,9 @@ def documents_retried(spark: SparkSession, path: str, schema: str, attempts: int
     """JSON documents whose writer may not have finished: empty files are read again, a few times, before they count as
     rows of nulls."""
     for attempt in range(attempts):
-        sizes = spark.read.format("binaryFile").load(path).select("length")
-        if sizes.where("length = 0").isEmpty():
+        target, fs = _fs(spark, path)
+        found = [f for g in fs.globStatus(target) or [] for f in (fs.listStatus(g.getPath()) if g.isDirectory() else [g])]
+        if all(f.getLen() > 0 for f in found):
             break
         if attempt + 1 < attempts:
             time.sleep(pause * 2**attempt)

@@ -88,6 +88,13 @@ def running_tempo(events: DataFrame, reach: int = 4) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, tempo double", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def append_messages(messages: DataFrame, target: str, checkpoint: str):
+    """Messages (conv_id, turn, text) of any number of writers, added to one table; nothing is read back or rewritten, so
+    writers need no lock. ``stores.merged_messages`` reads the conversations."""
+    kept = messages.select("conv_id", "turn", "text")
+    return kept.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_stages(events: DataFrame, target: str, checkpoint: str):
     """Stage rows of each batch, written under the batch's number, so that a repeated batch replaces itself."""
 

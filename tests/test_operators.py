@@ -149,3 +149,35 @@ def test_tools(spark):
     assert tools.catalog(spark).count() == len(tools.TOOLS)
     for name, t in tools.TOOLS.items():
         tools.call(spark, sf, name, {k: 1 if k != "end" else 50 for k in t.arguments}).count()
+
+
+def test_empty_documents_are_read_again(spark, tmp_path):
+    import threading
+
+    from scorelake.sources import stores
+
+    path = tmp_path / "d.json"
+    path.write_text("")
+    threading.Timer(0.5, lambda: path.write_text('{"a": 5}')).start()
+    assert stores.documents_retried(spark, str(path), "a int", attempts=6).first().a == 5
+
+
+def test_answers_of_models(spark):
+    from pyspark.sql import functions as F
+
+    from scorelake.functions import text
+
+    cases = {
+        'x ```json\n{"a": 1}\n``` y': '{"a": 1}',
+        '```\n{"a": {"b": 2}}\n```': '{"a": {"b": 2}}',
+        'say {"a": "}{"} and {': '{"a": "}{"}',
+        "none": None,
+        "{ open": None,
+        "": None,
+        '{"a": "q \\" }"} tail': '{"a": "q \\" }"}',
+        "{not json}": None,
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    for r in rows.select("t", "want", text.json_block(F.col("t")).alias("got"), text.response_error(F.col("t")).alias("error")).collect():
+        assert r.got == r.want, r.t
+    assert rows.where("t = 'none'").select(text.response_error(F.col("t")).alias("e")).first().e == "not an object"

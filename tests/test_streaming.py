@@ -62,3 +62,18 @@ def test_stage_rows(spark, folder, tmp_path):
         jobs.write_stages(jobs.note_stream(spark, path, events.schema), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == events.select("user_id").distinct().count()
+
+
+def test_two_writers_append_to_the_same_conversations(spark, tmp_path):
+    from scorelake.sources import stores
+
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text")
+    for k, some in enumerate(("turn % 3 <> 1", "turn % 3 <> 2")):
+        rows.where(some).write.parquet(str(tmp_path / f"in{k}"))
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / f"in{k}"))
+        for _ in range(2):  # a second start finds nothing new
+            jobs.append_messages(source, str(tmp_path / f"table{k}"), str(tmp_path / f"check{k}")).awaitTermination()
+    both = spark.read.parquet(str(tmp_path / "table0")).unionByName(spark.read.parquet(str(tmp_path / "table1")))
+    merged = stores.merged_messages(both)
+    assert merged.count() == rows.count() < both.count()
+    assert merged.where("place <> turn - 1 AND place <> turn").isEmpty()
