@@ -80,6 +80,37 @@ def modulation(cents: np.ndarray, rate: float, low: float, high: float) -> tuple
     return float(rate / best), float(a[best])
 
 
+# The least strength of a repetition and the least width in cents of a vibrato and of a trill; beyond
+# NO_VIBRATO cents a movement is none; tracks of fewer voiced frames say nothing.
+VIBRATO_STRENGTH, VIBRATO_DEPTH, NO_VIBRATO = 0.25, 8.0, 100.0
+TRILL_STRENGTH, TRILL_SWING, EVEN = 0.20, 40.0, 0.7
+VOICED = 20
+
+
+def _vibrato_verdict(speed: float, strength: float, depth: float) -> str:
+    if strength < VIBRATO_STRENGTH or depth < VIBRATO_DEPTH:
+        return "none"
+    if depth > NO_VIBRATO:
+        return "non-vibrato pitch motion (probably a slur, shift, or chord arpeggiation)"
+    slow, fast = speed < 4.5 and depth > 35, speed > 7.5 and depth < 25
+    return "wide-and-slow" if slow else "fast-and-narrow" if fast else "present"
+
+
+def _trill_verdict(speed: float, strength: float, swing: float, even: float) -> str:
+    if strength < TRILL_STRENGTH or swing < TRILL_SWING:
+        return "no trill detected"
+    if speed < 5:
+        return "slow trill (may sound deliberate or laboured)"
+    return "very fast trill" if speed > 11 else "regular trill" if even > EVEN else "trill present but uneven"
+
+
+def _cents(hz) -> np.ndarray:
+    """Cents about the median of the voiced frames."""
+    hz = np.asarray(hz, float)
+    hz = hz[np.isfinite(hz) & (hz > 0)]
+    return 1200 * np.log2(hz / np.median(hz)) if len(hz) else np.zeros(0)
+
+
 def vibrato(tracks: DataFrame) -> DataFrame:
     """session_id, rate_hz, depth_cents, verdict. tracks: session_id, rate, hz (array<double>)."""
 
@@ -87,11 +118,13 @@ def vibrato(tracks: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for session, rate, hz in zip(b["session_id"], b["rate"], b["hz"], strict=True):
-                hz = np.asarray(hz, float)
-                cents = 1200 * np.log2(hz / np.median(hz))
+                cents = _cents(hz)
+                if len(cents) < VOICED:
+                    rows.append((session, 0.0, 0.0, "none"))
+                    continue
                 speed, strength = modulation(cents, rate, 3, 9)
                 depth = float(np.std(cents) * np.sqrt(2))
-                rows.append((session, speed, depth, "none" if strength < 0.3 or depth < 5 else "narrow" if depth < 15 else "wide" if depth > 60 else "even"))
+                rows.append((session, speed, depth, _vibrato_verdict(speed, strength, depth)))
             yield pd.DataFrame(rows, columns=["session_id", "rate_hz", "depth_cents", "verdict"])
 
     ship(tracks.sparkSession)
@@ -105,14 +138,51 @@ def trills(tracks: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for session, rate, hz in zip(b["session_id"], b["rate"], b["hz"], strict=True):
-                hz = np.asarray(hz, float)
-                cents = 1200 * np.log2(hz / np.median(hz))
-                speed, _ = modulation(cents, rate, 4, 14)
+                cents = _cents(hz)
+                if len(cents) < VOICED:
+                    rows.append((session, 0.0, 0.0, 0.0, "no trill detected"))
+                    continue
+                speed, strength = modulation(cents, rate, 4, 14)
                 swing = float(np.percentile(cents, 90) - np.percentile(cents, 10))
                 turns = np.diff(np.flatnonzero(np.diff(np.signbit(cents - cents.mean()))))
-                even = float(1 - np.std(turns) / np.mean(turns)) if len(turns) > 1 else 0.0
-                rows.append((session, speed, swing, even, "no_trill" if swing < 50 else "even" if even >= 0.7 else "uneven"))
+                even = float(1 - min(1.0, np.std(turns) / np.mean(turns))) if len(turns) > 2 else 0.0
+                rows.append((session, speed, swing, even, _trill_verdict(speed, strength, swing, even)))
             yield pd.DataFrame(rows, columns=["session_id", "rate_hz", "swing_cents", "evenness", "verdict"])
 
     ship(tracks.sparkSession)
     return tracks.mapInPandas(run, "session_id bigint, rate_hz double, swing_cents double, evenness double, verdict string")
+
+
+def prominent_peaks(x: np.ndarray, distance: int, prominence: float, most: int) -> list[tuple[int, float]]:
+    """Places and prominences of the highest peaks: of two closer than ``distance`` the higher one stays, and a peak
+    stands at least ``prominence`` above the higher of the two valleys that part it from higher ground."""
+    x = np.asarray(x, float)
+    tops = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1 if len(x) > 2 else np.zeros(0, int)
+    kept: list[int] = []
+    for k in tops[np.argsort(-x[tops], kind="stable")]:
+        if all(abs(k - o) >= distance for o in kept):
+            kept.append(int(k))
+    out = []
+    for k in kept:
+        higher = np.flatnonzero(x > x[k])
+        left, right = higher[higher < k], higher[higher > k]
+        sides = x[left[-1] if len(left) else 0 : k + 1].min(), x[k : (right[0] if len(right) else len(x) - 1) + 1].min()
+        if x[k] - max(sides) >= prominence:
+            out.append((k, float(x[k] - max(sides))))
+    return out[:most]
+
+
+def envelope_peaks(envelopes: DataFrame, distance: int = 3, prominence: float = 2.0, most: int = 8) -> DataFrame:
+    """session_id, place, rel_db, prominence of an envelope's loudest peaks, relative to its maximum. envelopes:
+    session_id, db (array<double>), one row each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for session, db in zip(b["session_id"], b["db"], strict=True):
+                db = np.asarray(db, float)
+                rows += [(session, k, round(float(db[k] - db.max()), 1), round(p, 6)) for k, p in prominent_peaks(db, distance, prominence, most)]
+            yield pd.DataFrame(rows, columns=["session_id", "place", "rel_db", "prominence"])
+
+    ship(envelopes.sparkSession)
+    return envelopes.mapInPandas(run, "session_id bigint, place int, rel_db double, prominence double")

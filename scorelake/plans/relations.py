@@ -185,7 +185,12 @@ def jon15(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jon16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything known of bar 5."""
-    bar = F.col("measure") == 5
+    return bar_evidence(spark, sf_dir, 5)
+
+
+def bar_evidence(spark: SparkSession, sf_dir: str, measure: int) -> DataFrame:
+    """session_id, measure, notes, outline, onsets, loudest of one bar of each session."""
+    bar = F.col("measure") == measure
     notes = perf_notes(spark, sf_dir).where(bar).groupBy("session_id", "measure")
     notes = notes.agg(F.count("*").alias("notes"), F.sort_array(F.collect_list(F.struct("t", "state_idx", "pitch"))).alias("x"))
     heard = onsets(spark, sf_dir).withColumn("measure", (F.floor(F.col("time") / 86_400.0) + 1).cast("bigint")).where(bar)
@@ -201,11 +206,16 @@ def jon16(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jon17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first other note of the same bar and pitch within a tolerance."""
+    return note_evidence(spark, sf_dir).select("session_id", "state_idx", "hit")
+
+
+def note_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes asked about with their bar, pitch and hit."""
     notes = perf_notes(spark, sf_dir)
     asked = notes.where("kind = 'purchase'").select("session_id", "measure", "pitch", "state_idx", "t")
     others = notes.where("kind <> 'purchase'").select("session_id", "measure", "pitch", F.col("state_idx").alias("hit"), F.col("t").alias("ht"))
     near = asked.join(others, ["session_id", "measure", "pitch"]).where(F.abs(F.col("t") - F.col("ht")) <= 20_000)
-    return joins.first_by(near, ["session_id", "state_idx"], [F.col("ht"), F.col("hit")]).select("session_id", "state_idx", "hit")
+    return joins.first_by(near, ["session_id", "state_idx"], [F.col("ht"), F.col("hit")]).select("session_id", "measure", "pitch", "state_idx", "hit")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.operators import alignment, greedy
+from scorelake.operators import alignment, greedy, signal
 from scorelake.plans.registry import query
 from scorelake.sources.bindings import frames, onsets, perf_notes, table
 
@@ -74,5 +74,44 @@ def win24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("top06_spectral_peaks")
 def top06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also TOP-07 and SIG-12."""
+    """Also SIG-12."""
     return greedy.spectral_peaks(frames(spark, sf_dir), -30.0, 2, 8)
+
+
+def pitch_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pitch tracks of 64 frames a second: components are cents about 440 Hz, wide by the vector's number."""
+    wide = F.lit(40.0) * (1 + F.col("frame_idx") % 7)
+    hz = F.transform("mag", lambda x: F.lit(440.0) * F.pow(F.lit(2.0), x * wide / 1200))
+    return frames(spark, sf_dir).select(F.col("frame_idx").cast("bigint").alias("session_id"), F.lit(64.0).alias("rate"), hz.alias("hz"))
+
+
+@query("sig10_vibrato")
+def sig10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.vibrato(pitch_tracks(spark, sf_dir))
+
+
+@query("sig11_trill")
+def sig11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.trills(pitch_tracks(spark, sf_dir))
+
+
+@query("sig01_constant_q")
+def sig01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of vectors taken as recordings of 64 samples, repeated to last."""
+    wave = F.flatten(F.array_repeat(F.col("mag"), 16))
+    rows = frames(spark, sf_dir).where("frame_idx % 10 = 0").select(F.col("frame_idx").cast("bigint").alias("session_id"), F.lit(1_024).alias("rate"), wave.alias("samples"))
+    return signal.frames_of(rows, 64.0, 2, 12, 128)
+
+
+@query("sig07_flux_onsets")
+def sig07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onsets where the spectra of a session rise, a hundred frames a second."""
+    rows = frames(spark, sf_dir).select(F.col("session_id").cast("bigint").alias("session_id"), "frame_idx", (F.col("frame_idx") / 100).alias("t_sec"), "mag")
+    return signal.flux_onsets(rows)
+
+
+@query("top07_envelope_peaks")
+def top07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loudest peaks of each envelope by prominence."""
+    db = F.transform("mag", lambda x: F.lit(20.0) * F.log10(F.greatest(x, F.lit(1e-6))))
+    return signal.envelope_peaks(frames(spark, sf_dir).select(F.col("frame_idx").cast("bigint").alias("session_id"), db.alias("db")))

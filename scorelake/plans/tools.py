@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.plans import measures, relations, rhythm
+from scorelake.operators import signal
+from scorelake.plans import measures, relations, rhythm, sessions
 from scorelake.sources.bindings import frames, perf_notes
 
 
@@ -68,8 +69,17 @@ _SESSION = {"session_id": int}
 _BAR = _SESSION | {"measure": int}
 _WINDOW = _SESSION | {"start": float, "end": float}
 
-register(Tool("inspect_bar", "notes of a bar", _BAR, lambda s, d, a: _notes(s, d, a).where(F.col("measure") == a["measure"])))
-register(Tool("inspect_note", "notes of a bar and pitch", _BAR | {"pitch": int}, lambda s, d, a: _notes(s, d, a).where((F.col("measure") == a["measure"]) & (F.col("pitch") == a["pitch"]))))
+def _tracks(spark: SparkSession, sf_dir: str, a: dict) -> DataFrame:
+    """The part of a pitch track inside a window."""
+    cut = F.slice("hz", F.floor(F.lit(a["start"]) * 64).cast("int") + 1, F.lit(max(1, int((a["end"] - a["start"]) * 64))))
+    return sessions.pitch_tracks(spark, sf_dir).where(F.col("session_id") == a["session_id"]).withColumn("hz", cut)
+
+
+register(Tool("inspect_bar", "notes, outline and onsets of a bar", _BAR, lambda s, d, a: relations.bar_evidence(s, d, a["measure"]).where(F.col("session_id") == a["session_id"])))
+register(Tool("inspect_note", "a note of a bar and pitch with the first other note of its kind near it", _BAR | {"pitch": int}, lambda s, d, a: relations.note_evidence(s, d).where((F.col("session_id") == a["session_id"]) & (F.col("measure") == a["measure"]) & (F.col("pitch") == a["pitch"]))))
+register(Tool("measure_vibrato", "rate, depth and verdict of a vibrato", _WINDOW, lambda s, d, a: signal.vibrato(_tracks(s, d, a)), 5.0))
+register(Tool("measure_trill", "rate, swing, evenness and verdict of a trill", _WINDOW, lambda s, d, a: signal.trills(_tracks(s, d, a)), 5.0))
+register(Tool("watch", "frames of a window", _WINDOW, lambda s, d, a: frames(s, d).where((F.col("session_id") == a["session_id"]) & (F.col("frame_idx") / 100).between(a["start"], a["end"])).select("frame_idx"), 60.0))
 register(Tool("measure_tempo", "a bar's duration against the median", _SESSION, lambda s, d, a: measures.rul12(s, d).where(F.col("session_id") == a["session_id"])))
 register(Tool("measure_dynamics", "smoothed level of a window", _WINDOW, lambda s, d, a: measures.sig09(s, d).where(F.col("session_id") == a["session_id"]), 86_400.0 * 31))
 register(Tool("inspect_intonation", "deviation by bar", _SESSION, lambda s, d, a: measures.agg07(s, d).where(F.col("session_id") == a["session_id"])))
