@@ -48,19 +48,37 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (upto - lengths), lengths) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _words(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as numbers."""
+    return np.lib.stride_tricks.sliding_window_view(buf, 8)[at].view("<u8").ravel()
+
+
 def _equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Which spans of two buffers, each of one byte at least, hold the same bytes."""
-    if not len(lengths):
-        return np.zeros(0, bool)
-    other = a[spread(at_a, lengths)] != b[spread(at_b, lengths)]
-    return ~np.logical_or.reduceat(other, np.cumsum(lengths) - lengths)
+    """Which spans of two buffers hold the same bytes: eight at a time up to LONGEST, longer spans byte by byte."""
+    same = np.ones(len(lengths), bool)
+    a, b = (np.concatenate([x, np.zeros(8, np.uint8)]) for x in (a, b))
+    for k in range(0, LONGEST, 8):
+        live = np.flatnonzero(same & (lengths > k) & (lengths <= LONGEST))
+        if not len(live):
+            break
+        other = _words(a, at_a[live] + k) ^ _words(b, at_b[live] + k)
+        same[live] = (other & _MASKS[np.minimum(lengths[live] - k, 8)]) == 0
+    long = np.flatnonzero(lengths > LONGEST)
+    if len(long):
+        other = a[spread(at_a[long], lengths[long])] != b[spread(at_b[long], lengths[long])]
+        same[long] = ~np.logical_or.reduceat(other, np.cumsum(lengths[long]) - lengths[long])
+    return same
 
 
 class ChunkEncoder:
     """encode(parts) gives each part's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 600_000, at_once: int | None = None):
         self._encode, self._bound, self._turn, self._seen = encode, remembered, 0, 0
+        self._at_once = at_once or AT_ONCE
         self._forget()
 
     def _forget(self) -> None:
@@ -71,13 +89,13 @@ class ChunkEncoder:
 
     def __call__(self, found: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for a, b in slices([len(t) for t in found], AT_ONCE):
+        for a, b in slices([len(t) for t in found], self._at_once):
             out += self._some(found[a:b])
         return out
 
     def _some(self, found: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(found)
-        whole = [i for i, t in enumerate(found) if len(t) > AT_ONCE or _UNCUT.search(t)]
+        whole = [i for i, t in enumerate(found) if len(t) > self._at_once or _UNCUT.search(t)]
         for i, x in zip(whole, self._encode([found[i].decode(errors="replace") for i in whole]), strict=True):
             out[i] = x
         apart = set(whole)

@@ -13,11 +13,13 @@ rows and an empty result; other columns are left out.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.llm import rans
-from scorelake.llm.chunks import ChunkEncoder
+from scorelake.llm.chunks import AT_ONCE, LONGEST, ChunkEncoder
 from scorelake.llm.common import Recent, column, ship, slices, texts
 
 SECTION_TOKENS = 1 << 20
@@ -44,14 +46,26 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: b if b in _PRINTABLE else 256 + sum(o not in _PRINTABLE for o in range(b)) for b in range(256)}
 
 
+_SPACE = chr(_BYTES[32])
+#: The first character outside of Latin.
+BEYOND = "\u0250"
+#: What the tokenizers' pattern says of ASCII text.
+_ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+
+
 def _encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder. A space with letters, and with one stop after them, needs none of the library's splitting
-    of texts: its model gets the pieces themselves. All other parts, and whole texts, go through the whole library."""
+    """This worker's encoder. The library's model gets the pieces of a part themselves: of a space with letters, and with
+    one stop after them, they are known; of other parts in characters below BEYOND, of whose classes all versions of
+    Unicode agree, the pattern finds them. Parts with other characters or with an added token, and whole texts, go
+    through the whole library."""
     if path not in _workers:
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         merge = tokenizer.model.tokenize
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        of_ascii, of_latin = re.compile(_ASCII_PATTERN, re.ASCII).findall, regex.compile(public_tokenizers.PATTERN).findall
         stops = {c: array("I", [t.id for t in merge(c)]).tobytes() for c in ".,;:!?"}
 
         known = Recent(PIECES)
@@ -59,7 +73,8 @@ def _encoder(path: str) -> ChunkEncoder:
         def letters(part: str) -> bytes:
             found = known.young.get(part) or known.old.get(part)
             if found is None:
-                found = array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                written = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTES)
+                found = array("I", [t.id for t in merge(written)]).tobytes()
             if len(part) <= PIECE_LENGTH:
                 known.young[part] = found
             return found
@@ -73,13 +88,15 @@ def _encoder(path: str) -> ChunkEncoder:
                     out.append(letters(part))
                 elif part[:1] == " " and part[-1] in stops and part[1:-1].isalpha():
                     out.append(letters(part[:-1]) + stops[part[-1]])
+                elif len(part) <= LONGEST and max(part) < BEYOND and not any(t in part for t in added):
+                    out.append(b"".join(map(letters, (of_ascii if part.isascii() else of_latin)(part))))
                 else:
                     out.append(None)
                     rest.append(part)
             found = iter(tokenizer.encode_batch_fast(rest, add_special_tokens=False))
             return [array("I", next(found).ids).tobytes() if x is None else x for x in out]
 
-        _workers[path] = ChunkEncoder(encode)
+        _workers[path] = ChunkEncoder(encode, at_once=2 * AT_ONCE)
     return _workers[path]
 
 

@@ -76,3 +76,11 @@ def test_another_pattern_cuts_no_texts():
     text = "one two three, four"
     want = b"".join(np.array(bpe.merge(x.encode()), "<u4").tobytes() for x in regex.findall(r"..?.?|\n", text))
     assert encoder([text.encode()]) == [want]
+
+
+def test_pieces_by_pattern_equal_the_library(tokenizer):
+    r, encoder = random.Random(5), token_files._encoder(P.path("byte_bpe_50k.json"))
+    letters = "ab'sStTdDmMlLvVrReE019.,;!-_$%()[]{}<|>\n\t\r\x0b\x0c\x1c\x1d\x85\xa0 éßÀ²¼ªµ×÷ƀɏ"
+    for _ in range(400):
+        same(encoder, tokenizer, ["".join(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(10)])
+    same(encoder, tokenizer, [t for n in range(1, 5) for t in ("".join(r.choice("'sdmtlvreX ") for _ in range(n)) for _ in range(200))])
