@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import column, groups, scratch, ship, slices, texts
+from scorelake.llm.common import column, free_name, groups, scratch, ship, slices, texts
 from scorelake.llm.components import components
 
 WORDS, POSITIONS, LEAF, BLOCK = 5, 64, 2_048, 512
@@ -403,7 +403,7 @@ def without_near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5
     again = told.where("stays")
     if again.isEmpty():
         return kept
-    names = docs.columns
-    marked = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_mark", F.xxhash64(F.col("text").cast("string")))
-    repeated = marked.join(again.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), ["_id", "_mark"], "left_semi")
-    return kept.unionByName(repeated.dropDuplicates(["_id", "_mark"]).select(*(F.col(f"`{n}`") for n in names)))
+    names = [free_name(docs, "_id"), free_name(docs, "_mark")]
+    marked = docs.withColumn(names[0], F.col("doc_id").cast("bigint")).withColumn(names[1], F.xxhash64(F.col("text").cast("string")))
+    repeated = marked.join(again.select("doc_id", "mark").toDF(*names), names, "left_semi")
+    return kept.unionByName(repeated.dropDuplicates(names).select(*(F.col(f"`{n}`") for n in docs.columns)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import SPACE, scratch
+from scorelake.llm.common import SPACE, free_name, scratch
 
 BITS, LEVEL = 60, 10
 #: Sources whose plan may be broadcast to the documents; with more of them Spark joins by a shuffle.
@@ -140,5 +140,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3
     goal = plan(sized(docs), weights, most, budget).alias("g")
     joined = docs.alias("d").join(goal, F.col("d.source").cast("string").eqNullSafe(F.col("g.source")))
     times = F.col("g.whole") + F.when(hash_of(F.col("d.doc_id"), F.col("d.text")) < F.col("g.threshold"), F.lit(1)).otherwise(F.lit(0))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")
-    return joined.select("d.*", times.alias("_times")).where("_times > 0").select(*(F.col(f"`{c}`") for c in docs.columns), copies).drop("_copy")
+    name = free_name(docs, "_times")
+    copies = F.explode(F.sequence(F.lit(1), F.col(name).cast("int"))).alias(name)
+    return joined.select("d.*", times.alias(name)).where(F.col(name) > 0).select(*(F.col(f"`{c}`") for c in docs.columns), copies).drop(name)

@@ -98,7 +98,9 @@ def test_mixing(docs, empty):
     total = sum(r["size"] for r in out)
     assert abs(sum({(r.source_size, r.target) for r in out} and [t for _, t in {(r.source_size, r.target) for r in out}]) - total) < 1e-6 * max(1, total)
     assert all(r.taken <= 3 * r["size"] for r in out)
-    assert mixing.mixed(docs).columns == docs.columns
+    clash = docs.withColumn("_times", F.lit("own")).withColumn("_copy", F.lit(1))
+    again = mixing.mixed(clash)
+    assert again.columns == clash.columns and {r["_times"] for r in again.collect()} == {"own"} and again.count() == mixing.mixed(docs).count()
 
 
 def test_nested_thresholds(spark):

@@ -4,12 +4,13 @@ import os
 from collections import Counter, defaultdict
 from dataclasses import replace
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.llm import chosen_path, components, kd_search, language_mixture, mixing, queries, rans, toxicity
+from scorelake.llm import chosen_path, components, cotraining, kd_search, language_mixture, mixing, queries, rans, toxicity
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -286,7 +287,9 @@ def test_near_duplicates_with_repeated_ids(spark):
         least[root] = min(least.get(root, 1 << 60), rows[k][0])
     expected = Counter((rows[k][0], least[root], n) for k, (root, n) in want.items()) + Counter([(4, 4, 0), (4, 4, 0), (None, None, 0)])
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in chosen_path.near_duplicates(df).collect()) == expected
-    kept = [(r.doc_id, r.text) for r in chosen_path.without_near_duplicates(df.withColumn("_mark", F.lit(0))).drop("_mark").collect()]
+    kept = chosen_path.without_near_duplicates(df.withColumn("_mark", F.lit(0))).collect()
+    assert {r["_mark"] for r in kept} == {0}
+    kept = [(r.doc_id, r.text) for r in kept]
     assert {want[k][0] for k in keyed} == {want[next(k for k in keyed if rows[k] == r)][0] for r in kept if r in [rows[k] for k in keyed]}
     assert len(kept) == len({root for root, _ in want.values()}) + 3
 
@@ -316,3 +319,37 @@ def test_mixing_meets_targets_where_ids_are_missing(spark):
     got = mixing.mix(docs).toPandas()
     for target, part in got.groupby("target"):
         assert abs(part.taken.sum() - target) <= part["size"].max()
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Each stage's rows over what the stage before kept: the classifier's by its scores of plain rows, near duplicates by
+    brute force, rules and mix by the SQL of their operators. test_edge_cases holds the last stage against a library."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def sql(name, folder):
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from read_parquet('{folder}/*.parquet')")
+        return con.sql(queries.ORACLES[name]).df()
+
+    path = f"{SF}/documents.parquet"
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        given, before = rows.collect(), path
+        path = str(tmp_path / name.replace(" ", "-"))
+        stage(spark, rows, SF).write.parquet(path)
+        if name == "quality classifier":
+            model = cotraining.fit(rows, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+            x = np.array([cotraining.text_measures(None if r.text is None else r.text.encode()) for r in given]), np.array([cotraining.meta_measures(r.source, r.lang, r.n_chars) for r in given])
+            want = Counter(r.doc_id for r, s in zip(given, model.scores(*x)[:, 0], strict=True) if s >= 0.5)
+        elif name == "quality rules":
+            twin = sql("op4_quality_rules", before)
+            want = Counter(twin[twin.kept].doc_id.tolist())
+        elif name == "n-gram Jaccard join":
+            want = Counter(i for i, (root, _) in brute_force({r.doc_id: r.text for r in given}).items() if i == root)
+        else:
+            twin = sql("op6_source_mixing", before)
+            want = Counter({i: t // n for i, n, t in zip(twin.doc_id.tolist(), twin["size"].tolist(), twin.taken.tolist(), strict=True) if t})
+        assert rows.columns == spark.read.parquet(path).columns
+        rows = spark.read.parquet(path)
+        texts = {r.doc_id: r.text for r in given}
+        got = rows.collect()
+        assert 0 < len(got) and Counter(r.doc_id for r in got) == want and all(texts[r.doc_id] == r.text for r in got), name
