@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, chosen_path, cotraining, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
+from scorelake.llm import byte_bpe, chosen_path, cotraining, importance, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
 from scorelake.llm.common import fold, scratch, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,35 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_near_duplicates")
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), similarity=(4, 5), recall=0.9999)
+
+
+#: crc32 in SQL: the table of the reflected polynomial, then a fold over the bytes of a word.
+OP12_SQL = rf"""
+WITH k AS (SELECT list(list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{importance.UPPER}', '{importance.LOWER}'), '{importance.WORD}') AS words FROM documents),
+a AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{importance.UPPER}', '{importance.LOWER}'), '{importance.WORD}')) AS w FROM benchmark),
+o AS (SELECT i, unnest(words) AS w FROM d),
+u AS (SELECT w, list_transform(range(octet_length(encode(w))), lambda j: ('0x' || substr(hex(encode(w)), 2 * j + 1, 2))::BIGINT) AS bytes FROM (SELECT w FROM o UNION SELECT w FROM a)),
+v AS (SELECT w, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM u, k),
+x AS (SELECT bucket, count(*) AS s FROM o JOIN v USING (w) GROUP BY bucket),
+y AS (SELECT bucket, count(*) AS t FROM a JOIN v USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM o) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM a) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM v) LEFT JOIN x USING (bucket) LEFT JOIN y USING (bucket)),
+f AS (SELECT i, count(*) AS n_features, sum(gain)::BIGINT AS total FROM o JOIN v USING (w) JOIN g USING (bucket) GROUP BY i),
+h AS (SELECT i, doc_id, len(words) AS n_words, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d),
+m AS (
+  SELECT doc_id, n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END::BIGINT AS weight, h
+  FROM h LEFT JOIN f USING (i)),
+e AS (SELECT doc_id, n_words, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM m),
+r AS (SELECT doc_id, n_features, weight, score, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, 10 * count(*) OVER () // 100 AS most FROM e WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END::BIGINT AS rank FROM r
+UNION ALL SELECT doc_id, n_features, weight, score, NULL::BIGINT AS rank FROM e WHERE n_words < 20
+"""
+
+
+@_query("op12_importance_resampling", OP12_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), orders=(1, 1), buckets=10_000, share=(10, 100), least_words=20, seed="2024")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
