@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, chosen_path, cotraining, importance, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
+from scorelake.llm import byte_bpe, chosen_path, collocations, cotraining, importance, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
 from scorelake.llm.common import fold, scratch, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,36 @@ UNION ALL SELECT doc_id, n_features, weight, score, NULL::BIGINT AS rank FROM e
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), orders=(1, 1), buckets=10_000, share=(10, 100), least_words=20, seed="2024")
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_PHRASES = " UNION ALL ".join(
+    f"SELECT lang, list_aggregate(w[i:i + {k - 1}], 'string_agg', ' ') AS phrase, {k} AS k FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM p WHERE len(w) >= {k})" for k in range(1, 5)
+)
+
+OP11_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{importance.UPPER}', '{importance.LOWER}'), '[.,;:!?
+-]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*)::BIGINT AS f FROM ({_PHRASES}) GROUP BY lang, phrase, k HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (
+  SELECT lang, phrase FROM c SEMI JOIN (
+    SELECT lang AS sl, unnest(list_concat(
+      list_transform(range(1, k), lambda i: struct_pack(p := list_aggregate(w[i:i + 1], 'string_agg', ' '), f := a)),
+      list_transform(CASE WHEN k > 3 THEN range(1, k - 1) ELSE [] END, lambda i: struct_pack(p := list_aggregate(w[i:i + 2], 'string_agg', ' '), f := a)))) AS x
+    FROM c WHERE k > 2) g ON lang = sl AND phrase = x.p AND 100::HUGEINT * x.f >= 80::HUGEINT * a AND phrase <> '' ),
+m AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS cut FROM c ANTI JOIN s USING (lang, phrase)),
+v AS (SELECT m.*, list_aggregate(w[1:cut], 'string_agg', ' ') AS first, list_aggregate(w[cut + 1:k], 'string_agg', ' ') AS rest FROM m),
+j AS (
+  SELECT v.lang, v.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM v JOIN f x ON x.lang = v.lang AND x.phrase = v.first JOIN f y ON y.lang = v.lang AND y.phrase = v.rest),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@_query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, scale=2_000_000, share=(80, 100), top=2_000)
