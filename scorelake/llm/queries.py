@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, chosen_path, collocations, cotraining, importance, kd_search, language_mixture, mixing, rule_ledger, token_cache, token_files, toxicity
+from scorelake.llm import byte_bpe, chosen_path, collocations, cotraining, importance, kd_search, language_mixture, mixing, pii, rule_ledger, token_cache, token_files, toxicity
 from scorelake.llm.common import fold, scratch, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,7 +216,8 @@ _PHRASES = " UNION ALL ".join(
 
 OP11_SQL = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{importance.UPPER}', '{importance.LOWER}'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM d),
 t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
 f AS MATERIALIZED (SELECT lang, phrase, k, count(*)::BIGINT AS f FROM ({_PHRASES}) GROUP BY lang, phrase, k HAVING count(*) >= 30),
@@ -241,3 +242,9 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN t USING (lang) WHERE ra
 @_query("op11_collocations", OP11_SQL)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, scale=2_000_000, share=(80, 100), top=2_000)
+
+
+@_query("op13_pii")
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs)).drop("text")
