@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import drop, scratch, ship, texts
 
 #: Bytes of text of one language in a shard, and rows of a batch that leaves it.
-SHARD_BYTES = 16 << 20
-OUT_ROWS = 200_000
+SHARD_BYTES = 4 << 20
+OUT_ROWS = 50_000
 #: Bits of the filter of frequent pairs: 16 MB, whatever the input holds.
 FILTER_BITS = 1 << 27
 
@@ -123,6 +123,20 @@ def _bits(first: np.ndarray, second: np.ndarray, lang: int, n_bits: int) -> tupl
     return x & mask, (x >> np.uint64(32)) & mask
 
 
+def _joined(lang: str, names: list[bytes], ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which positions follow the one before as a pair that the filter has."""
+    words, seed = _pair_hashes(lang, names)
+    words = np.append(np.zeros(1, np.uint64), words)[ids]
+    found = np.ones(len(ids), bool)
+    for bits in _bits(words[:-1], words[1:], seed, len(table) * 64):
+        found[1:] &= (table[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
+def _rows(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrases.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+
+
 def phrase_counts(docs: DataFrame, lengths: tuple[int, int], pairs: np.ndarray | None = None) -> DataFrame:
     """lang, phrase, n: occurrences of all phrases of lengths[0] to lengths[1] words, as every shard counts them. With
     ``pairs``, a filter of frequent pairs, pieces are cut between others. Lengths from 1 on come with the empty phrase,
@@ -131,36 +145,30 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, int], pairs: np.ndarray |
     ship(spark)
     known = None if pairs is None else spark.sparkContext.broadcast(pairs)
     least, depth = lengths
+    shard = SHARD_BYTES
     schema = "lang string, phrase string, n bigint"
 
     def count(lang: str, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        for stretch in stretches((b"\n").join(parts), SHARD_BYTES):
-            new = tokens(stretch)
-            line = held + new
+        for stretch in stretches(b"\n".join(parts), shard):
+            line = held + tokens(stretch)
             names = list(dict.fromkeys(line))
             number = {w: k for k, w in enumerate(names, 1)}
             number[STOP] = 0
-            ids = np.fromiter(map(number.__getitem__, line), np.int64, len(line))
-            joined = None
-            if known is not None:
-                words, seed = _pair_hashes(lang, names)
-                words = np.append(np.zeros(1, np.uint64), words)[ids]
-                a, b = _bits(words[:-1], words[1:], seed, len(known.value) * 64)
-                table, six = known.value, np.uint64(6)
-                there = [(table[(x >> six).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) for x in (a, b)]
-                joined = np.append(np.zeros(min(1, len(ids)), bool), (there[0] & there[1]).astype(bool))
-            automaton = Automaton(ids, depth, joined, len(held), least)
+            ids = np.fromiter(map(number.__getitem__, line), np.int32, len(line))
+            skip = len(held)
             held = line[-(depth - 1) :] if depth > 1 else []
+            del line, number
+            automaton = Automaton(ids, depth, None if known is None else _joined(lang, names, ids, known.value), skip, least)
             values = pa.array([b"", *names], pa.binary())
-            made = [(pa.array([b""], pa.binary()), np.array([np.count_nonzero(ids[len(line) - len(new) :])]))] if least == 1 and new else []
+            total = np.count_nonzero(ids[skip:])
+            if least == 1 and total:
+                yield _rows(lang, values[:1], np.array([total]))
             for length, end, n in automaton.phrases(least):
-                columns = [values.take(pa.array(ids[end - k])) for k in range(length - 1, -1, -1)]
-                made.append((columns[0] if length == 1 else pc.binary_join_element_wise(*columns, b" "), n))
-            for phrase, n in made:
                 for start in range(0, len(n), OUT_ROWS):
-                    some = phrase.slice(start, OUT_ROWS).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(some), np.int32), [lang]).cast(pa.string()), some, pa.array(n[start : start + OUT_ROWS], pa.int64())], ["lang", "phrase", "n"])
+                    last = end[start : start + OUT_ROWS]
+                    columns = [values.take(pa.array(ids[last - k])) for k in range(length - 1, -1, -1)]
+                    yield _rows(lang, columns[0] if length == 1 else pc.binary_join_element_wise(*columns, b" "), n[start : start + OUT_ROWS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -170,7 +178,7 @@ def phrase_counts(docs: DataFrame, lengths: tuple[int, int], pairs: np.ndarray |
                 if text:
                     held.setdefault(lang.decode("utf-8", "replace"), []).append(text if text.isascii() else text.decode("utf-8", "replace").encode())
                     size += len(text)
-                if size >= SHARD_BYTES:
+                if size >= shard:
                     for name, parts in held.items():
                         yield from count(name, parts)
                     held, size = {}, 0

@@ -67,7 +67,7 @@ def _connection() -> duckdb.DuckDBPyConnection:
 def counts_by_bucket(df: DataFrame, orders: tuple[int, int], buckets: int, columns: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """``columns``, n_words, n_features, buckets, counts: of each row its n-grams' counts by bucket."""
     ship(df.sparkSession)
-    sql = bucket_sql(orders, buckets)
+    sql, most = bucket_sql(orders, buckets), SLICE_BYTES
     schema = T.StructType([df.select(c).schema[0] for c in columns])
     for name, kind in (("n_words", "bigint"), ("n_features", "bigint"), ("buckets", "array<int>"), ("counts", "array<int>")):
         schema = schema.add(name, T.DataType.fromDDL(kind))
@@ -77,7 +77,7 @@ def counts_by_bucket(df: DataFrame, orders: tuple[int, int], buckets: int, colum
         con = _connection()
         for batch in batches:
             rows = [(t or b"").decode("utf-8", "replace") for t in texts(batch, own)]
-            for start, end in slices([len(t) + 16 for t in rows], SLICE_BYTES):
+            for start, end in slices([len(t) + 16 for t in rows], most):
                 part = pa.table({"i": pa.array(range(start, end), pa.int64()), "text": pa.array(rows[start:end], pa.string())})
                 con.register("slice", part)
                 got = con.sql(sql).to_arrow_table().select(found.names).cast(found).combine_chunks()
