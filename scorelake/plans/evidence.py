@@ -176,17 +176,20 @@ def fn21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snk08_append_merge",
-    """WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 1), n AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 2), u AS (SELECT * FROM a UNION ALL SELECT * FROM n)
-    SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS place, sha256(any_value(text)) AS digest FROM u GROUP BY conv_id, turn""",
+    """WITH a AS (SELECT conv_id, turn, 'lesson' AS writer, turn AS seq, text FROM conversations WHERE turn % 3 <> 1), n AS (SELECT conv_id, turn, 'drill' AS writer, turn // 2 AS seq, 'drill: ' || text AS text FROM conversations WHERE turn % 2 = 0),
+    u AS (SELECT conv_id, writer, seq, min(struct_pack(turn := turn, text := text)) AS m FROM (SELECT * FROM a UNION ALL SELECT * FROM n) GROUP BY ALL)
+    SELECT conv_id, m.turn AS turn, writer, (row_number() OVER (PARTITION BY conv_id ORDER BY m.turn, writer, seq) - 1)::BIGINT AS place, sha256(m.text) AS digest FROM u""",
 )
 def snk08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two writers append to the same conversations; some messages come from both. Appends never rewrite a message, so
-    no lock is needed: a read takes each message once and puts it in its place."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    """Two writers append different messages at the same turns of the same conversations, and one tries again. Appends
+    never rewrite a message, so no lock is needed: a read takes each message once and puts it in its place."""
+    rows = table(spark, sf_dir, "conversations")
     path = scratch_path(spark, "conversations")
-    stores.append_messages(rows.where("turn % 3 <> 1"), path)
-    stores.append_messages(rows.where("turn % 3 <> 2"), path)
-    return stores.merged_messages(spark.read.schema(rows.schema).parquet(path)).select("conv_id", "turn", "place", F.sha2("text", 256).alias("digest"))
+    lesson = rows.where("turn % 3 <> 1").select("conv_id", "turn", F.lit("lesson").alias("writer"), F.col("turn").alias("seq"), "text")
+    drill = rows.where("turn % 2 = 0").select("conv_id", "turn", F.lit("drill").alias("writer"), F.floor(F.col("turn") / 2).alias("seq"), F.concat(F.lit("drill: "), "text").alias("text"))
+    for part in (lesson, drill, lesson):
+        stores.append_messages(part, path)
+    return stores.merged_messages(spark.read.schema(lesson.schema).parquet(path)).select("conv_id", "turn", "writer", "place", F.sha2("text", 256).alias("digest"))
 
 
 @query(

@@ -49,10 +49,11 @@ def _document(content: bytes) -> ElementTree.Element:
 def score_rows(path: str, content: bytes, ghosts: int = 4) -> list[tuple]:
     """The notes of a score in the order of the file. A cursor moves with notes, backups and forwards; chord notes start
     with the note before them, grace notes take no time; a measure lasts as long as its meter says. An empty measure
-    gets ``ghosts`` placeholders of pitch -1. Seconds follow the tempo that holds where the note stands."""
-    out = []
+    gets ``ghosts`` placeholders of pitch -1. Seconds add up over the score's tempos, each of which holds, for all parts,
+    from where it stands on."""
+    notes, tempos = [], {0.0: 120.0}
     for p, part in enumerate(_document(content).iter("part")):
-        divisions, beats, beat_type, tempo, measure_start, number = 1, 4, 4, 120.0, 0.0, 0
+        divisions, beats, beat_type, measure_start, number = 1, 4, 4, 0.0, 0
         for measure in part.findall("measure"):
             number += 1
             cursor = lead = 0.0
@@ -63,7 +64,8 @@ def score_rows(path: str, content: bytes, ghosts: int = 4) -> list[tuple]:
                     beats, beat_type = int(node.findtext("time/beats") or beats), int(node.findtext("time/beat-type") or beat_type)
                 elif node.tag == "direction" or node.tag == "sound":
                     sound = node if node.tag == "sound" else node.find("sound")
-                    tempo = float(sound.get("tempo", tempo)) if sound is not None else tempo
+                    if sound is not None and float(sound.get("tempo") or 0) > 0:
+                        tempos[measure_start + cursor] = float(sound.get("tempo"))
                 elif node.tag in ("backup", "forward"):
                     cursor += int(node.findtext("duration")) / divisions * (1 if node.tag == "forward" else -1)
                 elif node.tag == "note":
@@ -76,11 +78,16 @@ def score_rows(path: str, content: bytes, ghosts: int = 4) -> list[tuple]:
                         rows.append((at, length, midi, int(node.findtext("staff") or p + 1)))
             nominal = beats * 4 / beat_type
             rows = rows or [(nominal * k / ghosts, nominal / ghosts, -1, p + 1) for k in range(ghosts)]
-            for at, length, midi, staff in rows:
-                quarter = measure_start + at
-                out.append((path, p, number, quarter, quarter * 60 / tempo, length * 60 / tempo, midi, staff))
+            notes += [(p, number, measure_start + at, length, midi, staff) for at, length, midi, staff in rows]
             measure_start += nominal
-    return out
+    at, each = np.array(sorted(tempos)), 60 / np.array([tempos[t] for t in sorted(tempos)])
+    upto = np.concatenate([[0.0], np.cumsum(np.diff(at) * each[:-1])])
+
+    def seconds(quarter: float) -> float:
+        k = int(np.searchsorted(at, quarter, side="right")) - 1
+        return float(upto[k] + (quarter - at[k]) * each[k])
+
+    return [(path, p, number, quarter, seconds(quarter), seconds(quarter + length) - seconds(quarter), midi, staff) for p, number, quarter, length, midi, staff in notes]
 
 
 def read_musicxml(spark: SparkSession, path: str) -> DataFrame:

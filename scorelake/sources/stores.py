@@ -78,15 +78,18 @@ def manifest(spark: SparkSession, root: str, artifacts: list[str]) -> DataFrame:
 
 
 def append_messages(messages: DataFrame, path: str) -> None:
-    """Messages (conv_id, turn, text) added to a table that any number of writers append to."""
+    """Messages (conv_id, turn, writer, seq, text) added to a table that any number of writers append to."""
     messages.write.mode("append").parquet(path)
 
 
 def merged_messages(messages: DataFrame) -> DataFrame:
-    """Each message once, with its place in its conversation; a message is its conversation and turn, and of two with
-    one turn the one with the lesser text counts."""
-    once = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
+    """Each message once, with its place in its conversation. A message is its conversation, its writer and that one's
+    number for it: two writers who append at the same turn both keep theirs, and an append that is tried again counts
+    once. Messages stand by turn, then by writer and number. Without writer or number a message is known by its text."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    known = messages.withColumn("writer", F.coalesce("writer", F.concat(F.lit("~"), digest))).withColumn("seq", F.coalesce("seq", F.lit(0).cast("bigint")))
+    once = known.groupBy("conv_id", "writer", "seq").agg(F.min(F.struct("turn", "text")).alias("m")).select("conv_id", "writer", "seq", "m.turn", "m.text")
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "writer", "seq")) - 1
     return once.withColumn("place", place.cast("bigint"))
 
 

@@ -1,15 +1,9 @@
-"""Streaming jobs: densities, session islands, quotas, cached decisions and running tempo over note events."""
+"""Streaming jobs: densities, session islands and message appends. Jobs with state of their own are in ``state``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from scorelake.operators.cluster import ship
 
 
 def note_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -29,77 +23,8 @@ def session_islands(events: DataFrame, gap: str = "2 hours", late: str = "1 day"
     return timed.groupBy("user_id", F.session_window("time", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def daily_quota(events: DataFrame, most: int = 50) -> DataFrame:
-    """user_id, event_id, allowed: the first ``most`` events of a user's day. The state is the day and its count; a
-    new day starts anew."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, used = state.get if state.exists else ("", 0)
-        for batch in batches:
-            out = []
-            for ts, event_id in sorted(zip(batch["ts"], batch["event_id"], strict=True)):
-                today = ts.strftime("%Y%m%d")
-                day, used = (day, used) if today == day else (today, 0)
-                out.append((key[0], event_id, used < most))
-                used += used < most
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
-        state.update((day, used))
-
-    ship(events.sparkSession)
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, allowed boolean", "day string, used int", "append", GroupStateTimeout.NoTimeout)
-
-
-def cached_decisions(events: DataFrame, ttl_seconds: int = 3_600) -> DataFrame:
-    """user_id, event_id, hit: whether the user's same topic was decided within the last hour. The state of a user and
-    topic is the time of the decision in force."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decided = state.get[0] if state.exists else None
-        for batch in batches:
-            out = []
-            for ts, event_id in sorted(zip(batch["ts"], batch["event_id"], strict=True)):
-                now = ts.timestamp()
-                hit = decided is not None and now - decided < ttl_seconds
-                decided = decided if hit else now
-                out.append((key[0], event_id, hit))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "hit"])
-        if decided is not None:
-            state.update((decided,))
-
-    ship(events.sparkSession)
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(run, "user_id bigint, event_id bigint, hit boolean", "decided double", "append", GroupStateTimeout.NoTimeout)
-
-
-def running_tempo(events: DataFrame, reach: int = 4) -> DataFrame:
-    """user_id, event_id, tempo over the last ``reach`` + 1 events, which are all the state there is."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            out = []
-            for ts, event_id in sorted(zip(batch["ts"], batch["event_id"], strict=True)):
-                recent = [*recent, ts.timestamp()][-reach - 1 :]
-                span = recent[-1] - recent[0]
-                out.append((key[0], event_id, 60 * (len(recent) - 1) / span if len(recent) > 2 and span > 1e-9 else None))
-            yield pd.DataFrame({"user_id": [r[0] for r in out], "event_id": [r[1] for r in out], "tempo": pd.array([r[2] for r in out], "Float64")})
-        state.update((recent,))
-
-    ship(events.sparkSession)
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, tempo double", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def append_messages(messages: DataFrame, target: str, checkpoint: str):
-    """Messages (conv_id, turn, text) of any number of writers, added to one table; nothing is read back or rewritten, so
-    writers need no lock. ``stores.merged_messages`` reads the conversations."""
-    kept = messages.select("conv_id", "turn", "text")
+    """Messages (conv_id, turn, writer, seq, text) of any number of writers, added to one table; nothing is read back or
+    rewritten, so writers need no lock. ``stores.merged_messages`` reads the conversations."""
+    kept = messages.select("conv_id", "turn", "writer", "seq", "text")
     return kept.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def write_stages(events: DataFrame, target: str, checkpoint: str):
-    """Stage rows of each batch, written under the batch's number, so that a repeated batch replaces itself."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.max_by("event_type", "event_id").alias("state"))
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

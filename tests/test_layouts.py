@@ -64,3 +64,15 @@ def test_movements(spark):
     docs = spark.createDataFrame([(1, 1, score(n, n + bar, bar, "<words>Presto!</words>" + n, key + n, "<words>dolce</words>" + n))], "piece int, document bigint, content string")
     rows = layouts.movements(layouts.scan(docs)).orderBy("measure").collect()
     assert [(r.measure, r.movement, r.bar, r.title) for r in rows] == [(1, 1, 1, "Movement 1"), (2, 1, 2, "Movement 1"), (4, 2, 1, "Presto!"), (5, 3, 1, "Movement 3"), (6, 3, 2, "Movement 3")]
+
+
+def test_seconds_add_up_over_changes_of_tempo():
+    from scorelake.sources import recordings
+
+    note = "<note><pitch><step>C</step><octave>4</octave></pitch><duration>1</duration></note>"
+    one = "<attributes><divisions>1</divisions></attributes><sound tempo='60'/>" + note * 2 + "<sound tempo='120'/>" + note * 2
+    body = f"<part><measure>{one}</measure><measure><direction><sound tempo='240'/></direction>{note * 4}</measure></part><part><measure>{note * 4}</measure><measure/></part>"
+    rows = recordings.score_rows("x", f"<score-partwise>{body}</score-partwise>".encode())
+    first, second = ([(r[4], r[5]) for r in rows if r[1] == p] for p in (0, 1))
+    assert first == [(0, 1), (1, 1), (2, 0.5), (2.5, 0.5), (3, 0.25), (3.25, 0.25), (3.5, 0.25), (3.75, 0.25)]
+    assert second[:4] == first[:4] and second[4:] == [(3, 0.25), (3.25, 0.25), (3.5, 0.25), (3.75, 0.25)]  # the tempos of the first part hold for the second, whose last bar is empty
