@@ -126,10 +126,12 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], real: d
     if len(set(y.tolist())) < 2:
         return Model()
     held = np.arange(len(y)) % 4 == 3
-    if min((y[held] == 1).sum(), (y[held] == 0).sum()) < 8 or min((y[~held] == 1).sum(), (y[~held] == 0).sum()) < 8:
-        held, train = np.ones(len(y), bool), np.ones(len(y), bool)  # few examples: all train and calibrate
-    else:
-        train = ~held
+    train = ~held
+    for c in (0, 1):  # a class that a quarter leaves out of either part gives its last example to calibrate; a single one does both
+        at = np.flatnonzero(y == c)
+        if held[at].all() or not held[at].any():
+            held[at], train[at] = False, True
+            held[at[-1]], train[at[-1]] = True, len(at) == 1
     cost = np.array([real[c] * len(y) / (y == c).sum() for c in y])
     own = [[(x[v][train], y[train], cost[train])] for v in (0, 1)]
     free = np.ones(len(pool[0]), bool)

@@ -128,9 +128,11 @@ def _long(x: np.ndarray) -> np.ndarray:
 class Search:
     """The k best candidates of a block of queries, over as many trees as are added."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):
-        """floor: a score that at least k candidates elsewhere reach, for each query."""
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray, asks: np.ndarray | None = None):
+        """floor: a score that at least k candidates elsewhere reach, for each query. asks: what tells queries of one id
+        apart."""
         self.ids, self.q, self.k, self.floor = ids, q, k, floor
+        self.asks = ids if asks is None else asks
         self.scores = np.full((len(ids), k), _FLOOR, np.int64)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
         self.kth, self.kth_id = floor.copy(), np.full(len(ids), np.iinfo(np.int64).max)
@@ -188,7 +190,7 @@ class Search:
 
     def rows(self) -> pd.DataFrame:
         some = self.found != np.iinfo(np.int64).max
-        return pd.DataFrame({"query_id": np.repeat(self.ids, self.k)[some.ravel()], "vec_id": self.found[some], "score": self.scores[some]})
+        return pd.DataFrame({"ask": np.repeat(self.asks, self.k)[some.ravel()], "query_id": np.repeat(self.ids, self.k)[some.ravel()], "vec_id": self.found[some], "score": self.scores[some]})
 
 
 def _trees(part: pd.DataFrame) -> pd.DataFrame:
@@ -198,18 +200,20 @@ def _trees(part: pd.DataFrame) -> pd.DataFrame:
 
 def top_k(vectors: DataFrame, queries: Column, k: int, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``queries`` (a condition on vec_id) admits, the k other rows
-    with the largest integer inner products, ties to the smaller vec_id."""
+    with the largest integer inner products, ties to the smaller vec_id. Rows of one id with different vectors ask apart
+    and have their own ranks; rows that repeat both ask once."""
     rows = scratch(quantised(vectors, scale), "quantised")
     total, asked = rows.count(), rows.where(queries).count()
     shards, blocks = max(1, -(-total // SHARD)), max(1, -(-asked // BLOCK), min(-(-asked // LEAST_BLOCK), vectors.sparkSession.sparkContext.defaultParallelism))
     spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     trees = scratch(rows.withColumn("shard", spread("shard", shards)).groupBy("shard").applyInPandas(_trees, "shard int, tree binary"), "trees")
     asks = rows.where(queries).dropDuplicates(["vec_id", "q"]).withColumn("block", spread("block", blocks))
+    asks = scratch(asks.withColumn("ask", F.monotonically_increasing_id()), "asks")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        found = Search(left["vec_id"].to_numpy(np.int64), _matrix(left["q"].tolist()), k, left["floor"].to_numpy(np.int64))
+            return pd.DataFrame({"ask": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+        found = Search(left["vec_id"].to_numpy(np.int64), _matrix(left["q"].tolist()), k, left["floor"].to_numpy(np.int64), left["ask"].to_numpy(np.int64))
         found.run([pickle.loads(t) for t in right["tree"]])
         return found.rows()
 
@@ -220,14 +224,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int, scale: float = 64.0) -> D
         parts = -(-shards // SHARDS_PER_TASK)
         copies = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         keys = ("block", "part")
-        return copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+        return copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(search, "ask bigint, query_id bigint, vec_id bigint, score bigint")
 
     first = trees.where(F.col("shard") < SHARDS_PER_TASK)
     found = against(asks.withColumn("floor", F.lit(_FLOOR).cast("bigint")), first)
     if shards > SHARDS_PER_TASK:
         found = scratch(found, "first-shards")
-        kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_FLOOR).cast("bigint")).alias("floor"))
-        seeded = asks.join(kth, asks["vec_id"] == kth["query_id"], "left").select("vec_id", "q", "block", F.coalesce("floor", F.lit(_FLOOR).cast("bigint")).alias("floor"))
+        kth = found.groupBy("ask").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_FLOOR).cast("bigint")).alias("floor"))
+        seeded = asks.join(kth, "ask", "left").select("ask", "vec_id", "q", "block", F.coalesce("floor", F.lit(_FLOOR).cast("bigint")).alias("floor"))
         found = found.unionByName(against(seeded, trees.where(F.col("shard") >= SHARDS_PER_TASK)))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("ask").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,6 +27,11 @@ from scorelake.llm.common import Recent, column, ship, slices, texts, unit_hash
 BUCKETS = 1 << 16
 #: The training sample: documents of a language, whatever their length.
 DOCS_PER_LANGUAGE = 1_500
+#: Languages that are learned, those with the most labelled documents: a row of counts each at the driver and, half as
+#: large, in every task (130 MB for all of them).
+MOST_LANGUAGES = 500
+#: Bytes of the longest word that stays whole, and of the pieces of longer ones.
+LONGEST, PIECE = 36, 12
 #: Languages whose counts a task holds at once.
 HELD = 64
 AT_ONCE, REMEMBERED = 2 << 20, 150_000
@@ -57,13 +62,18 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-case words that have a letter."""
+    """Lower-case words that have a letter. Long ones, as all text of a script that puts no spaces between words, come in
+    pieces that share two bytes, so that no trigram is lost and a document's weight goes by its length."""
     if not text:
         return []
     lower = text.decode(errors="replace").lower()
     if lower.isascii():
-        return [w for w in lower.encode().split() if not w.isdigit() and any(97 <= c <= 122 for c in w)]
-    return [w.encode() for w in lower.split() if any(map(str.isalpha, w))]
+        words = [w for w in lower.encode().split() if not w.isdigit() and any(97 <= c <= 122 for c in w)]
+    else:
+        words = [w.encode() for w in lower.split() if any(map(str.isalpha, w))]
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [x for w in words for x in ([w] if len(w) <= LONGEST else [w[i : i + PIECE] for i in range(0, len(w) - 2, PIECE - 2)])]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +103,7 @@ def fit(docs: DataFrame, labelled: Column, docs_per_language: int = DOCS_PER_LAN
     the texts, which are not shuffled; only counts by language and bucket are."""
     ship(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(labelled & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = F.broadcast(ids.groupBy("lang").count())  # a row for each language
+    counts = F.broadcast(ids.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES))
     wanted = ids.join(counts, "lang").where(unit_hash(F.col("doc_id"), "language sample") * F.col("count") < docs_per_language).select("doc_id", "lang").distinct()
     texts_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     sample = texts_.join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "text")
@@ -101,13 +111,13 @@ def fit(docs: DataFrame, labelled: Column, docs_per_language: int = DOCS_PER_LAN
     found = summed.toArrow()
     langs = found.column("lang").to_numpy() if found.num_rows else np.array([])
     languages = tuple(sorted(set(langs.tolist())))
-    seen = np.zeros((len(languages), BUCKETS))
+    seen = np.zeros((len(languages), BUCKETS), np.float32)
     if languages:
         row = {x: i for i, x in enumerate(languages)}
         seen[[row[x] for x in langs.tolist()], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     smooth = 0.5
-    log_p = np.log((seen + smooth) / (seen.sum(1, keepdims=True) + smooth * BUCKETS))
-    return Profiles(languages, log_p.astype(np.float32))
+    log_p = np.log((seen + np.float32(smooth)) / (seen.sum(1, keepdims=True, dtype=np.float64) + smooth * BUCKETS).astype(np.float32))
+    return Profiles(languages, log_p)
 
 
 def word_scores(words: list[bytes], profiles: Profiles) -> np.ndarray:

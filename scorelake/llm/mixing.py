@@ -9,7 +9,8 @@ A histogram has at most 1024 rows per source and is summed within the input part
 a third of all rows costs no more than another.
 
 Defined cases: a null text has size 0; null sources form one source, the last; the hash is over id and text, so that
-documents with one id (or none) are told apart, and only rows that repeat both are taken or left together; a table without words gives targets of 0; an empty table gives no rows; other
+documents with one id (or none) are told apart, and only rows that repeat both are taken or left together, so that a sum
+misses its target by half of the boundary document's or such rows' size at most; a table without words gives targets of 0; an empty table gives no rows; other
 columns are left out.
 """
 
@@ -69,8 +70,9 @@ def targets(rows: DataFrame, weights: tuple[float, ...], most: float, budget: fl
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``budgets`` (source, budget_id, rest) with ``threshold``: documents of the source with h below it have as much
-    size together as fits into ``rest``, up to the boundary document."""
+    """``budgets`` (source, budget_id, rest) with ``threshold``: documents of the source with h below it have
+    together a size as near to ``rest`` as a threshold can bring it: the boundary document, or the rows that repeat its
+    id and text, goes in if the sum is nearer to ``rest`` with it than without."""
     step = budgets.select("source", "budget_id", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("bigint").alias("start"))
     left = rows.select("source", "size", "h")
     for level in range(BITS // LEVEL):
@@ -87,7 +89,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         over = F.col("upto") > F.col("rest")
         step = scratch(
             here.groupBy("source", "budget_id", "rest", "start")
-            .agg(F.min(F.when(over, F.col("bucket"))).alias("first"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("below"))
+            .agg(F.min(F.when(over, F.col("bucket"))).alias("first"), F.min_by(F.when(over, F.col("n")), F.when(over, F.col("bucket"))).alias("edge"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("below"))
             .select(
                 "source",
                 "budget_id",
@@ -95,14 +97,18 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
                 # no bucket goes over: all of them fit, the threshold is the end of the parent bucket
                 F.when(F.col("first").isNotNull(), F.shiftleft(F.col("first"), shift)).otherwise(F.col("start") + F.lit(1 << (shift + LEVEL))).alias("start"),
                 F.col("first").isNotNull().alias("open"),
+                "edge",
             ),
             "boundary",
         )
         if level == 0:
             done = None
-        closed = step.where(~F.col("open")).drop("open")
+        closed = step.where(~F.col("open")).drop("open", "edge")
         done = closed if done is None else done.unionByName(closed)
         step = step.where("open").drop("open")
+        if shift == 0:  # one hash is left: what has it goes in if the sum is nearer to the budget with it
+            step = step.withColumn("start", F.col("start") + F.when(F.col("edge") < 2 * F.col("rest"), 1).otherwise(0))
+        step = step.drop("edge")
         edge = step.select("source", F.shiftright(F.col("start"), shift).alias("bucket")).distinct()
         left = left.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.shiftright(F.col("r.h"), shift) == F.col("e.bucket")), "left_semi")
         if not level:  # about a thousandth of the rows is left: later levels read these only

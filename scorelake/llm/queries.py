@@ -106,9 +106,9 @@ l AS (SELECT max((total - used) / free) AS level FROM o),
 t AS (SELECT source, source_size, CASE WHEN stop <= level * weight THEN stop ELSE level * weight END AS target FROM w, l),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 c AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,
-        sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS edge
       FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN upto <= rest OR (upto - edge <= rest AND edge < 2 * (rest - (upto - edge))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
 
 
@@ -161,9 +161,9 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  SELECT a.vec_id AS query_id, a.q AS asked, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) a JOIN v b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 

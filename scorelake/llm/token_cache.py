@@ -53,7 +53,7 @@ def count_tokens(found: list[bytes], path: str) -> list[int]:
     for a, b in slices([len(t) for t in found], AT_ONCE):
         parts = [t.split() for t in found[a:b]]
         missing = known.missing(set(chain.from_iterable(parts)))
-        encoded = tokenizer.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)
+        encoded = tokenizer.encode_batch_fast([m.decode(errors="replace") for m in missing], add_special_tokens=False)
         known.young.update(zip(missing, map(len, encoded), strict=True))
         get = known.young.__getitem__
         out += [sum(map(get, p)) for p in parts]

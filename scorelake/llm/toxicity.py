@@ -304,8 +304,9 @@ def learn(toxic: list[list[bytes]], ordinary: list[list[bytes]], sizes: dict[int
     if not ordinary or not toxic:
         return Model(b"", b"", 0, (0.0,) * (2 * CLASSES + 1 + len(RUN_GAINS)) + (-20.0,))
     some = samples(toxic, ordinary)
-    # each third of the documents is measured with the dictionaries of the others; with few examples all do both
-    folds = 3 if min(len(toxic), len(ordinary)) >= 30 else 1
+    # each third of the documents is measured with the dictionaries of the others; of two documents of a class each is
+    # held out once, and only a single one has to do both
+    folds = min(3, len(toxic), len(ordinary))
     x, y = [], []
     for f in range(folds):
         draft = Model(*dictionaries(*(part.some(lambda i, f=f: folds == 1 or i % folds != f) for part in some)), ())
