@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.operators import audio, signal
+from scorelake.operators import audio, pages, signal
 from scorelake.operators.cluster import ship
 from scorelake.plans.registry import query
 from scorelake.sources import layouts, midi
@@ -206,3 +206,56 @@ def src18(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = audio.resample(recordings(spark, sf_dir), 11_025, size=8_192)
     power = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     return parts.select("session_id", "start", "core", F.round(F.sqrt(power / F.greatest("core", F.lit(1))), 5).alias("rms"))
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------
+
+PAGE_WIDTH, PAGE_HEIGHT = 600, 760
+
+
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, image: a page of each supplier, one to three systems with barlines and notes; on every fourth page the
+    barlines cover half of their staff only. The columns of the image source."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, nation in batch.itertuples(index=False):
+                x = np.full((PAGE_HEIGHT, PAGE_WIDTH), 250, np.uint8)
+                for i in range(1 + key % 3):
+                    top, bars = 60 + 240 * i, 3 + (nation + i) % 4
+                    for k in range(5):
+                        x[top + 10 * k : top + 10 * k + 2, 40:560] = 20
+                    for j in range(bars + 1):
+                        x[top : top + (24 if key % 4 == 0 else 42), 40 + 517 * j // bars : 43 + 517 * j // bars] = 60
+                    for n, at in enumerate(range(60, 540, 37)):
+                        x[top + 5 + n % 20 : top + 11 + n % 20, at : at + 6] = 90
+                yield pd.DataFrame({"page": [str(key)], "height": [PAGE_HEIGHT], "width": [PAGE_WIDTH], "nChannels": [1], "data": [x.tobytes()]})
+
+    ship(spark)
+    made = rows.repartition("s_suppkey").mapInPandas(run, "page string, height int, width int, nChannels int, data binary")
+    return made.select("page", F.struct("height", "width", "nChannels", "data").alias("image"))
+
+
+@query("sig14_systems", "SELECT s_suppkey::VARCHAR AS page, (i + 1)::INTEGER AS system, (60 + 240 * i + 0)::INTEGER AS top, (100 + 240 * i)::INTEGER AS bottom FROM (SELECT s_suppkey, unnest(range(1 + s_suppkey % 3)) AS i FROM supplier)")
+def sig14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systems of staves on every page; the twin says where they were drawn."""
+    return pages.detect(drawn_pages(spark, sf_dir))[0]
+
+
+@query(
+    "sig16_barlines",
+    """WITH s AS (SELECT s_suppkey, unnest(range(1 + s_suppkey % 3)) AS i, s_nationkey FROM supplier), b AS (SELECT *, 3 + (s_nationkey + i) % 4 AS n FROM s)
+    SELECT s_suppkey::VARCHAR AS page, (i + 1)::INTEGER AS system, x::INTEGER AS x, round(x / 600, 6) AS share FROM (SELECT s_suppkey, i, 41 + 517 * unnest(range(n + 1)) // n AS x FROM b)""",
+)
+def sig16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barlines of every system; on pages with short ones by the lesser share."""
+    return pages.detect(drawn_pages(spark, sf_dir))[1].withColumn("share", F.round("share", 6))
+
+
+@query("sig15_music_start")
+def sig15_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the music of every system starts, by the first valley of its columns."""
+    images = drawn_pages(spark, sf_dir)
+    bands = pages.detect(images)[0].withColumn("x0", F.lit(32)).withColumn("x1", F.lit(568))
+    return pages.music_starts(pages.dark_runs(images, 170), bands)
