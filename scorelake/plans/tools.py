@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.operators import signal
-from scorelake.plans import measures, relations, rhythm, sessions
+from scorelake.plans import measures, relations, rhythm, rules, sessions
 from scorelake.sources.bindings import frames, perf_notes
 
 
@@ -80,12 +80,13 @@ register(Tool("inspect_note", "a note of a bar and pitch with the first other no
 register(Tool("measure_vibrato", "rate, depth and verdict of a vibrato", _WINDOW, lambda s, d, a: signal.vibrato(_tracks(s, d, a)), 5.0))
 register(Tool("measure_trill", "rate, swing, evenness and verdict of a trill", _WINDOW, lambda s, d, a: signal.trills(_tracks(s, d, a)), 5.0))
 register(Tool("watch", "frames of a window", _WINDOW, lambda s, d, a: frames(s, d).where((F.col("session_id") == a["session_id"]) & (F.col("frame_idx") / 100).between(a["start"], a["end"])).select("frame_idx"), 60.0))
-register(Tool("measure_tempo", "a bar's duration against the median", _SESSION, lambda s, d, a: measures.rul12(s, d).where(F.col("session_id") == a["session_id"])))
+register(Tool("measure_tempo", "a bar's duration against the median; a bar that was not played gives an error and the bars there are", _BAR, lambda s, d, a: rules.tempo_of_bar(rules.bar_durations(_notes(s, d, a)), s.range(1).select(F.lit(a["session_id"]).cast("bigint").alias("session_id"), F.lit(a["measure"]).cast("bigint").alias("measure")))))
+register(Tool("measure_tempo_window", "the bars of a window against the median", _SESSION | {"first": int, "last": int}, lambda s, d, a: rules.tempo_of_window(rules.bar_durations(_notes(s, d, a)), a["first"], a["last"])))
 register(Tool("measure_dynamics", "smoothed level of a window", _WINDOW, lambda s, d, a: measures.sig09(s, d).where(F.col("session_id") == a["session_id"]), 86_400.0 * 31))
 register(Tool("inspect_intonation", "deviation by bar", _SESSION, lambda s, d, a: measures.agg07(s, d).where(F.col("session_id") == a["session_id"])))
 register(Tool("inspect_voicing", "margins by bar", _SESSION, lambda s, d, a: measures.agg08(s, d).where(F.col("session_id") == a["session_id"])))
-register(Tool("inspect_chord", "the strongest bins of a frame", {"frame_idx": int}, lambda s, d, a: frames(s, d).where(F.col("frame_idx") == a["frame_idx"]).select("frame_idx", F.posexplode("mag").alias("bin", "mag")).orderBy(F.col("mag").desc()).limit(8)))
+register(Tool("inspect_chord", "the strongest peaks of a window's mean spectrum", _SESSION | {"first": int, "last": int}, lambda s, d, a: rules.chord_peaks(frames(s, d).where(F.col("session_id") == a["session_id"]), a["first"], a["last"])))
 register(Tool("list_frames", "frames of a session", _SESSION, lambda s, d, a: frames(s, d).where(F.col("session_id") == a["session_id"]).select("frame_idx")))
-register(Tool("get_frames", "frames of a window or the nearest one", _SESSION, lambda s, d, a: relations.src22(s, d).where(F.col("session_id") == a["session_id"])))
+register(Tool("get_frames", "frames of a window or the nearest one", _WINDOW, lambda s, d, a: rules.frames_in(frames(s, d).where(F.col("session_id") == a["session_id"]).select("session_id", F.col("frame_idx").alias("vec_id")), a["start"], a["end"]), 600.0))
 register(Tool("per_bar", "the rhythm report", _SESSION, lambda s, d, a: rhythm.per_bar(s, d).where(F.col("session_id") == a["session_id"])))
 register(Tool("listen", "notes of a short window", _WINDOW, lambda s, d, a: _notes(s, d, a).where(F.col("t").between(a["start"], a["end"])), 86_400.0))
