@@ -48,3 +48,25 @@ def appended(measures: DataFrame) -> DataFrame:
     offsets = sizes.select("piece", "document", F.coalesce(F.sum("pages").over(before), F.lit(0)).alias("page_offset"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("measure_offset"))
     moved = measures.join(offsets, ["piece", "document"])
     return moved.withColumn("page", F.col("page") + F.col("page_offset")).withColumn("measure", F.col("measure") + F.col("measure_offset")).drop("page_offset", "measure_offset")
+
+
+def share_of_system(x: Column, w: Column, at: Column) -> Column:
+    """A place on the page as a share of a system's width, cut to it; a system without a width is as wide as the page."""
+    wide = F.greatest(F.coalesce(F.nullif(w, F.lit(0.0)), F.lit(1.0)), F.lit(1e-6))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - F.coalesce(x, F.lit(0.0))) / wide)), 4)
+
+
+def place_on_page(x: Column, w: Column, share: Column) -> Column:
+    """A share of a system's width as a place on the page."""
+    return F.coalesce(x, F.lit(0.0)) + share * F.coalesce(F.nullif(w, F.lit(0.0)), F.lit(1.0))
+
+
+def pages_to_detect(pages: DataFrame, systems: DataFrame) -> DataFrame:
+    """page, reason of the pages whose systems cannot be right. pages: page, kind, declared; systems: page, box."""
+    found = systems.groupBy("page").agg(F.count("*").alias("found"), F.bool_or(~plausible_box(F.col("box"))).alias("odd"))
+    rows = pages.join(found, "page", "left").fillna(0, ["found"])
+    declared = F.coalesce("declared", F.lit(0))
+    none = (F.col("found") == 0) & ((F.col("kind") == "music") | (declared != 0))
+    other = (F.col("found") > 0) & (declared > 0) & (F.col("found") != declared)
+    bad = (F.col("found") > 0) & F.coalesce("odd", F.lit(False))
+    return rows.select("page", F.when(none, "no systems").when(other, "other count").when(bad, "bad box").alias("reason")).where("reason IS NOT NULL")

@@ -102,3 +102,34 @@ def best_temperament(deviation: Column, midi: Column, root: int = 0) -> Column:
 
 def key_name(fifths: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, KEYS)), fifths + 8)
+
+
+# From which amplitude a note is sure, from which mean probability of voicing it is sure or fairly sure, and
+# the ratio of energy to the floor at which a note is present, twice of which makes it fairly sure.
+SURE_AMPLITUDE, SURE_VOICING, FAIR_VOICING, PRESENT = 0.5, 0.85, 0.65, 1.5
+
+
+def sure_by_amplitude(amplitude: Column) -> Column:
+    return F.when(amplitude >= SURE_AMPLITUDE, "high").otherwise("medium")
+
+
+def sure_by_voicing(probability: Column) -> Column:
+    return F.when(probability >= SURE_VOICING, "high").when(probability >= FAIR_VOICING, "medium").otherwise("low")
+
+
+def sure_by_harmonics(present: Column, harmonics: Column, ratio: Column, least: int = 1) -> Column:
+    """A note that is there is sure with a harmonic or more, fairly sure with energy enough."""
+    return F.when(~F.coalesce(present, F.lit(False)), "absent").when(harmonics >= least, "high").when(ratio >= 2 * PRESENT, "medium").otherwise("low")
+
+
+def spelled_text(told: Column, key: Column) -> Column:
+    """A sentence with its sharp names, octaves and all, as the key spells them. A name is a word of its own: letters,
+    digits or underscores before it, or letters behind it, make it part of another."""
+    norm = F.regexp_replace(F.lower(F.trim(key)), "[ -]", "_")
+    out = told
+    for name, flats in FLATS_OF_KEY.items():
+        new = told
+        for sharp, flat in flats.items():
+            new = F.regexp_replace(new, rf"\b{sharp}(?=-?\d*(?:\b|[^A-Za-z0-9_]|$))(?![A-Za-z_])", flat)
+        out = F.when(norm == name, new).otherwise(out)
+    return out

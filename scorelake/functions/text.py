@@ -84,3 +84,68 @@ def log_record(time: Column, level: Column, logger: Column, message: Column, con
     stamp = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     fields = {"ts": stamp, "level": level, "logger": logger, "msg": message} | context | extra
     return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
+def comment_thread(comment_id: Column, most: int = 64) -> Column:
+    """The id of a comment's thread; null for an empty comment id, which has none."""
+    bare = F.trim(F.coalesce(comment_id, F.lit("")))
+    return F.when(bare != "", safe_id(bare, "cmt_", most))
+
+
+def path_safe(name: Column) -> Column:
+    """A name that may stand in a path, trimmed: letters, digits, underscore, dot and dash, no two dots in a row; null for
+    any other."""
+    bare = F.trim(name)
+    return F.when(bare.rlike(r"^[A-Za-z0-9_.-]+$") & ~bare.contains(".."), bare)
+
+
+def movement_number(url: Column) -> Column:
+    """The number in the file name of a movement, ``..._3.mid`` or ``.midi`` in any case, behind which a query, a fragment or
+    slashes may stand; null for other names."""
+    bare = F.rtrim(F.substring_index(F.substring_index(url, "?", 1), "#", 1), F.lit("/\\"))
+    name = F.lower(F.element_at(F.split(bare, r"[/\\]"), -1))
+    return F.regexp_extract(name, r"_(\d+)\.midi?$", 1).try_cast("int")
+
+
+#: A comment as an answer may hold it, with the older names of fields; what is of another kind is taken for missing.
+COMMENT = (
+    "struct<id: string, start: double, start_sec: double, end: double, end_sec: double, measure: int, beat: double, category: string, severity: string, "
+    "summary: string, title: string, text: string, message: string, confidence: string>"
+)
+
+
+def objects(value: Column, schema: str) -> Column:
+    """The elements of a variant that is an array, read by ``schema``; null stands for those that are no objects, and for
+    the whole if it is no array."""
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    return F.transform(listed, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), F.from_json(F.to_json(v), schema)))
+
+
+def comments(body: Column) -> Column:
+    """The comments of a JSON array in their normal form, by their start: defaults where a field is missing or empty, a new
+    name before an old one, no time below zero, no end before its start. What is no object is left out, but counted for the
+    ids of those without one."""
+    given = objects(F.try_parse_json(body), COMMENT)
+    said = lambda *names: F.coalesce(*(F.nullif(n, F.lit("")) for n in names))
+
+    def normal(c: Column, i: Column) -> Column:
+        start = F.coalesce(c["start"], c["start_sec"], F.lit(0.0))
+        late = F.greatest(start + 2.0, start)
+        end = F.coalesce(F.nullif(F.coalesce(c["end"], c["end_sec"]), F.lit(0.0)), late)
+        return F.struct(
+            F.round(F.greatest(F.lit(0.0), start), 3).alias("start"), F.coalesce(said(c["id"]), F.format_string("g_%03d", i + 1)).alias("id"), F.round(F.greatest(start, end), 3).alias("end"),
+            c["measure"].alias("measure"), c["beat"].alias("beat"), F.coalesce(said(c["category"]), F.lit("interpretation")).alias("category"), F.coalesce(said(c["severity"]), F.lit("warn")).alias("severity"),
+            F.trim(F.coalesce(said(c["summary"], c["title"]), F.lit(""))).alias("summary"), F.trim(F.coalesce(said(c["text"], c["message"]), F.lit(""))).alias("text"), F.coalesce(said(c["confidence"]), F.lit("medium")).alias("confidence"),
+        )
+
+    # a null stands where the array holds something else than an object
+    placed = F.filter(F.transform(given, lambda c, i: F.when(c.isNotNull(), F.struct(normal(c, i)["start"].alias("at"), i.alias("i"), normal(c, i).alias("c")))), lambda x: x.isNotNull())
+    return F.transform(F.array_sort(F.coalesce(placed, F.expr("cast(array() as array<struct<at: double, i: int, c: struct<start: double, id: string, end: double, measure: int, beat: double, category: string, severity: string, summary: string, text: string, confidence: string>>>)"))), lambda x: x["c"])
+
+
+def rows_of(body: Column, schema: str) -> Column:
+    """The rows of a document that is an array of objects, or an object whose field ``notes`` is one; rows that are no
+    objects are left out, and any other document has none."""
+    value = F.try_parse_json(body)
+    either = F.coalesce(objects(value, schema), objects(F.try_variant_get(value, "$.notes", "variant"), schema))
+    return F.filter(F.coalesce(either, F.from_json(F.lit("[]"), f"array<{schema}>")), lambda r: r.isNotNull())
