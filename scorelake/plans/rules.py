@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.apportion import dealt_bars
-from scorelake.operators import greedy
+from scorelake.operators import greedy, slices
+from scorelake.operators.cluster import scratch_path
 from scorelake.plans.registry import query
 from scorelake.sources.bindings import frames, perf_notes, table, with_
 
@@ -175,3 +176,30 @@ def win19_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", weight.alias("w"))))["w"]
     rows = table(spark, sf_dir, "lineitem").groupBy(k.alias("page")).agg(listed.alias("w")).withColumn("total", F.col("page") % 23)
     return rows.select("page", "total", F.array_join(dealt_bars(F.col("total"), F.col("w")).cast("array<string>"), ",").alias("bars"))
+
+
+# --- slices under a digest ---
+
+
+@query(
+    "sig13_slice_cache",
+    """WITH r AS (SELECT n_nationkey::BIGINT AS request, (n_nationkey % 10)::INTEGER AS session_id, n_nationkey * 13 - 30 AS start, n_nationkey * 13 - 30 + (n_nationkey * 37) % 190 AS "end", n_nationkey % 5 * 20 AS bins FROM nation
+      UNION ALL SELECT 100 + n_nationkey, (n_nationkey % 10)::INTEGER, n_nationkey * 13 - 30, n_nationkey * 13 - 30 + (n_nationkey * 37) % 190, n_nationkey % 5 * 20 FROM nation WHERE n_nationkey % 2 = 0),
+    e AS (SELECT *, CASE WHEN start < 0 THEN 'start is below 0' WHEN "end" <= start THEN 'end is not after start' WHEN bins < 1 THEN 'no bins' END AS error FROM r),
+    f AS (SELECT request, count(DISTINCT frame_idx)::BIGINT AS n_frames, avg(abs(x))::DOUBLE AS level FROM e JOIN (SELECT label, vec_id AS frame_idx, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS bin FROM embeddings) v
+      ON label = session_id AND frame_idx >= start AND frame_idx < "end" AND bin <= bins WHERE error IS NULL GROUP BY request)
+    SELECT e.request, error, CASE WHEN error IS NULL THEN coalesce(n_frames, 0) END AS n_frames, round(level, 6) AS level FROM e LEFT JOIN f USING (request)""",
+)
+def sig13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices asked for twice, some again under another number: the second call reads what the first has computed."""
+    n = F.col("n_nationkey")
+    start = n * 13 - 30
+    ask = table(spark, sf_dir, "nation").select(n.cast("bigint").alias("request"), (n % 10).alias("session_id"), start.alias("start"), (start + n * 37 % 190).alias("end"), (n % 5 * 20).alias("bins"))
+    ask = ask.unionByName(ask.where("request % 2 = 0").withColumn("request", F.col("request") + 100))
+    path, spectra = scratch_path(spark, "slices"), frames(spark, sf_dir)
+    slices.cached_slices(ask, spectra, path)
+    found, new = slices.cached_slices(ask, spectra, path)
+    if new:
+        raise AssertionError(f"{new} slices were computed twice")
+    level = F.aggregate("mag", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("mag"), F.lit(0))
+    return found.select("request", "error", F.when(F.col("error").isNull(), F.col("n_frames")).alias("n_frames"), F.round(level, 6).alias("level"))

@@ -99,7 +99,7 @@ def sig11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sig01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra of vectors taken as recordings of 64 samples, repeated to last."""
     wave = F.flatten(F.array_repeat(F.col("mag"), 16))
-    rows = frames(spark, sf_dir).where("frame_idx % 10 = 0").select(F.col("frame_idx").cast("bigint").alias("session_id"), F.lit(1_024).alias("rate"), wave.alias("samples"))
+    rows = frames(spark, sf_dir).select(F.col("frame_idx").cast("bigint").alias("session_id"), F.lit(1_024).alias("rate"), wave.alias("samples"))
     return signal.frames_of(rows, 64.0, 2, 12, 128)
 
 

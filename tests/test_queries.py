@@ -41,7 +41,7 @@ def test_query(spark, con, name):
         assert a[0] == b[0] and len(a[1]) == len(b[1])
         assert a[1] == b[1] or all(x == y or (isinstance(x, float) and abs(x - y) < 2e-6 * max(1, abs(x))) for r, s in zip(a[1], b[1], strict=True) for x, y in zip(r, s, strict=True))
     else:
-        assert got.count() >= 0
+        assert got.count() > 0  # test_brute.py holds these against plain loops
 
 
 def test_entry(spark):
