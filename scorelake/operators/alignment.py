@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from scorelake.operators.cluster import dealt
+from scorelake.operators.cluster import dealt, ship
 
 
 @dataclass(frozen=True)
@@ -85,30 +86,17 @@ def _align(t: np.ndarray, pitch: np.ndarray, s: np.ndarray, score: np.ndarray, r
     return pairs[::-1]
 
 
-def align_session(perf: pd.DataFrame, score: pd.DataFrame, c: AlignConfig = AlignConfig()) -> pd.DataFrame:
-    """perf: session_id, state_idx, t, pitch (null: no pitch); score: score_time_sec, midi_pitch, measure."""
-    perf = perf.sort_values(["t", "state_idx"], kind="stable").reset_index(drop=True)
-    score = score.sort_values(["score_time_sec", "midi_pitch"], kind="stable").reset_index(drop=True)
+def _matched(perf: pd.DataFrame, score: pd.DataFrame, pairs: list[tuple[int, int]], ratio: float, offset: float, c: AlignConfig) -> pd.DataFrame:
+    """Every performed note with its match. pairs: of the notes with a pitch, in their order; the others that have one take
+    the compatible score note nearest in time, and score notes may serve twice."""
     out = perf[["session_id", "state_idx"]].copy()
     usable = np.flatnonzero(perf["pitch"].notna().to_numpy())
-    hit = np.full(len(perf), -1)
-    filled = np.zeros(len(perf), bool)
-    ratio, offset = 1.0, 0.0
+    hit, filled = np.full(len(perf), -1), np.zeros(len(perf), bool)
     if len(usable) and len(score):
         t, pitch = perf["t"].to_numpy(float)[usable], perf["pitch"].to_numpy(float)[usable]
         s, notes = score["score_time_sec"].to_numpy(float), score["midi_pitch"].to_numpy(float)
-        ratio = t.max() / s.max() if s.max() > 0.1 and t.max() > 0 else 1.0
-        pairs = _align(t, pitch, s, notes, ratio, offset, c)
-        if len(pairs) >= 2:
-            x, y = s[[j for _, j in pairs]], t[[i for i, _ in pairs]]
-            spread = ((x - x.mean()) ** 2).sum()
-            slope = ((x - x.mean()) * (y - y.mean())).sum() / spread if spread > 1e-9 else 0.0
-            if slope > 0:
-                ratio, offset = slope, y.mean() - slope * x.mean()
-                pairs = _align(t, pitch, s, notes, ratio, offset, c)
         for i, j in pairs:
             hit[usable[i]] = j
-        # what is left takes the compatible score note nearest in time; score notes may serve twice
         line = s * ratio + offset
         left = np.flatnonzero(hit[usable] < 0)
         begin, end = np.searchsorted(line, t[left] - c.fill_within, "left"), np.searchsorted(line, t[left] + c.fill_within, "right")
@@ -131,6 +119,33 @@ def align_session(perf: pd.DataFrame, score: pd.DataFrame, c: AlignConfig = Alig
     return out
 
 
+def _ordered(perf: pd.DataFrame, score: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return perf.sort_values(["t", "state_idx"], kind="stable").reset_index(drop=True), score.sort_values(["score_time_sec", "midi_pitch"], kind="stable").reset_index(drop=True)
+
+
+def _arrays(perf: pd.DataFrame, score: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    sounding = perf["pitch"].notna().to_numpy()
+    return perf["t"].to_numpy(float)[sounding], perf["pitch"].to_numpy(float)[sounding], score["score_time_sec"].to_numpy(float), score["midi_pitch"].to_numpy(float)
+
+
+def align_session(perf: pd.DataFrame, score: pd.DataFrame, c: AlignConfig = AlignConfig()) -> pd.DataFrame:
+    """perf: session_id, state_idx, t, pitch (null: no pitch); score: score_time_sec, midi_pitch, measure."""
+    perf, score = _ordered(perf, score)
+    t, pitch, s, notes = _arrays(perf, score)
+    ratio, offset, pairs = 1.0, 0.0, []
+    if len(t) and len(s):
+        ratio = t.max() / s.max() if s.max() > 0.1 and t.max() > 0 else 1.0
+        pairs = _align(t, pitch, s, notes, ratio, offset, c)
+        if len(pairs) >= 2:
+            x, y = s[[j for _, j in pairs]], t[[i for i, _ in pairs]]
+            spread = ((x - x.mean()) ** 2).sum()
+            slope = ((x - x.mean()) * (y - y.mean())).sum() / spread if spread > 1e-9 else 0.0
+            if slope > 0:
+                ratio, offset = slope, y.mean() - slope * x.mean()
+                pairs = _align(t, pitch, s, notes, ratio, offset, c)
+    return _matched(perf, score, pairs, ratio, offset, c)
+
+
 def align(perf: DataFrame, score: DataFrame, config: AlignConfig = AlignConfig()) -> DataFrame:
     """Every performed note with what it was matched to. perf: session_id, state_idx, t, pitch; score: session_id,
     score_time_sec, midi_pitch, measure."""
@@ -142,3 +157,60 @@ def align(perf: DataFrame, score: DataFrame, config: AlignConfig = AlignConfig()
         return align_session(left, right, config)
 
     return dealt(perf, "session_id").groupBy("session_id").cogroup(dealt(score, "session_id").groupBy("session_id")).applyInPandas(run, OUT)
+
+
+def align_slices(perf: DataFrame, score: DataFrame, length: float, margin: float, config: AlignConfig = AlignConfig()) -> DataFrame:
+    """The same for sessions of any length: slices of ``length`` seconds, each with ``margin`` seconds more on both sides,
+    are aligned in tasks of their own, and each answers for the notes of its own stretch.
+
+    Tempo and offset are those of the whole session, from regressions over the pairs of all slices. The band ties a note to
+    score notes near its expected time, and two paths that meet go on alike, so with a margin of some bands a slice's path
+    is the whole session's wherever that does not hang on a longer stretch."""
+    c = config
+    reach = margin + c.fill_within
+    spans = perf.where("pitch IS NOT NULL").groupBy("session_id").agg(F.max("t").alias("_t")).join(score.groupBy("session_id").agg(F.max("score_time_sec").alias("_s")), "session_id", "left")
+    fits = spans.select("session_id", F.when((F.col("_s") > 0.1) & (F.col("_t") > 0), F.col("_t") / F.col("_s")).otherwise(1.0).alias("ratio"), F.lit(0.0).alias("offset"))
+
+    def slices(lo: Column, hi: Column) -> Column:
+        return F.explode(F.sequence(F.floor(lo / length), F.floor(hi / length)))
+
+    def passed(fits: DataFrame, schema: str, kernel) -> DataFrame:
+        """``kernel`` over every slice's notes, score notes, tempo and offset."""
+        notes = perf.join(fits, "session_id", "left").fillna({"ratio": 1.0, "offset": 0.0}).withColumn("_slice", slices(F.col("t") - margin, F.col("t") + margin))
+        at = F.col("score_time_sec") * F.col("ratio") + F.col("offset")
+        wide = F.lit(reach) + F.lit(c.band) * F.col("ratio")
+        lines = score.join(fits, "session_id").withColumn("_slice", slices(at - wide, at + wide)).drop("ratio", "offset")
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            left = left.reindex(columns=["session_id", "state_idx", "t", "pitch", "ratio", "offset", "_slice"]).dropna(subset=["session_id"])
+            right = right.reindex(columns=["score_time_sec", "midi_pitch", "measure"]).dropna(subset=["score_time_sec"])
+            if left.empty:
+                return kernel(left, right, 1.0, 0.0, np.zeros(0, bool))
+            own = np.floor(left.sort_values(["t", "state_idx"], kind="stable")["t"].to_numpy(float) / length) == left["_slice"].iloc[0]
+            return kernel(*_ordered(left, right), float(left["ratio"].iloc[0]), float(left["offset"].iloc[0]), own)
+
+        keys = ["session_id", "_slice"]
+        ship(perf.sparkSession)
+        parts = max(int(perf.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * perf.sparkSession.sparkContext.defaultParallelism)
+        return notes.repartition(parts, *keys).groupBy(*keys).cogroup(lines.repartition(parts, *keys).groupBy(*keys)).applyInPandas(run, schema)
+
+    def pairs_of(left: pd.DataFrame, right: pd.DataFrame, ratio: float, offset: float) -> list[tuple[int, int]]:
+        t, pitch, s, notes = _arrays(left, right)
+        return _align(t, pitch, s, notes, ratio, offset, c) if len(t) and len(s) else []
+
+    def lines_of(left: pd.DataFrame, right: pd.DataFrame, ratio: float, offset: float, own: np.ndarray) -> pd.DataFrame:
+        """Times of the pairs whose performed note is the slice's own."""
+        sounding = np.flatnonzero(left["pitch"].notna().to_numpy()) if len(left) else np.zeros(0, int)
+        some = [(sounding[i], j) for i, j in (pairs_of(left, right, ratio, offset) if len(left) else []) if own[sounding[i]]]
+        return pd.DataFrame({"session_id": left["session_id"].iloc[[i for i, _ in some]], "t": left["t"].iloc[[i for i, _ in some]].to_numpy(float), "s": right["score_time_sec"].iloc[[j for _, j in some]].to_numpy(float)})
+
+    def matches(left: pd.DataFrame, right: pd.DataFrame, ratio: float, offset: float, own: np.ndarray) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({n.split()[0]: [] for n in OUT.split(", ")})
+        return _matched(left, right, pairs_of(left, right, ratio, offset), ratio, offset, c)[own]
+
+    first = passed(fits, "session_id bigint, t double, s double", lines_of)
+    line = first.groupBy("session_id").agg(F.regr_slope("t", "s").alias("slope"), F.regr_intercept("t", "s").alias("start"), F.count("*").alias("n"), (F.var_pop("s") * F.count("*")).alias("spread"))
+    good = (F.col("n") >= 2) & (F.col("spread") > 1e-9) & (F.col("slope") > 0)
+    better = fits.join(line, "session_id", "left").select("session_id", F.when(good, F.col("slope")).otherwise(F.col("ratio")).alias("ratio"), F.when(good, F.col("start")).otherwise(F.col("offset")).alias("offset"))
+    return passed(better, OUT, matches)

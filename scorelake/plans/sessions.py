@@ -33,6 +33,14 @@ def jon01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(performed(notes), generated_score(notes))
 
 
+@query("jon01_alignment_in_slices")
+def jon01_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over slices of four days with a day and a half around them (times are hours here), so that a session of any
+    length is many tasks."""
+    notes = perf_notes(spark, sf_dir)
+    return alignment.align_slices(performed(notes), generated_score(notes), length=96.0, margin=36.0)
+
+
 @query("jon24_greedy_matches")
 def jon24(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also WIN-26: the simple matcher with a smoothed lag."""

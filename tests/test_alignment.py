@@ -148,3 +148,41 @@ def test_nearest_unused_against_every_choice(spark):
                 want.append((p, x, x))
     got = nearest_unused(spark.createDataFrame(wanted, "page bigint, x double"), spark.createDataFrame(found, "page bigint, x double"), 0.03)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_slices_equal_the_whole(spark):
+    """Random takes with wrong, missing and extra notes and drift: slices give what the whole session gives."""
+    from scorelake.operators.alignment import align_slices
+
+    draw = np.random.default_rng(12)
+    notes, lines = [], []
+    for session in range(3):
+        n = 400
+        s = np.cumsum(draw.uniform(0.2, 0.8, n))
+        pitch = draw.integers(50, 75, n)
+        lines += [(session, float(x), int(p), int(k // 8) + 1) for k, (x, p) in enumerate(zip(s, pitch, strict=True))]
+        t = s * (1.1 + 0.05 * session) + draw.normal(0, 0.05, n)
+        for k in range(n):
+            if draw.random() < 0.05:
+                continue
+            notes.append((session, 2 * k, float(t[k]), int(pitch[k] + draw.choice([0] * 18 + [1, -1, 6]))))
+            if draw.random() < 0.05:
+                notes.append((session, 2 * k + 1, float(t[k] + 0.1), int(draw.integers(50, 75)) if draw.random() < 0.8 else None))
+    p = spark.createDataFrame(notes, "session_id bigint, state_idx bigint, t double, pitch int")
+    q = spark.createDataFrame(lines, "session_id bigint, score_time_sec double, midi_pitch int, measure bigint")
+    whole = {(r.session_id, r.state_idx): r for r in align(p, q).collect()}
+    parts = {(r.session_id, r.state_idx): r for r in align_slices(p, q, 20.0, 15.0).collect()}
+    assert set(whole) == set(parts) and sum(r.matched for r in whole.values()) > 0.9 * len(notes)
+    for k, r in whole.items():
+        a, b = (tuple(x for n, x in zip(r.__fields__, row, strict=True) if n != "timing_offset_ms") for row in (r, parts[k]))
+        assert a == b
+        assert (r.timing_offset_ms is None) == (parts[k].timing_offset_ms is None) and (r.timing_offset_ms is None or abs(r.timing_offset_ms - parts[k].timing_offset_ms) < 0.2)
+
+
+def test_slices_of_sessions_without_a_score_or_a_pitch(spark):
+    from scorelake.operators.alignment import align_slices
+
+    p = spark.createDataFrame([(1, 0, 0.0, 60), (1, 1, 50.0, None), (2, 0, 1.0, 60), (3, 0, 3.0, None)], "session_id bigint, state_idx bigint, t double, pitch int")
+    q = spark.createDataFrame([(1, 0.0, 60, 1), (1, 40.0, 62, 2), (3, 1.0, 60, 1)], "session_id bigint, score_time_sec double, midi_pitch int, measure bigint")
+    got = {(r.session_id, r.state_idx): (r.matched, r.measure) for r in align_slices(p, q, 10.0, 5.0).collect()}
+    assert got == {(1, 0): (True, 1), (1, 1): (False, None), (2, 0): (False, None), (3, 0): (False, None)}
