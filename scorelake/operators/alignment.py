@@ -168,6 +168,9 @@ def align_slices(perf: DataFrame, score: DataFrame, length: float, margin: float
     is the whole session's wherever that does not hang on a longer stretch."""
     c = config
     reach = margin + c.fill_within
+    # both sides may come from one table: columns under new ids are told apart in the joins
+    fresh = lambda df: df.select(*(F.col(n).alias(n) for n in df.columns))
+    perf, score = fresh(perf.select("session_id", "state_idx", "t", "pitch")), fresh(score.select("session_id", "score_time_sec", "midi_pitch", "measure"))
     spans = perf.where("pitch IS NOT NULL").groupBy("session_id").agg(F.max("t").alias("_t")).join(score.groupBy("session_id").agg(F.max("score_time_sec").alias("_s")), "session_id", "left")
     fits = spans.select("session_id", F.when((F.col("_s") > 0.1) & (F.col("_t") > 0), F.col("_t") / F.col("_s")).otherwise(1.0).alias("ratio"), F.lit(0.0).alias("offset"))
 
@@ -176,10 +179,11 @@ def align_slices(perf: DataFrame, score: DataFrame, length: float, margin: float
 
     def passed(fits: DataFrame, schema: str, kernel) -> DataFrame:
         """``kernel`` over every slice's notes, score notes, tempo and offset."""
+        fits = fresh(fits)
         notes = perf.join(fits, "session_id", "left").fillna({"ratio": 1.0, "offset": 0.0}).withColumn("_slice", slices(F.col("t") - margin, F.col("t") + margin))
         at = F.col("score_time_sec") * F.col("ratio") + F.col("offset")
         wide = F.lit(reach) + F.lit(c.band) * F.col("ratio")
-        lines = score.join(fits, "session_id").withColumn("_slice", slices(at - wide, at + wide)).drop("ratio", "offset")
+        lines = score.join(fresh(fits), "session_id").withColumn("_slice", slices(at - wide, at + wide)).drop("ratio", "offset")
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             left = left.reindex(columns=["session_id", "state_idx", "t", "pitch", "ratio", "offset", "_slice"]).dropna(subset=["session_id"])
@@ -192,7 +196,7 @@ def align_slices(perf: DataFrame, score: DataFrame, length: float, margin: float
         keys = ["session_id", "_slice"]
         ship(perf.sparkSession)
         parts = max(int(perf.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * perf.sparkSession.sparkContext.defaultParallelism)
-        return notes.repartition(parts, *keys).groupBy(*keys).cogroup(lines.repartition(parts, *keys).groupBy(*keys)).applyInPandas(run, schema)
+        return fresh(notes).repartition(parts, *keys).groupBy(*keys).cogroup(fresh(lines).repartition(parts, *keys).groupBy(*keys)).applyInPandas(run, schema)
 
     def pairs_of(left: pd.DataFrame, right: pd.DataFrame, ratio: float, offset: float) -> list[tuple[int, int]]:
         t, pitch, s, notes = _arrays(left, right)
@@ -212,5 +216,5 @@ def align_slices(perf: DataFrame, score: DataFrame, length: float, margin: float
     first = passed(fits, "session_id bigint, t double, s double", lines_of)
     line = first.groupBy("session_id").agg(F.regr_slope("t", "s").alias("slope"), F.regr_intercept("t", "s").alias("start"), F.count("*").alias("n"), (F.var_pop("s") * F.count("*")).alias("spread"))
     good = (F.col("n") >= 2) & (F.col("spread") > 1e-9) & (F.col("slope") > 0)
-    better = fits.join(line, "session_id", "left").select("session_id", F.when(good, F.col("slope")).otherwise(F.col("ratio")).alias("ratio"), F.when(good, F.col("start")).otherwise(F.col("offset")).alias("offset"))
+    better = fresh(fits).join(fresh(line), "session_id", "left").select("session_id", F.when(good, F.col("slope")).otherwise(F.col("ratio")).alias("ratio"), F.when(good, F.col("start")).otherwise(F.col("offset")).alias("offset"))
     return passed(better, OUT, matches)

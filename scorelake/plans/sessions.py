@@ -35,10 +35,10 @@ def jon01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jon01_alignment_in_slices")
 def jon01_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over slices of four days with a day and a half around them (times are hours here), so that a session of any
+    """The same over slices of eight days with as much around them (times are hours here), so that a session of any
     length is many tasks."""
     notes = perf_notes(spark, sf_dir)
-    return alignment.align_slices(performed(notes), generated_score(notes), length=96.0, margin=36.0)
+    return alignment.align_slices(performed(notes), generated_score(notes), length=192.0, margin=200.0)
 
 
 @query("jon24_greedy_matches")
