@@ -111,7 +111,7 @@ def test_nested_thresholds(spark):
     for (source, k), end in found.items():
         own = sorted((r.h, r["size"]) for r in data if r["source"] == source)
         rest, taken = (100.0 * k if source else 50.0), sum(n for h, n in own if h < end)
-        assert taken <= rest and (taken + 3 > rest or taken == sum(n for _, n in own))
+        assert abs(taken - rest) <= 1.5 or taken == sum(n for _, n in own) < rest  # the nearer of two sums, a document apart
     ends = [found["s", k] for k in range(9)]
     assert ends == sorted(ends)
 
