@@ -248,5 +248,5 @@ def test_last_stage_decodes(spark, docs, monkeypatch):
 
 
 def test_every_operator_has_a_query():
-    assert {q.split("_")[0] for q in queries.QUERIES if q != "ledger_ablations"} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES if q != "ledger_ablations"} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)

@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 
 def oracle(name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con.sql(queries.ORACLES[name]).df()
 
@@ -31,7 +31,7 @@ def test_against_sql(spark, name):
     order = [c for c in cols if not str(got[c].dtype).startswith("float")]
     a, b = (x[cols].sort_values(order).reset_index(drop=True) for x in (got, want))
     for c in cols:
-        assert (a[c] == b[c]).all() if isinstance(a[c].iloc[0], str) else np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-12), c
+        assert (a[c] == b[c]).all() if isinstance(a[c].iloc[0], str) else np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-12, equal_nan=True), c
 
 
 def brute_force(texts: dict[int, str]):
