@@ -19,6 +19,11 @@ from scorelake.sources.bindings import frames, perf_notes, table, with_
 EXTRA = 1.6
 
 
+def hundredths(t: Column) -> Column:
+    """The nearest hundredth, halves up; by arithmetic, so that every engine gives the same."""
+    return F.floor(t * 100 + 0.5) / 100
+
+
 def performance_timeline(matched: DataFrame, score: DataFrame, ranges: DataFrame) -> DataFrame:
     """session_id, measure, starts, ends, matched, score_notes, flags: a row for every measure of a session's played range.
 
@@ -37,7 +42,7 @@ def performance_timeline(matched: DataFrame, score: DataFrame, ranges: DataFrame
         F.when(F.col("gap"), "OMR-gap (pitches unknown)"), F.when((n == 0) & ~F.col("gap"), "no matches in this measure"),
         F.when((n > 0) & (s > 0) & (n / F.nullif(s, F.lit(0)) >= EXTRA), many),
     ))
-    return rows.select(*keys, F.round("first_t", 2).alias("starts"), F.round("last_t", 2).alias("ends"), "matched", "score_notes", F.array_join(flags, "; ").alias("flags"))
+    return rows.select(*keys, hundredths(F.col("first_t")).alias("starts"), hundredths(F.col("last_t")).alias("ends"), "matched", "score_notes", F.array_join(flags, "; ").alias("flags"))
 
 
 @query(
@@ -47,7 +52,7 @@ def performance_timeline(matched: DataFrame, score: DataFrame, ranges: DataFrame
     s AS (SELECT session_id, measure, count(*) AS score_notes, bool_or(pitch % 12 = 11) AS gap FROM p WHERE pitch % 2 = 1 GROUP BY ALL),
     j AS (SELECT session_id, measure, a, b, coalesce(matched, 0) AS n, coalesce(score_notes, 0) AS s, coalesce(gap, false) AS gap FROM x LEFT JOIN k USING (session_id, measure) LEFT JOIN s USING (session_id, measure)),
     t AS (SELECT *, (20 * n + s) // nullif(2 * s, 0) AS tenths FROM j)
-    SELECT session_id, measure, round(a, 2) AS starts, round(b, 2) AS ends, n AS matched, s AS score_notes, concat_ws('; ', CASE WHEN gap THEN 'OMR-gap (pitches unknown)' END, CASE WHEN n = 0 AND NOT gap THEN 'no matches in this measure' END,
+    SELECT session_id, measure, floor(a * 100 + 0.5::DOUBLE) / 100 AS starts, floor(b * 100 + 0.5::DOUBLE) / 100 AS ends, n AS matched, s AS score_notes, concat_ws('; ', CASE WHEN gap THEN 'OMR-gap (pitches unknown)' END, CASE WHEN n = 0 AND NOT gap THEN 'no matches in this measure' END,
       CASE WHEN n > 0 AND s > 0 AND n / s::DOUBLE >= 1.6 THEN 'high extra-detection density (' || (tenths // 10) || '.' || (tenths % 10) || 'x score)' END) AS flags FROM t""",
 )
 def rul08_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
