@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.apportion import dealt_bars
-from scorelake.operators import greedy, slices
+from scorelake.operators import chords, greedy, slices
 from scorelake.operators.cluster import scratch_path
 from scorelake.plans.registry import query
 from scorelake.sources.bindings import frames, perf_notes, table, with_
@@ -208,3 +208,33 @@ def sig13(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise AssertionError(f"{new} slices were computed twice")
     level = F.aggregate("mag", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("mag"), F.lit(0))
     return found.select("request", "error", F.when(F.col("error").isNull(), F.col("n_frames")).alias("n_frames"), F.round(level, 6).alias("level"))
+
+
+# --- chords in spectra ---
+
+_CHORDS = chords.ChordConfig(frame_sec=0.1, low_pitch=36, per_octave=12, reach=1)
+
+
+def _measured_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten takes: the notes of the users whose number ends alike, a tenth of a day as a chord and a second to a day, in the
+    spectra of that label."""
+    take = F.pmod(F.col("session_id"), F.lit(10)).cast("int")
+    rows = perf_notes(spark, sf_dir).groupBy(take.alias("session_id"), F.floor(F.col("t") / 8_640).alias("event")).agg(F.min("measure").alias("measure"), F.collect_set("pitch").alias("pitches"))
+    rows = rows.select("session_id", "event", (F.col("event") / 10).alias("t"), "measure", "pitches")
+    order = W.partitionBy("session_id").orderBy("frame_idx")
+    spectra = frames(spark, sf_dir).withColumn("frame_idx", (F.row_number().over(order) - 1).cast("bigint"))
+    return chords.measured(rows, spectra, _CHORDS)
+
+
+@query("sig06_chord_measures")
+def sig06_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords measured in spectra: levels, presence and attacks of members, margins, spreads, residue."""
+    found = _measured_chords(spark, sf_dir)
+    told = F.transform("members", lambda m: F.concat(m["pitch"].cast("string"), F.lit(":"), m["role"], F.lit(":"), m["onset_db"].cast("string")))
+    return found.select("session_id", "event", "measure", "margin_db", "bass_db", "spread_ms", "residue_db", "blur", F.array_join(told, " ").alias("members"))
+
+
+@query("rul06_voicing_findings")
+def rul06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak melodies, spread attacks and residue, the worst twelve of each in a session."""
+    return chords.findings(_measured_chords(spark, sf_dir), _CHORDS)
