@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorelake.operators import joins
+
 
 def median_of(values: Column) -> Column:
     """The median of an array without nulls."""
@@ -41,3 +43,45 @@ def strongest_class(mag: Column) -> Column:
     energy = lambda pc: F.aggregate(F.filter(mag, lambda _, i: i % 12 == pc), F.lit(0.0), lambda a, v: a + v)
     best = F.array_max(F.array(*(F.struct(energy(pc).alias("e"), F.lit(-pc).alias("pc")) for pc in range(12))))
     return -best["pc"]
+
+
+def mean_profiles(asks: DataFrame, frames: DataFrame) -> DataFrame:
+    """``asks`` (request, session_id, start, window, in seconds) with ``mag``: the mean magnitude of every bin over the frames
+    from start on, before start + window; null where there is no frame. frames: session_id, t_sec, mag."""
+    ends = asks.withColumn("_end", F.col("start") + F.col("window"))
+    met = joins.range_join(ends.select("request", "session_id", "start", "_end"), frames.select("session_id", "t_sec", "mag"), ["session_id"], "start", "_end", "t_sec", 1.0).where(F.col("t_sec") < F.col("_end"))
+    bins = met.select("request", F.posexplode("mag").alias("bin", "m")).groupBy("request", "bin").agg(F.avg("m").alias("m"))
+    return asks.join(bins.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("bin", "m")))["m"].alias("mag")), "request", "left")
+
+
+def probe(asks: DataFrame, frames: DataFrame, low_pitch: int, per_octave: int, near: float = 50.0, far: float = 150.0) -> DataFrame:
+    """request, cents_off, peak_db, expected_db, far_cents_off, error: how far the loudest bin within ``near`` cents of the
+    pitch that is asked for (``pitch``) lies from it, by the parabola through it and its neighbours, which moves it by a
+    bin at most; the levels of that bin and of the expected one against the loudest; and where the loudest bin within
+    ``far`` cents lies, which tells another pitch from one out of tune. Of equal bins the lowest counts."""
+    rows = mean_profiles(asks, frames)
+    width, mag = 1200.0 / per_octave, F.col("mag")
+    place = (F.col("pitch") - low_pitch) * (per_octave / 12)
+    expected = F.rint(place).cast("int")
+    n = F.size("mag")
+
+    def loudest(cents: float) -> Column:
+        reach = round(cents / width)
+        low = F.greatest(F.lit(0), expected - reach)
+        part = F.slice(mag, low + 1, expected + reach - low + 1)
+        return (low + F.array_position(part, F.array_max(part)) - 1).cast("int")
+
+    error = (
+        F.when(F.col("pitch").isNull(), "no pitch is asked for").when(mag.isNull(), "no frame in the window").when(F.array_max(mag) <= 0, "no energy in the window")
+        .when((expected < 0) | (expected >= n), "the pitch lies outside the spectrum").when(F.get(mag, loudest(near)) <= 0, "no energy near the pitch")
+    )
+    rows = rows.withColumn("error", error).withColumn("_k", F.when(error.isNull(), loudest(near))).withColumn("_far", F.when(error.isNull(), loudest(far)))
+    a, b, c = (F.get(mag, F.col("_k") + d) for d in (-1, 0, 1))
+    bend = a - 2 * b + c
+    shift = F.when((F.col("_k") > 0) & (F.col("_k") < n - 1), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.lit(0.5) * (a - c) / F.nullif(bend, F.lit(0.0)), F.lit(0.0))))).otherwise(0.0)
+    level = lambda x: F.round(F.lit(20.0) * F.log10(F.greatest(x, F.lit(1e-9)) / F.array_max(mag)), 1)
+    ok = lambda col: F.when(F.col("error").isNull(), col)
+    return rows.select(
+        "request", ok(F.round((F.col("_k") + shift - place) * width, 1)).alias("cents_off"), ok(level(b)).alias("peak_db"), ok(level(F.get(mag, expected))).alias("expected_db"),
+        ok(F.round((F.col("_far") - place) * width, 1)).alias("far_cents_off"), "error",
+    )

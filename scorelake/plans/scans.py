@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.operators import audio, pages, signal
+from scorelake.operators import audio, pages, signal, spectra
 from scorelake.operators.cluster import ship
 from scorelake.plans.registry import query
 from scorelake.sources import layouts, midi
@@ -259,3 +259,17 @@ def sig15_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = drawn_pages(spark, sf_dir)
     bands = pages.detect(images)[0].withColumn("x0", F.lit(32)).withColumn("x1", F.lit(568))
     return pages.music_starts(pages.dark_runs(images, 170), bands)
+
+
+@query("sig03_intonation_probe")
+def sig03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of every note of the takes probed at its own pitch, and one note of each at a pitch two semitones above."""
+    wave = recordings(spark, sf_dir)
+    low = 440 * 2 ** ((45 - 69) / 12)
+    spectra_ = signal.frames_of(wave, low, 4, 60, 400)
+    key, i = F.col("s_suppkey"), F.col("i")
+    asks = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(NOTES))).alias("i"))
+    note = F.least(i, F.lit(NOTES - 1))
+    pitch = F.lit(48) + F.pmod(key * 7 + note * 5 + F.col("s_nationkey"), F.lit(36)) + F.when(i == NOTES, 2).otherwise(0)
+    asks = asks.select((key * 100 + i).alias("request"), key.alias("session_id"), (note * NOTE_SEC + 0.1).alias("start"), F.lit(0.2).alias("window"), pitch.cast("int").alias("pitch"))
+    return spectra.probe(asks, spectra_, 45, 60)
