@@ -25,13 +25,17 @@ DAY_MS = 86_400_000
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, which these jobs need; the setting is as before afterwards."""
-    before = spark.conf.get(PROVIDER)
+    """Streams started inside keep their state in RocksDB, which these jobs need, in no more partitions than two to a core:
+    each has a store of its own and starts workers at every trigger. The settings are as before afterwards."""
+    parts = "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (PROVIDER, parts)}
     spark.conf.set(PROVIDER, ROCKS)
+    spark.conf.set(parts, str(min(int(before[parts]), max(1, 2 * spark.sparkContext.defaultParallelism))))
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def timed(events: DataFrame, late: str) -> DataFrame:
