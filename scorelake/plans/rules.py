@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.apportion import dealt_bars
-from scorelake.operators import chords, greedy, slices
+from scorelake.operators import chords, greedy, reconcile, slices
 from scorelake.operators.cluster import scratch_path
 from scorelake.plans.registry import query
 from scorelake.sources.bindings import frames, perf_notes, table, with_
@@ -238,3 +238,30 @@ def sig06_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rul06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak melodies, spread attacks and residue, the worst twelve of each in a session."""
     return chords.findings(_measured_chords(spark, sf_dir), _CHORDS)
+
+
+# --- layouts against MIDI ---
+
+
+@query(
+    "rul13_reconciled",
+    """WITH s AS (SELECT o_custkey AS piece, CASE WHEN o_custkey % 3 > 0 THEN 'recognised' ELSE 'model' END AS source, o_orderkey % 3 AS movement, sum(l_quantity::BIGINT % 9)::BIGINT AS bars FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    m AS (SELECT c_custkey AS piece, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 90 END AS total, c_custkey % 5 AS hint FROM customer),
+    r AS (SELECT s.piece, movement, row_number() OVER (PARTITION BY s.piece ORDER BY CASE WHEN movement = hint THEN 0 ELSE 1 END, abs(bars - total), movement) AS r FROM s JOIN m USING (piece) WHERE source = 'recognised' AND total IS NOT NULL),
+    p AS (SELECT s.piece, source, total, r.movement AS played, sum(bars)::BIGINT AS layout, (sum(bars) FILTER (WHERE s.movement = r.movement))::BIGINT AS own FROM s JOIN m USING (piece) LEFT JOIN r ON r.piece = s.piece AND r.r = 1 GROUP BY ALL),
+    f AS (SELECT *, coalesce(total > 0, false) AND CASE WHEN source = 'recognised' THEN played IS NOT NULL ELSE abs(layout - total) > 1 END AS fit FROM p),
+    n AS (SELECT piece, source, total AS midi_bars, played, fit AS redistributed, CASE WHEN NOT fit THEN layout WHEN source = 'recognised' THEN layout - own + total ELSE total END AS layout_bars, CASE WHEN played IS NOT NULL THEN CASE WHEN fit THEN total ELSE own END END AS played_bars FROM f)
+    SELECT *, CASE WHEN abs(coalesce(played_bars, layout_bars) - midi_bars) > 1 THEN source || '=' || coalesce(played_bars, layout_bars) || ' midi=' || midi_bars END AS mismatch FROM n""",
+)
+def rul13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as pages, their lines as systems, of two sources; bars of files that are unknown, none or given."""
+    return reconcile.summary(reconcile.reconciled(*_layouts(spark, sf_dir)))
+
+
+def _layouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").withColumn("system", F.row_number().over(order)).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    source = F.when(F.col("o_custkey") % 3 > 0, reconcile.RECOGNISED).otherwise("model")
+    systems = lines.select(F.col("o_custkey").alias("piece"), source.alias("source"), F.col("o_orderkey").alias("page"), "system", (F.col("o_orderkey") % 3).alias("movement"), (F.col("l_tax") * 14).alias("width"), (F.col("l_quantity").cast("bigint") % 9).alias("bars"))
+    key = F.col("c_custkey")
+    return systems, table(spark, sf_dir, "customer").select(key.alias("piece"), F.when(key % 7 > 0, key % 90).alias("total"), (key % 5).alias("hint"))
