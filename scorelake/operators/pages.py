@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.operators import greedy
-from scorelake.operators.cluster import ship
+from scorelake.operators.cluster import scratch_path, ship
 
 
 @dataclass(frozen=True)
@@ -47,29 +47,70 @@ RUNS = "page string, height int, width int, y int, x0 int, x1 int"
 
 def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Brightness of an image whose channels stand in the order blue, green, red, or of one that has but one."""
-    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.uint32)
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     if channels == 1:
         return x[:, :, 0]
+    x = x.astype(np.uint32)
     return (x[:, :, 2] * 19_595 + x[:, :, 1] * 38_470 + x[:, :, 0] * 7_471 + 0x8000) >> 16
 
 
-def dark_runs(images: DataFrame, dark: int) -> DataFrame:
-    """page, height, width, y, x0, x1 of each run of pixels darker than ``dark``. images: page, image (as the image source
-    gives it); undecodable images, whose height is below 1, have none."""
+def _edges(x: np.ndarray, dark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """y, x0, x1 of the runs darker than ``dark``. Rows lie one after the other with a light column behind each, so that
+    starts and ends alternate."""
+    height, width = x.shape
+    ink = np.zeros(height * (width + 1) + 1, bool)
+    ink[1:].reshape(height, width + 1)[:, :width] = x < dark
+    at = np.flatnonzero(ink[1:] != ink[:-1])
+    y, x0 = np.divmod(at[::2], width + 1)
+    return y, x0, at[1::2] - y * (width + 1) - 1
+
+
+#: Fixed value: runs of as many pages as hold about this many pixels leave a task at a time.
+PIXELS = 1 << 25
+
+
+def runs_at(images: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """dark, page, height, width, y, x0, x1 of the runs of pixels darker than each of ``levels``, images decoded once.
+    images: page, image (as the image source gives it); undecodable images, whose height is below 1, have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        pixels = 0
+
+        def table() -> pd.DataFrame:
+            head, runs = [h for h, _ in held], [r for _, r in held]
+            n = np.array([len(y) for y, _, _ in runs], int)
+            out = {c: np.repeat(np.array([h[k] for h in head], object if c == "page" else np.int32), n) for k, c in enumerate(("dark", "page", "height", "width"))}
+            return pd.DataFrame(out | {c: np.concatenate([r[k] for r in runs]).astype(np.int32) for k, c in enumerate(("y", "x0", "x1"))})
+
         for batch in batches:
             for page, height, width, channels, data in batch.itertuples(index=False):
-                ink = np.zeros((height, width + 2), np.int8)
-                ink[:, 1:-1] = grey(data, height, width, channels) < dark
-                step = np.diff(ink, axis=1)
-                y, x0 = np.nonzero(step == 1)
-                x1 = np.nonzero(step == -1)[1] - 1
-                yield pd.DataFrame({"page": page, "height": height, "width": width, "y": y, "x0": x0, "x1": x1})
+                x = grey(data, height, width, channels)
+                held += [((dark, page, height, width), _edges(x, dark)) for dark in levels]
+                pixels += height * width
+                if pixels >= PIXELS:
+                    yield table()
+                    held, pixels = [], 0
+        if held:
+            yield table()
 
     ship(images.sparkSession)
     rows = images.where("image.height > 0 and image.width > 0").select(F.col("page").cast("string").alias("page"), "image.height", "image.width", "image.nChannels", "image.data")
-    return rows.mapInPandas(run, RUNS)
+    return rows.mapInPandas(run, f"dark int, {RUNS}")
+
+
+def dark_runs(images: DataFrame, dark: int) -> DataFrame:
+    """page, height, width, y, x0, x1 of each run of pixels darker than ``dark``."""
+    return runs_at(images, (dark,)).drop("dark")
+
+
+def kept_runs(images: DataFrame, *levels: int) -> list[DataFrame]:
+    """The runs at each level, from a written table: pages are decoded once however many steps ask for their runs."""
+    spark = images.sparkSession
+    path = scratch_path(spark, "runs")
+    runs_at(images, tuple(dict.fromkeys(levels))).write.partitionBy("dark").parquet(path)
+    held = spark.read.schema(f"{RUNS}, dark int").parquet(path)
+    return [held.where(F.col("dark") == level).drop("dark") for level in levels]
 
 
 def islands(rows: DataFrame, keys: list[str], place: str, gap: int) -> DataFrame:
@@ -91,14 +132,14 @@ def staves(runs: DataFrame, c: PageConfig = PageConfig()) -> DataFrame:
     lines = islands(rows, ["page"], "y", c.row_gap).select(F.xxhash64("page").alias("key"), "page", _middle().cast("double").alias("y"))
     found = greedy.staves(lines.select(F.col("key").alias("page"), "y"), float(c.line_least), float(c.line_most)).where(F.col("bottom") - F.col("top") <= c.staff_most)
     names = lines.select("key", "page").distinct()
-    return found.withColumnRenamed("page", "key").join(names, "key").select("page", F.col("top").cast("int").alias("top"), F.col("bottom").cast("int").alias("bottom"))
+    return found.withColumnRenamed("page", "key").join(names.hint("merge"), "key").select("page", F.col("top").cast("int").alias("top"), F.col("bottom").cast("int").alias("bottom"))
 
 
 def systems(staff_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """page, system, top, bottom: staves that stand close together are a pair. Close is at most 1.35 times the median
     distance of a page's staves, between 45 pixels and 8 % of its height. sizes: page, height."""
     order = W.partitionBy("page").orderBy("top")
-    gaps = staff_rows.withColumn("gap", F.lead("top").over(order) - F.col("bottom")).join(sizes, "page")
+    gaps = staff_rows.withColumn("gap", F.lead("top").over(order) - F.col("bottom")).join(sizes.hint("merge"), "page")
     limit = F.greatest(F.lit(45.0), F.least(F.col("height") * 0.08, F.percentile("gap", 0.5).over(W.partitionBy("page")) * 1.35))
     listed = gaps.withColumn("close", F.coalesce(F.col("gap") <= limit, F.lit(False))).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("top", "bottom", "close"))).alias("s"))
     # a staff that closes a pair starts none: along a chain of close staves every second one is a start
@@ -115,14 +156,17 @@ def systems(staff_rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def barlines(runs: DataFrame, bands: DataFrame, c: PageConfig = PageConfig()) -> DataFrame:
-    """page, system, x, share: columns that are dark over most of a system's height. bands: page, system, top, bottom."""
+    """page, system, x, share: columns that are dark over most of a system's height. bands: page, system, top, bottom.
+
+    Joins of runs and bands shuffle both: files and maps of Python say little of how many rows come, and runs are too many
+    for a broadcast."""
     band = bands.select("page", "system", F.greatest(F.col("top") - c.padding, F.lit(0)).alias("y0"), (F.col("bottom") + c.padding).alias("y1"))
-    inside = runs.join(band, "page").where(F.col("y").between(F.col("y0"), F.col("y1") - 1))
+    inside = runs.join(band.hint("merge"), "page").where(F.col("y").between(F.col("y0"), F.col("y1") - 1))
     keys = ["page", "system"]
     filled = inside.groupBy(*keys, "height", "width", "y0", "y1", "y").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).where(F.col("n") > F.greatest(F.lit(8), F.floor(F.col("width") * 0.015)))
     span = filled.groupBy(*keys, "height", "width", "y0", "y1").agg(F.min("y").alias("a"), F.max("y").alias("b"))
     span = span.select(*keys, "width", F.greatest(F.col("a") - 2, F.col("y0")).alias("top"), F.least(F.col("b") + 3, F.col("y1"), F.col("height")).alias("bottom"))
-    within = inside.select(*keys, "y", "x0", "x1").join(span, keys).where((F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom")))
+    within = inside.select(*keys, "y", "x0", "x1").join(span.hint("merge"), keys).where((F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom")))
     ends = within.select(*keys, "width", (F.col("bottom") - F.col("top")).alias("span"), F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e"))
     steps = ends.groupBy(*keys, "width", "span", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"))
     order = W.partitionBy(*keys).orderBy("x")
@@ -137,11 +181,16 @@ def barlines(runs: DataFrame, bands: DataFrame, c: PageConfig = PageConfig()) ->
     return listed.select(*keys, "width", F.explode(kept).alias("x")).select(*keys, "x", (F.col("x") / F.col("width")).alias("share"))
 
 
+def bands_of(runs: DataFrame, c: PageConfig = PageConfig()) -> DataFrame:
+    """Systems of all pages, from the runs at ``staff_dark``. A page without runs has no staves."""
+    return systems(staves(runs, c), runs.select("page", "height").distinct())
+
+
 def detect(images: DataFrame, c: PageConfig = PageConfig()) -> tuple[DataFrame, DataFrame]:
     """Systems and barlines of all pages."""
-    runs = dark_runs(images, c.staff_dark)
-    bands = systems(staves(runs, c), images.select(F.col("page").cast("string").alias("page"), "image.height"))
-    return bands, barlines(dark_runs(images, c.bar_dark), bands, c)
+    staff, bar = kept_runs(images, c.staff_dark, c.bar_dark)
+    bands = bands_of(staff, c)
+    return bands, barlines(bar, bands, c)
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -178,7 +227,7 @@ def music_start(density: np.ndarray, x0: int, page_width: int, spacing: int) ->
 
 def music_starts(runs: DataFrame, bands: DataFrame, spacing: int = 10) -> DataFrame:
     """page, system, start of every system. bands: page, system, top, bottom, x0, x1."""
-    at = runs.select("page", "width", "y", F.col("x0").alias("a"), F.col("x1").alias("b")).join(bands, "page").where(F.col("y").between(F.col("top") - 2, F.col("bottom") + 2) & (F.col("b") >= F.col("x0")) & (F.col("a") < F.col("x1")))
+    at = runs.select("page", "width", "y", F.col("x0").alias("a"), F.col("x1").alias("b")).join(bands.hint("merge"), "page").where(F.col("y").between(F.col("top") - 2, F.col("bottom") + 2) & (F.col("b") >= F.col("x0")) & (F.col("a") < F.col("x1")))
     listed = at.groupBy("page", "system", "width", "x0", "x1").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

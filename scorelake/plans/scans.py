@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.operators import audio, pages, signal, spectra
-from scorelake.operators.cluster import ship
+from scorelake.operators.cluster import dealt, ship
 from scorelake.plans.registry import query
 from scorelake.sources import layouts, midi
 from scorelake.sources.bindings import table
@@ -145,6 +145,8 @@ def src13_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- recordings -----------------------------------------------------------------------------------------------------
 
 RATE, NOTE_SEC, NOTES = 8_000, 0.4, 8
+#: Takes or pages, of up to half a megabyte, that leave a task at a time.
+AT_ONCE = 32
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +170,13 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     fade = np.minimum(1, np.minimum(t, NOTE_SEC - t) / 0.01 + 0.02)
                     parts.append(fade * (0.2 + (balance % 1_000) / 2_000) * (np.sin(phase) + np.sin(2 * phase) / 3))
                 out.append((key, RATE, np.concatenate(parts).astype(np.float32)))
-            yield pd.DataFrame(out, columns=["session_id", "rate", "samples"])
+                if len(out) == AT_ONCE:
+                    yield pd.DataFrame(out, columns=["session_id", "rate", "samples"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["session_id", "rate", "samples"])
 
-    ship(spark)
-    return rows.repartition("s_suppkey").mapInPandas(run, "session_id bigint, rate int, samples array<float>")
+    return dealt(rows, "s_suppkey").mapInPandas(run, "session_id bigint, rate int, samples array<float>")
 
 
 TRACKING = audio.PitchConfig(hop=100)
@@ -219,6 +224,9 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = lambda: pd.DataFrame({"page": names, "height": PAGE_HEIGHT, "width": PAGE_WIDTH, "nChannels": 1, "data": data})
+        names: list[str] = []
+        data: list[bytes] = []
         for batch in batches:
             for key, nation in batch.itertuples(index=False):
                 x = np.full((PAGE_HEIGHT, PAGE_WIDTH), 250, np.uint8)
@@ -230,17 +238,22 @@ def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                         x[top : top + (24 if key % 4 == 0 else 42), 40 + 517 * j // bars : 43 + 517 * j // bars] = 60
                     for n, at in enumerate(range(60, 540, 37)):
                         x[top + 5 + n % 20 : top + 11 + n % 20, at : at + 6] = 90
-                yield pd.DataFrame({"page": [str(key)], "height": [PAGE_HEIGHT], "width": [PAGE_WIDTH], "nChannels": [1], "data": [x.tobytes()]})
-
-    ship(spark)
-    made = rows.repartition("s_suppkey").mapInPandas(run, "page string, height int, width int, nChannels int, data binary")
+                names.append(str(key))
+                data.append(x.tobytes())
+                if len(names) == AT_ONCE:
+                    yield made()
+                    names, data = [], []
+        if names:
+            yield made()
+
+    made = dealt(rows, "s_suppkey").mapInPandas(run, "page string, height int, width int, nChannels int, data binary")
     return made.select("page", F.struct("height", "width", "nChannels", "data").alias("image"))
 
 
 @query("sig14_systems", "SELECT s_suppkey::VARCHAR AS page, (i + 1)::INTEGER AS system, (60 + 240 * i + 0)::INTEGER AS top, (100 + 240 * i)::INTEGER AS bottom FROM (SELECT s_suppkey, unnest(range(1 + s_suppkey % 3)) AS i FROM supplier)")
 def sig14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Systems of staves on every page; the twin says where they were drawn."""
-    return pages.detect(drawn_pages(spark, sf_dir))[0]
+    return pages.bands_of(pages.kept_runs(drawn_pages(spark, sf_dir), pages.PageConfig().staff_dark)[0])
 
 
 @query(
@@ -256,9 +269,9 @@ def sig16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sig15_music_start")
 def sig15_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the music of every system starts, by the first valley of its columns."""
-    images = drawn_pages(spark, sf_dir)
-    bands = pages.detect(images)[0].withColumn("x0", F.lit(32)).withColumn("x1", F.lit(568))
-    return pages.music_starts(pages.dark_runs(images, 170), bands)
+    (runs,) = pages.kept_runs(drawn_pages(spark, sf_dir), 170)
+    bands = pages.bands_of(runs).withColumn("x0", F.lit(32)).withColumn("x1", F.lit(568))
+    return pages.music_starts(runs, bands)
 
 
 @query("sig03_intonation_probe")
