@@ -4,6 +4,7 @@ one recording or one track; numpy inside, Spark around."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,23 +13,35 @@ from pyspark.sql import DataFrame
 from scorelake.operators.cluster import dealt, ship
 
 
-def cqt(samples: np.ndarray, rate: int, low_hz: float, octaves: int, per_octave: int, hop: int) -> np.ndarray:
-    """Magnitudes (frames x bins) of windowed complex tones, each as long as its Q asks."""
-    n_bins = octaves * per_octave
+@lru_cache(maxsize=8)
+def _tones(rate: int, low_hz: float, octaves: int, per_octave: int) -> np.ndarray:
+    """Windowed complex tones (samples x bins), each as long as its Q asks, about one centre; bins beyond half the rate
+    are left out."""
     q = 1 / (2 ** (1 / per_octave) - 1)
-    hz = low_hz * 2 ** (np.arange(n_bins) / per_octave)
+    hz = low_hz * 2 ** (np.arange(octaves * per_octave) / per_octave)
     hz = hz[hz < rate / 2]
     longest = int(np.ceil(q * rate / hz[0]))
-    padded = np.pad(np.asarray(samples, float), longest // 2 + 1)
-    centres = np.arange(0, max(1, len(samples)), hop)
-    out = np.zeros((len(centres), n_bins))
+    out = np.zeros((longest, len(hz)), complex)
     for k, f in enumerate(hz):
         n = int(np.ceil(q * rate / f))
         tone = np.hanning(n) * np.exp(-2j * np.pi * f / rate * (np.arange(n) - n / 2))
-        tone /= np.abs(tone).sum()
-        starts = centres + longest // 2 + 1 - n // 2
-        views = np.lib.stride_tricks.sliding_window_view(padded, n)[np.clip(starts, 0, len(padded) - n)]
-        out[:, k] = np.abs(views @ tone)
+        out[longest // 2 - n // 2 :, k][:n] = tone / np.abs(tone).sum()
+    return out
+
+
+def cqt(samples: np.ndarray, rate: int, low_hz: float, octaves: int, per_octave: int, hop: int) -> np.ndarray:
+    """Magnitudes (frames x bins) of windowed complex tones: all of them by one product for every few frames."""
+    tones = _tones(rate, low_hz, octaves, per_octave)
+    longest = len(tones)
+    padded = np.pad(np.asarray(samples, float), longest // 2 + 1)
+    centres = np.arange(0, max(1, len(samples)), hop)
+    out = np.zeros((len(centres), octaves * per_octave))
+    starts = centres + 1
+    # as long as the longest tone, the last frames may reach one sample beyond the padding
+    views = np.lib.stride_tricks.sliding_window_view(np.append(padded, 0.0), longest)
+    for k in range(0, len(starts), 64):
+        some = views[starts[k : k + 64]]
+        out[k : k + 64, : tones.shape[1]] = np.hypot(some @ tones.real, some @ tones.imag)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,8 +52,17 @@ def mean_profiles(asks: DataFrame, frames: DataFrame) -> DataFrame:
     from start on, before start + window; null where there is no frame. frames: session_id, t_sec, mag."""
     ends = asks.withColumn("_end", F.col("start") + F.col("window"))
     met = joins.range_join(ends.select("request", "session_id", "start", "_end"), frames.select("session_id", "t_sec", "mag"), ["session_id"], "start", "_end", "t_sec", 1.0).where(F.col("t_sec") < F.col("_end"))
-    bins = met.select("request", F.posexplode("mag").alias("bin", "m")).groupBy("request", "bin").agg(F.avg("m").alias("m"))
-    return asks.join(bins.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("bin", "m")))["m"].alias("mag")), "request", "left")
+    # sums of arrays, a few seconds of frames at a time, so that neither bins become rows nor a long window one array
+    part = met.groupBy("request", F.floor(F.col("t_sec") / 4).alias("_part")).agg(F.collect_list("mag").alias("x")).select("request", _summed(F.col("x"), lambda x: x, lambda x: F.transform(x, lambda v: v.isNotNull().cast("int"))).alias("s"))
+    found = part.groupBy("request").agg(F.collect_list("s").alias("x")).select("request", _summed(F.col("x"), lambda s: s["s"], lambda s: s["n"]).alias("s"))
+    return asks.join(found.select("request", F.zip_with("s.s", "s.n", lambda s, n: s / F.nullif(n, F.lit(0))).alias("mag")), "request", "left")
+
+
+def _summed(rows: Column, values: Callable[[Column], Column], counts: Callable[[Column], Column]) -> Column:
+    """s, n: by place the sums and the numbers of the values in an array's arrays; nulls count for nothing."""
+    none = F.struct(F.expr("cast(array() as array<double>)").alias("s"), F.expr("cast(array() as array<int>)").alias("n"))
+    add = lambda a, b, zero: F.zip_with(a, b, lambda x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
+    return F.aggregate(rows, none, lambda acc, x: F.struct(add(acc["s"], values(x), F.lit(0.0)).alias("s"), add(acc["n"], counts(x), F.lit(0)).alias("n")))
 
 
 def probe(asks: DataFrame, frames: DataFrame, low_pitch: int, per_octave: int, near: float = 50.0, far: float = 150.0) -> DataFrame:
