@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorelake.operators.cluster import scratch_path
+
 
 def key_path(root: str, key: str) -> str:
     """The path of a key; one that would leave the root is refused."""
@@ -58,9 +60,24 @@ def resolve(candidates: DataFrame, present: DataFrame) -> DataFrame:
     return there.groupBy("name").agg(F.min(F.struct("priority", "key"))["key"].alias("key"))
 
 
+#: Folders of a table by session, whatever the number of sessions; it must not change while tables are in use.
+FOLDERS = 64
+
+
 def write_session(df: DataFrame, path: str) -> None:
-    """A table by session; writing again replaces only the sessions in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+    """A table by session; writing again replaces only the sessions in ``df``. Sessions are dealt to a fixed number of
+    folders (column ``folder``), one file each: a folder of its own for every session costs files by sessions times tasks.
+    The rows that stay are put beside the new ones in a table of their own first. One writer at a time."""
+    spark = df.sparkSession
+    rows = df.withColumn("folder", F.pmod(F.xxhash64(F.col("session_id").cast("bigint")), F.lit(FOLDERS)).cast("int"))
+    if exists(spark, path):
+        staged = scratch_path(spark, "sessions")
+        rows.write.parquet(f"{staged}/new")
+        new = spark.read.parquet(f"{staged}/new")
+        held = spark.read.schema(rows.schema).parquet(path).join(new.select("folder").distinct(), "folder", "left_semi")
+        held.join(new.select("session_id").distinct(), "session_id", "left_anti").select(rows.columns).write.parquet(f"{staged}/held")
+        rows = new.unionByName(spark.read.parquet(f"{staged}/held"))
+    rows.repartition(FOLDERS, "folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
 
 
 def manifest(spark: SparkSession, root: str, artifacts: list[str]) -> DataFrame:
