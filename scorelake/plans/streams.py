@@ -70,12 +70,14 @@ def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "conversations").select("conv_id", "turn").repartition("conv_id").write.option("maxRecordsPerFile", 2_000).parquet(f"{root}/in")
 
     def counted(jobs: DataFrame) -> DataFrame:
-        """A row of counts for each file of the batch, written under the stage's own name; files are read as one table."""
+        """The messages of each conversation in each file of the batch, written under the stage's own name; files are read
+        as one table. A file is as large as it may be, so a conversation can go on in the next."""
+        named = jobs.withColumn("file", F.element_at(F.split("path", "/"), -1))
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        found = spark.read.parquet(f"{root}/in").groupBy(name.alias("file")).agg(F.count("*").alias("n_rows"), F.count_distinct("conv_id").alias("n_conversations"))
-        out = jobs.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(found, "file")
-        out.select("job_id", "n_rows", "n_conversations").write.mode("overwrite").parquet(f"{root}/counts/{jobs_key(jobs)}")
-        return out.select("job_id", F.lit(None).cast("string").alias("error"))
+        found = spark.read.parquet(f"{root}/in").groupBy(name.alias("file"), "conv_id").agg(F.count("*").alias("n_rows"))
+        target = f"{root}/counts/{jobs_key(jobs)}"
+        named.join(found, "file").select("job_id", "conv_id", "n_rows").write.mode("overwrite").parquet(target)
+        return spark.read.parquet(target).select("job_id").distinct().select("job_id", F.lit(None).cast("string").alias("error"))
 
     def jobs_key(jobs: DataFrame) -> str:
         """The same jobs give the same name, so that a repeated stage replaces what it wrote."""
@@ -87,6 +89,6 @@ def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = [stages.Stage("count", counted), stages.Stage("check", checked)]
     files = stages.arrivals(spark, f"{root}/in").where("path like '%.parquet'")
     stages.start(files, f"{root}/work", line, f"{root}/state").awaitTermination()
-    found = spark.read.schema("job_id string, n_rows bigint, n_conversations bigint").option("recursiveFileLookup", "true").parquet(f"{root}/counts")
+    found = spark.read.schema("job_id string, conv_id bigint, n_rows bigint").option("recursiveFileLookup", "true").parquet(f"{root}/counts")
     per = stages.states(spark, f"{root}/work", line).join(found, "job_id")
-    return per.groupBy("state").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_conversations").alias("n_conversations"))
+    return per.groupBy("state").agg(F.sum("n_rows").alias("n_rows"), F.count_distinct("conv_id").alias("n_conversations"))
