@@ -36,18 +36,53 @@ OUT = "session_id bigint, state_idx bigint, matched boolean, measure bigint, sco
 _UP, _LEFT, _DIAG = 1, 2, 3
 
 
+#: Fixed value: bands of fewer score notes are worked off number by number, since arrays cost more than a few numbers.
+NARROW = 16
+
+
+def _narrow_row(t: float, pitch: float, s: list, score: list, i: int, lo: int, hi: int, before, before_lo: int, before_hi: int, ratio: float, offset: float, c: AlignConfig) -> tuple[list[float], list[int]]:
+    """A row of scores and of ways, cell by cell: what the arrays of ``_align`` give, to the last place."""
+    zero = c.perf_gap * (i - 1)
+    top = c.perf_gap * i if lo == 0 else -1e15
+    run = top  # the best way along the row so far, less what its gaps cost
+    row, way = [], []
+    for k, j in enumerate(range(lo + 1, hi + 2), 1):
+        up = (before[j - before_lo] if before_lo <= j <= before_hi else -1e15) + c.perf_gap
+        diag_from = zero if j == 1 else before[j - 1 - before_lo] if before_lo <= j - 1 <= before_hi else -1e15
+        note = score[j - 1]
+        gap = abs(note - pitch)
+        gain = c.wildcard if note == WILDCARD else c.same if gap == 0 else c.semitone if gap == 1 else c.other
+        diag = diag_from + gain - c.per_second * min(abs(s[j - 1] * ratio + offset - t), c.most_seconds)
+        best = max(up, diag)
+        left = run + c.score_gap * (k - 1) + c.score_gap
+        row.append(max(best, left))
+        way.append(_DIAG if diag > max(up, left) else _LEFT if left > up else _UP)
+        run = max(run, best - c.score_gap * k)
+    return row, way
+
+
 def _align(t: np.ndarray, pitch: np.ndarray, s: np.ndarray, score: np.ndarray, ratio: float, offset: float, c: AlignConfig) -> list[tuple[int, int]]:
     """Matched (performed, score) pairs of one pass."""
     n, m = len(t), len(s)
     columns = np.arange(m + 1)
     before = c.score_gap * columns
     before_lo, before_hi = 0, m
-    ways: list[tuple[int, np.ndarray]] = []
+    ways: list[tuple[int, np.ndarray | list[int]]] = []
+    want = (t - offset) / ratio
+    los, his = np.searchsorted(s, want - c.band, "left").tolist(), np.searchsorted(s, want + c.band, "right").tolist()
+    times, pitches, at_s, notes = t.tolist(), pitch.tolist(), s.tolist(), score.tolist()
     for i in range(1, n + 1):
-        want = (t[i - 1] - offset) / ratio
-        lo = int(np.searchsorted(s, want - c.band, "left"))
-        hi = max(int(np.searchsorted(s, want + c.band, "right")) - 1, min(lo, m - 1))
+        lo = los[i - 1]
+        hi = max(his[i - 1] - 1, min(lo, m - 1))
         lo = min(lo, hi)
+        if hi - lo < NARROW:
+            row, way = _narrow_row(times[i - 1], pitches[i - 1], at_s, notes, i, lo, hi, before, before_lo, before_hi, ratio, offset, c)
+            ways.append((lo + 1, way))
+            before, before_lo, before_hi = row, lo + 1, hi + 1
+            if lo == 0:
+                before, before_lo = [c.perf_gap * i, *row], 0
+            continue
+        before = np.asarray(before)
         # cells lo+1 .. hi+1 of this row are in the band, and so is column 0
         j = np.arange(lo + 1, hi + 2)
         at = lambda x: np.where((x >= before_lo) & (x <= before_hi), before[np.clip(x - before_lo, 0, len(before) - 1)], -1e15)  # noqa: B023, E731
@@ -69,7 +104,7 @@ def _align(t: np.ndarray, pitch: np.ndarray, s: np.ndarray, score: np.ndarray, r
     i = n
     lo, way = ways[-1]
     j = before_lo + int(np.argmax(before))
-    if c.perf_gap * n >= before.max():
+    if c.perf_gap * n >= max(before):
         j = 0
     pairs = []
     while i > 0 and j > 0:
@@ -89,7 +124,6 @@ def _align(t: np.ndarray, pitch: np.ndarray, s: np.ndarray, score: np.ndarray, r
 def _matched(perf: pd.DataFrame, score: pd.DataFrame, pairs: list[tuple[int, int]], ratio: float, offset: float, c: AlignConfig) -> pd.DataFrame:
     """Every performed note with its match. pairs: of the notes with a pitch, in their order; the others that have one take
     the compatible score note nearest in time, and score notes may serve twice."""
-    out = perf[["session_id", "state_idx"]].copy()
     usable = np.flatnonzero(perf["pitch"].notna().to_numpy())
     hit, filled = np.full(len(perf), -1), np.zeros(len(perf), bool)
     if len(usable) and len(score):
@@ -105,18 +139,23 @@ def _matched(perf: pd.DataFrame, score: pd.DataFrame, pairs: list[tuple[int, int
             gap[(np.abs(notes[a:b] - pitch[i]) > 1) | (notes[a:b] == WILDCARD) | (gap > c.fill_within)] = np.inf
             if len(gap) and gap.min() < np.inf:
                 hit[usable[i]], filled[usable[i]] = a + int(gap.argmin()), True
-    found = score.iloc[np.maximum(hit, 0)].reset_index(drop=True) if len(score) else pd.DataFrame({"measure": [None] * len(perf), "score_time_sec": np.nan, "midi_pitch": np.nan})
     matched = hit >= 0
-    wild = matched & (found["midi_pitch"].to_numpy(float) == WILDCARD)
-    line = found["score_time_sec"].to_numpy(float) * ratio + offset
-    out["matched"] = matched
-    out["measure"] = found["measure"].astype("Int64").where(matched)
-    out["score_time_sec"] = np.where(matched, found["score_time_sec"].to_numpy(float), np.nan)
-    out["score_midi_pitch"] = found["midi_pitch"].astype("Int64").where(matched & ~wild)
-    out["matched_to_wildcard"] = wild
-    out["timing_offset_ms"] = np.where(matched, np.round((perf["t"].to_numpy(float) - line) * 1000, 1), np.nan)
-    out["filled"] = filled
-    return out
+    if len(score):
+        at = np.maximum(hit, 0)
+        second, note = score["score_time_sec"].to_numpy(float)[at], score["midi_pitch"].to_numpy(float)[at]
+        unknown = score["measure"].isna().to_numpy()[at]
+        measure = score["measure"].fillna(0).to_numpy(np.int64)[at]
+    else:
+        second, note = np.full(len(perf), np.nan), np.full(len(perf), np.nan)
+        unknown, measure = np.ones(len(perf), bool), np.zeros(len(perf), np.int64)
+    wild = matched & (note == WILDCARD)
+    silent = ~matched | wild | np.isnan(note)
+    line = second * ratio + offset
+    return pd.DataFrame({
+        "session_id": perf["session_id"].to_numpy(), "state_idx": perf["state_idx"].to_numpy(), "matched": matched, "measure": pd.arrays.IntegerArray(measure, ~matched | unknown),
+        "score_time_sec": np.where(matched, second, np.nan), "score_midi_pitch": pd.arrays.IntegerArray(np.where(silent, 0, note).astype(np.int64), silent), "matched_to_wildcard": wild,
+        "timing_offset_ms": np.where(matched, np.round((perf["t"].to_numpy(float) - line) * 1000, 1), np.nan), "filled": filled,
+    }, index=perf.index)
 
 
 def _ordered(perf: pd.DataFrame, score: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -174,16 +213,22 @@ def align_slices(perf: DataFrame, score: DataFrame, length: float, margin: float
     spans = perf.where("pitch IS NOT NULL").groupBy("session_id").agg(F.max("t").alias("_t")).join(score.groupBy("session_id").agg(F.max("score_time_sec").alias("_s")), "session_id", "left")
     fits = spans.select("session_id", F.when((F.col("_s") > 0.1) & (F.col("_t") > 0), F.col("_t") / F.col("_s")).otherwise(1.0).alias("ratio"), F.lit(0.0).alias("offset"))
 
-    def slices(lo: Column, hi: Column) -> Column:
-        return F.explode(F.sequence(F.floor(lo / length), F.floor(hi / length)))
+    bounds = perf.groupBy("session_id").agg(F.floor(F.min("t") / length).alias("_first"), F.floor(F.max("t") / length).alias("_last"))
+
+    def sliced(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        """``rows`` in every slice from lo to hi, but for those before the session's first note or after its last, which
+        have no note to answer for."""
+        ends = rows.join(fresh(bounds), "session_id").withColumn("_lo", F.greatest(F.floor(lo / length), "_first")).withColumn("_hi", F.least(F.floor(hi / length), "_last"))
+        return ends.where("_lo <= _hi").withColumn("_slice", F.explode(F.sequence("_lo", "_hi"))).drop("_first", "_last", "_lo", "_hi")
 
     def passed(fits: DataFrame, schema: str, kernel) -> DataFrame:
         """``kernel`` over every slice's notes, score notes, tempo and offset."""
         fits = fresh(fits)
-        notes = perf.join(fits, "session_id", "left").fillna({"ratio": 1.0, "offset": 0.0}).withColumn("_slice", slices(F.col("t") - margin, F.col("t") + margin))
+        notes = perf.join(fits, "session_id", "left").fillna({"ratio": 1.0, "offset": 0.0})
+        notes = sliced(notes, F.col("t") - margin, F.col("t") + margin)
         at = F.col("score_time_sec") * F.col("ratio") + F.col("offset")
         wide = F.lit(reach) + F.lit(c.band) * F.col("ratio")
-        lines = score.join(fresh(fits), "session_id").withColumn("_slice", slices(at - wide, at + wide)).drop("ratio", "offset")
+        lines = sliced(score.join(fresh(fits), "session_id"), at - wide, at + wide).drop("ratio", "offset")
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             left = left.reindex(columns=["session_id", "state_idx", "t", "pitch", "ratio", "offset", "_slice"]).dropna(subset=["session_id"])
@@ -191,6 +236,8 @@ def align_slices(perf: DataFrame, score: DataFrame, length: float, margin: float
             if left.empty:
                 return kernel(left, right, 1.0, 0.0, np.zeros(0, bool))
             own = np.floor(left.sort_values(["t", "state_idx"], kind="stable")["t"].to_numpy(float) / length) == left["_slice"].iloc[0]
+            if not own.any():
+                return kernel(left.iloc[:0], right, 1.0, 0.0, np.zeros(0, bool))
             return kernel(*_ordered(left, right), float(left["ratio"].iloc[0]), float(left["offset"].iloc[0]), own)
 
         keys = ["session_id", "_slice"]
