@@ -56,9 +56,10 @@ def dense_spine(ranges: DataFrame, keys: list[str], lo: str, hi: str, out: str)
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Ranks in which equal values share their mean rank."""
-    same = W.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
+    """Ranks in which equal values share their mean rank. Both windows have one order, so that a task sorts but once."""
+    order = W.partitionBy(*keys).orderBy(value)
+    same = order.rangeBetween(W.currentRow, W.currentRow)
+    return df.withColumn(out, F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
 
 
 def cumulative_floor(df: DataFrame, keys: list[str], order: list[str], weight: str, total: Column, out: str) -> DataFrame:
