@@ -29,31 +29,33 @@ def with_weights(systems: DataFrame) -> DataFrame:
     return rows.withColumn("weights", F.when(alike, F.col("_w")).when(F.col("_ws") <= 0, F.col("_b")).otherwise(both)).drop("_w", "_b", "_there", "_ws", "_bs")
 
 
-def played_movements(systems: DataFrame, midi: DataFrame) -> DataFrame:
-    """piece, played: of recognised layouts the movement that the file's name hints at, if there is one of that number, else
-    the one whose bars come nearest to the file's, the first of several."""
-    counts = systems.where((F.col("source") == RECOGNISED) & F.col("movement").isNotNull()).groupBy("piece", "movement").agg(F.sum("bars").alias("n")).join(midi.where("total IS NOT NULL"), "piece")
-    rank = F.struct((F.col("movement") != F.coalesce("hint", F.lit(-1))).alias("a"), F.abs(F.col("n") - F.col("total")).alias("b"), "movement")
-    return counts.groupBy("piece").agg(F.min(rank)["movement"].alias("played"))
+def with_played(systems: DataFrame) -> DataFrame:
+    """``systems`` (with total and hint of the piece's file) with ``played``: of recognised layouts the movement that the
+    file's name hints at, if there is one of that number, else the one whose bars come nearest to the file's, the first of
+    several."""
+    own = F.col("source") == RECOGNISED
+    counted = systems.withColumn("_n", F.sum(F.when(own, F.col("bars"))).over(W.partitionBy("piece", "movement")))
+    rank = F.struct((F.col("movement") != F.coalesce("hint", F.lit(-1))).alias("a"), F.abs(F.col("_n") - F.col("total")).alias("b"), "movement")
+    able = own & F.col("movement").isNotNull() & F.col("total").isNotNull()
+    return counted.withColumn("played", F.min(F.when(able, rank)).over(W.partitionBy("piece"))["movement"]).drop("_n")
 
 
 def reconciled(systems: DataFrame, midi: DataFrame) -> DataFrame:
     """``systems`` (piece, source, page, system, movement, width, bars) with found (the bars before), bars (those dealt), fitted.
 
     midi: piece, total (null or 0: unknown), hint. Of a recognised layout the played movement's systems share the file's
-    bars; of another all systems do, if its bars differ from the file's by more than one."""
-    piece = W.partitionBy("piece")
-    rows = systems.join(played_movements(systems, midi), "piece", "left").join(midi.select("piece", "total"), "piece", "left").withColumn("layout", F.sum("bars").over(piece))
+    bars; of another all systems do, if its bars differ from the file's by more than one. All of it is done where a piece's
+    systems are, with one shuffle: they are put side by side, those that share the bars first."""
+    rows = with_played(systems.repartition("piece").join(midi.select("piece", "total", "hint"), "piece", "left")).withColumn("_layout", F.sum("bars").over(W.partitionBy("piece")))
     known = F.coalesce(F.col("total") > 0, F.lit(False))
-    own = known & F.when(F.col("source") == RECOGNISED, F.col("movement").eqNullSafe(F.col("played")) & F.col("played").isNotNull()).otherwise(F.abs(F.col("layout") - F.col("total")) > NEAR)
-    rows = rows.withColumn("fitted", own)
-    listed = rows.where("fitted").groupBy("piece", F.col("total").alias("_total")).agg(F.sort_array(F.collect_list(F.struct("page", "system", "width", "bars"))).alias("x"))
-    arrays = listed.select("piece", "_total", F.col("x")["page"].alias("page"), F.col("x")["system"].alias("system"), F.col("x")["width"].alias("widths"), F.col("x")["bars"].alias("bars"))
-    dealt = with_weights(arrays).withColumn("n", dealt_bars(F.col("_total"), F.col("weights")))
-    new = dealt.select("piece", F.explode(F.arrays_zip("page", "system", "n")).alias("z")).select("piece", "z.page", "z.system", F.col("z.n").alias("_new"))
-    out = rows.join(new, ["piece", "page", "system"], "left")
-    bars = F.when(F.col("fitted"), F.col("_new")).otherwise(F.col("bars").cast("bigint"))
-    return out.select("piece", "source", "page", "system", "movement", "width", F.col("bars").alias("found"), bars.alias("bars"), "fitted", "played", "total")
+    own = known & F.when(F.col("source") == RECOGNISED, F.col("movement").eqNullSafe(F.col("played")) & F.col("played").isNotNull()).otherwise(F.abs(F.col("_layout") - F.col("total")) > NEAR)
+    one = F.struct((~F.coalesce(own, F.lit(False))).alias("other"), "page", "system", "width", "bars", "source", "movement", own.alias("fitted"))
+    pieces = rows.groupBy("piece", "total", "played").agg(F.sort_array(F.collect_list(one)).alias("_x"))
+    pieces = pieces.withColumn("_fit", F.filter("_x", lambda s: ~s["other"])).withColumn("widths", F.col("_fit")["width"]).withColumn("bars", F.col("_fit")["bars"])
+    dealt = with_weights(pieces).withColumn("_new", dealt_bars(F.col("total"), F.col("weights")))
+    out = dealt.select("piece", "total", "played", "_new", F.posexplode("_x").alias("i", "s"))
+    bars = F.when(~F.col("s.other"), F.get("_new", F.col("i"))).otherwise(F.col("s.bars").cast("bigint"))
+    return out.select("piece", "s.source", "s.page", "s.system", "s.movement", "s.width", F.col("s.bars").alias("found"), bars.alias("bars"), "s.fitted", "played", "total")
 
 
 def summary(fitted: DataFrame) -> DataFrame:
