@@ -83,7 +83,9 @@ def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag(supp % 4 == 0, "<forward><duration>4</duration></forward>"), tag(supp % 13 == 0, '<barline location="middle"/>'),
         tag(part % 11 == 0, '<barline location="right"><bar-style>light-heavy</bar-style></barline>'), F.lit("</measure>"),
     )
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", measure.alias("m")))).alias("x"))
+    # what the lines hold goes through the shuffle, and the far longer text is made behind it, once a line is where its order is
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus").repartition("l_orderkey")
+    lines = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", measure.alias("m")))).alias("x"))
     size = tag(c("o_orderkey") % 2 == 0, "<defaults><page-layout><page-height>1600</page-height><page-width>1200</page-width></page-layout></defaults>")
     content = F.concat(F.lit('<score-partwise xmlns="x">'), size, F.lit('<part id="P1">'), F.array_join(c("x")["m"], ""), F.lit('</part><part id="P2"><measure number="1"/></part></score-partwise>'))
     joined = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
