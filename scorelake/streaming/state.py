@@ -63,33 +63,40 @@ class _Ordered(StatefulProcessor):
 
 
 class DailyQuota(_Ordered):
-    """How many of a user's events each day (UTC) have been let through; a day falls with its last millisecond."""
+    """How many of a user's events each day (UTC) have been let through; a day falls with its last millisecond. All days of
+    a user are read and written at once and share a timer, that of the first, since every call goes to the JVM and back."""
 
     def __init__(self, most: int):
         self.most = most
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.days = handle.getMapState("days", "day bigint", "used bigint")
+        self.days = handle.getListState("days", "day bigint, used bigint")
+
+    def _held(self) -> dict[int, int]:
+        return {r[0]: r[1] for r in self.days.get()} if self.days.exists() else {}
+
+    def _hold(self, used: dict[int, int]) -> None:
+        if used:
+            self.days.put(list(used.items()))
+            self.handle.registerTimer((min(used) + 1) * DAY_MS)
+        else:
+            self.days.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        used: dict[int, int] = {}
-        out = []
+        used, out = self._held(), []
         for us, event_id in _in_order(rows):
             day = us // (DAY_MS * 1_000)
-            if day not in used:
-                used[day] = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else 0
-            out.append((key[0], event_id, used[day] < self.most))
-            used[day] += used[day] < self.most
-        for day, n in used.items():
-            self.days.updateValue((day,), (n,))
-            self.handle.registerTimer((day + 1) * DAY_MS)
+            before = used.get(day, 0)
+            out.append((key[0], event_id, before < self.most))
+            used[day] = before + (before < self.most)
+        self._hold(used)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
 
-    def expire(self, at: int) -> None:
-        for day in [k[0] for k in self.days.keys()]:  # noqa: SIM118
-            if (day + 1) * DAY_MS <= at:
-                self.days.removeKey((day,))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self._hold({day: n for day, n in self._held().items() if (day + 1) * DAY_MS > now})
+        return iter(())
 
 
 class Decisions(_Ordered):
